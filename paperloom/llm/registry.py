@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.media_columns import media_digest
+from paperloom.llm.ngram_join import ngram_jaccard_join
 from paperloom.llm.shared import prepare
 
 
@@ -13,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op8_media_columns": op8_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
+#: Texts of one block at most, so that places in a block fit 16 bits.
+BLOCK_DOCS = 60_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -78,7 +80,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit_bytes: int = 6_000_000) -> I
     size = 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            if size and size + len(text) > limit_bytes:
+            if size and (size + len(text) > limit_bytes or len(ids) >= BLOCK_DOCS):
                 yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(doc)
