@@ -9,6 +9,8 @@ from paperloom.llm.byte_bpe import round_trip
 from paperloom.llm.media_columns import media_digest
 from paperloom.llm.ngram_join import ngram_jaccard_join
 from paperloom.llm.packing import best_fit_packing
+from paperloom.llm.quality_rules import oracle_sql as quality_rules_sql
+from paperloom.llm.quality_rules import quality_rules
 from paperloom.llm.shared import prepare
 from paperloom.llm.token_counts import token_counts
 
@@ -30,6 +32,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,10 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op8_media_columns": op8_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality_rules_sql(),
+}
