@@ -9,6 +9,7 @@ from paperloom.llm.byte_bpe import round_trip
 from paperloom.llm.media_columns import media_digest
 from paperloom.llm.ngram_join import ngram_jaccard_join
 from paperloom.llm.packing import best_fit_packing
+from paperloom.llm.quality_classifier import quality_classifier
 from paperloom.llm.quality_rules import oracle_sql as quality_rules_sql
 from paperloom.llm.quality_rules import quality_rules
 from paperloom.llm.shared import prepare
@@ -40,6 +41,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_media_columns": op8_media_columns,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
