@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.quality_rules import STOP_WORDS
-from paperloom.llm.shared import arrow_map, blocks
+from paperloom.llm.shared import arrow_map, blocks, utf8
 from paperloom.llm.words import mixed, word_hashes
 
 #: Documents that train the scorer, at most.
@@ -198,3 +198,26 @@ def quality_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     their rows (a null doc_id is never sampled); extra columns are not read; an empty table gives an empty one.
     """
     return score(docs, fit(docs, sample))
+
+
+def kept_by_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns, in one more pass."""
+    weights = fit(docs, sample)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        stop = _stop_hashes()
+        for batch in batches:
+            texts = utf8(batch.column(at))
+            hashes, offsets = word_hashes(texts)
+            keep = []
+            for t, (a, b) in zip(texts, itertools.pairwise(offsets.tolist()), strict=True):
+                w = hashes[a:b]
+                if len(w):
+                    p, v = features(t, w, stop)
+                    keep.append(bool(weights[p] @ v + weights[-1] >= 0))
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

@@ -153,3 +153,12 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(translat
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM b
 """
+
+
+def kept_by_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, in one pass."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [f"__{k}" for k in measures(text)]
+    counted = docs.select("*", *(c.alias(f"__{k}") for k, c in measures(text).items()))
+    failed = (F.col("__n_words") < 50) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * 50)
+    return counted.where(~failed & compiled(rules, lambda c: F.col(f"__{c}"))).drop(*names)
