@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from paperloom.plans import queries_data, queries_text
+
+QUERIES: dict = {**queries_text.QUERIES, **queries_data.QUERIES}
+ORACLE_SQL: dict = {**queries_text.ORACLE_SQL, **queries_data.ORACLE_SQL}
