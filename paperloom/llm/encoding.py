@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -37,39 +38,70 @@ def pretoken_pattern(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
 
+#: A worker's encoders live as long as it does, so tasks that follow find words known.
+_encoders: dict[str, SpacedEncoder] = {}
+_ENDS = ".,;:!?"
+
+
 class SpacedEncoder:
-    """Encodes texts by a tokenizer whose pieces never cross or hold white space."""
+    """Encodes texts by a tokenizer that lower-cases and whose pieces never cross or hold white space.
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    Each distinct stretch is learned once, from its lower case and without one mark at its end,
+    which is a piece of its own after a letter.  At most ``remembered`` stretches and a batch's
+    more are known at a time.
+    """
+
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self._fresh()
 
+    @classmethod
+    def of(cls, path: str) -> SpacedEncoder:
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
     def _fresh(self) -> None:
-        self.numbers, self.flat, self.starts, self.used = _Numbers(), np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.numbers, self.flat, self.starts, self.counts, self.used = _Numbers(), np.zeros(1 << 20, np.uint16), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 0
 
     def _learn(self) -> None:
+        """Encodes what is new; a plain word that is known already lends its ids."""
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, done = int(counts.sum()), len(self.numbers) - len(new)
+        plain = []
+        for w in new:
+            low = w.lower() if "\u03a3" not in w else w
+            plain.append((low[:-1], low[-1]) if low[-1] in _ENDS and len(low) > 1 and low[-2].isalpha() else (low, ""))
+        todo = [p for p in dict.fromkeys(p for p, _ in plain)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]
+        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _ENDS}
+        by_word = dict(zip(todo, ids, strict=True))
+        found = [by_word[p] + marks[m] if m else by_word[p] for p, m in plain]
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        total, done, now = int(counts.sum()), len(self.numbers) - len(new), len(self.numbers)
         while len(self.flat) < self.used + total:
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while len(self.starts) < len(self.numbers) + 1:
-            self.starts = np.r_[self.starts, np.zeros_like(self.starts)]
-        self.flat[self.used : self.used + total] = [x for e in ids for x in e]
-        self.starts[done + 1 : len(self.numbers) + 1] = self.used + np.cumsum(counts)
+        while len(self.starts) < now:
+            self.starts, self.counts = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.counts, np.zeros_like(self.counts)]
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint16, total)
+        self.starts[done:now] = self.used + np.cumsum(counts) - counts
+        self.counts[done:now] = counts
         self.used += total
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids (uint32) of one whole text, without added special tokens."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts, without added special tokens."""
         if len(self.numbers) > self.remembered:
             self._fresh()
-        parts = [p for p in _GAPS.split(text) if p] if any(c in text for c in _EXTRA) else text.split()
-        at = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
+        ats = []
+        for text in texts:
+            parts = [p for p in _GAPS.split(text) if p] if any(c in text for c in _EXTRA) else text.split()
+            ats.append(np.fromiter(map(self.numbers.__getitem__, parts), np.int32, len(parts)))
         self._learn()
-        return ragged(self.flat, self.starts[at], self.starts[at + 1] - self.starts[at]) if len(at) else self.flat[:0]
+        return [ragged(self.flat, self.starts[at], self.counts[at].astype(np.int64)) for at in ats]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]

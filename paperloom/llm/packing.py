@@ -167,11 +167,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = SpacedEncoder(tokenizer_path)
+        encoder = SpacedEncoder.of(tokenizer_path)
         for batch in batches:
             take, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     take.append(i)
