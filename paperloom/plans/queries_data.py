@@ -268,9 +268,9 @@ def _pages(t):
     return t("pages").select("page_id", "url", F.col("page_id").alias("pos"))
 
 
-@query("WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 9), (2, 10), (3, 11), (4, 4), (5, 3), (6, 2), (7, 199)) v(pos, p)) SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN s ON page_id = p", name="page_select")
+@query("WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 9), (2, 10), (3, 11), (4, 4), (5, 3), (6, 2), (7, 19)) v(pos, p)) SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN s ON page_id = p", name="page_select")
 def _page_select(t):
-    return pg.page_select(_pages(t).where("pos < 200"), "9-12, 5-3; 200-").select("page_id", "pos")
+    return pg.page_select(_pages(t).where("pos < 20"), "9-12, 5-3; 20-").select("page_id", "pos")
 
 
 @query("SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN (VALUES (0, 5), (1, 5), (2, 0)) s(pos, p) ON page_id = p", name="page_extract")
