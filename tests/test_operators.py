@@ -147,7 +147,7 @@ def test_filters(seed):
 
 def test_predictors():
     assert filters.predict(bytes([1, 1, 1, 5, 1, 1]), 2, columns=3) == bytes([1, 2, 3, 5, 6, 7])
-    assert filters.predict(bytes([1, 1, 1, 1, 2, 1, 1, 1, 4, 1, 0, 0]), 15, columns=3) == bytes([1, 2, 3, 2, 3, 4, 3, 4, 5])
+    assert filters.predict(bytes([1, 1, 1, 1, 2, 1, 1, 1, 4, 1, 0, 0]), 15, columns=3) == bytes([1, 2, 3, 2, 3, 4, 3, 3, 4])
 
 
 def test_decoded_column(spark):
@@ -180,7 +180,7 @@ def test_pdf_objects(spark, tmp_path):
 
     packed = zlib.compress(b"7 0 8 21 << /Type /Catalog >> << /A 1 >>")
     body = b"BT (hello) Tj ET"
-    data = b"%PDF-1.7\n1 0 obj << /Type /Page >> endobj\n2 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n" % len(zlib.compress(body)) + zlib.compress(body)
+    data = b"%%PDF-1.7\n1 0 obj << /Type /Page >> endobj\n2 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n" % len(zlib.compress(body)) + zlib.compress(body)
     data += b"\nendstream endobj\n3 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode /Length %d >>\nstream\n" % len(packed) + packed + b"\nendstream endobj\n"
     (tmp_path / "a.pdf").write_bytes(data)
     (tmp_path / "b.pdf").write_bytes(b"nothing")
