@@ -105,7 +105,7 @@ def brute_lines(rows):
     """Components of distinct lines over all pairs, and the lines that stay."""
     import regex
 
-    anchored = regex.compile(line_dedup._ANCHORED.replace("(?<=^|\\s)", "(?:(?<=\\s)|^)"))
+    anchored = regex.compile(line_dedup._WINDOWS.replace("\\z", "\\Z"), regex.ASCII)
     norm = lambda x: x.strip(" \t\r\x0b\f").lower()
     places, sets = collections.defaultdict(list), {}
     for doc, t in rows:
