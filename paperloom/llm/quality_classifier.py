@@ -25,6 +25,8 @@ from paperloom.llm.words import mixed, word_hashes
 
 #: Documents that train the scorer, at most.
 SAMPLE = 4000
+#: Shorter texts get no votes, and nothing rejects them.
+VOTING = 10
 TRIGRAMS, WORDS, RATIOS = 4096, 4096, 108
 _CLASS = np.full(256, 13, np.uint8)
 for _k, _chars in enumerate((" \t\r\x0b\f", "\n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!", "?", "'\"-", "|", "#*$%&<>", "()[]{}")):
@@ -67,7 +69,7 @@ def votes(r: np.ndarray, n_words: int) -> str:
     for (bad, good), x in zip(_CUTS, r, strict=True):
         x, bad, good = (-x, bad, good) if bad < 0 else (x, bad, good)
         out.append("b" if x > bad else "g" if x < good else "-")
-    return "".join(out) if n_words >= 10 else "-" * len(out)
+    return "".join(out) if n_words >= VOTING else "-" * len(out)
 
 
 def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, quality, kept) of every row: the probability of good, and whether it is 1/2 or more."""
+    """(doc_id, quality, kept) of every row: the probability of good, and whether it is 1/2 or more or the text too short to tell."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -186,7 +188,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     out.append(float(1 / (1 + np.exp(-np.clip(weights[p] @ v + weights[-1], -500, 500)))))
                 else:
                     out.append(0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow(kind)), pa.array(out, pa.float64()), pa.array([x >= 0.5 for x in out], pa.bool_())], names=["doc_id", "quality", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow(kind)), pa.array(out, pa.float64()), pa.array([x >= 0.5 or 0 < len(w) < VOTING for x, w in zip(out, words, strict=True)], pa.bool_())], names=["doc_id", "quality", "kept"])
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, quality double, kept boolean")
 
@@ -194,7 +196,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def quality_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, quality, kept) of every row of ``docs``, by a scorer fitted on ``docs`` itself.
 
-    A null or wordless text has quality 0 and is not kept.  Repeated rows and null doc_ids keep
+    A null or wordless text has quality 0 and is not kept; one of under VOTING words is.  Repeated rows and null doc_ids keep
     their rows (a null doc_id is never sampled); extra columns are not read; an empty table gives an empty one.
     """
     return score(docs, fit(docs, sample))
@@ -215,7 +217,7 @@ def kept_by_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 w = hashes[a:b]
                 if len(w):
                     p, v = features(t, w, stop)
-                    keep.append(bool(weights[p] @ v + weights[-1] >= 0))
+                    keep.append(bool(weights[p] @ v + weights[-1] >= 0) or len(w) < VOTING)
                 else:
                     keep.append(False)
             yield batch.filter(pa.array(keep, pa.bool_()))
