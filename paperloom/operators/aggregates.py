@@ -86,3 +86,15 @@ def word_f1(pairs: DataFrame) -> DataFrame:
     b = pairs.select("pair", words(F.col("want")).alias("w")).groupBy("pair", "w").agg(F.count("*").alias("b"))
     both = a.join(b, ["pair", "w"], "full").fillna(0, ["a", "b"]).groupBy("pair").agg(F.sum(F.least("a", "b")).alias("i"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return pairs.select("pair").distinct().join(both, "pair", "left").select("pair", F.coalesce(F.col("i") * 2 / (F.col("a") + F.col("b")), F.lit(1.0)).alias("f1"))
+
+
+def f1_summary(scores: DataFrame) -> DataFrame:
+    """(n, mean, median, p10) of the column f1: the element at n/2, and at n/10, of the sorted scores."""
+    n = scores.count()
+    at = lambda i: f"percentile_disc({(i + 1) / n if n else 0.5!r}) within group (order by f1)"
+    return scores.agg(F.count("*").alias("n"), F.avg("f1").alias("mean"), F.expr(at(n // 2)).alias("median"), F.expr(at(n // 10)).alias("p10"))
+
+
+def lowest(scores: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """The ``most`` lowest scores; the limit is the feature."""
+    return scores.orderBy("f1", key).limit(most)

@@ -169,3 +169,20 @@ def without_overlaps(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     t = taken.select(F.col("page").alias("__p"), *(F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")))
     over = (F.col("page") == F.col("__p")) & (F.col("x0") < F.col("tx1")) & (F.col("x1") > F.col("tx0")) & (F.col("y0") < F.col("ty1")) & (F.col("y1") > F.col("ty0"))
     return candidates.join(t, over, "left_anti")
+
+
+def words(glyphs: DataFrame, *line: str) -> DataFrame:
+    """(line…, word, text, x0, y0, x1, y1) of glyphs with ``space_before``; runs of underscores are words of their own."""
+    w = Window.partitionBy(*line).orderBy("i")
+    rule = F.col("text") == "_"
+    starts = F.col("space_before") | (rule != F.lag(rule).over(w))
+    numbered = glyphs.withColumn("word", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w).cast("long"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("i", "text")))["text"], "")
+    return numbered.groupBy(*line, "word").agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def nearest_glyph(glyphs: DataFrame, points: DataFrame) -> DataFrame:
+    """(page, point, i): the glyph whose box is nearest to each of a few points (page, point, x, y); the first of equals."""
+    near = glyphs.join(F.broadcast(points), "page")
+    away = F.hypot(F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0)))
+    return near.groupBy("page", "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))

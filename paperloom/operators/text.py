@@ -53,3 +53,9 @@ def text_extract(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     pages = lines.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
     shown = pages.select(key, "page", F.concat(F.rtrim(F.array_join(F.col("l.text"), "\n")), F.lit("\n")).alias("t"))
     return shown.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page", "t")))["t"], "\f").alias("text"))
+
+
+def unlinked(hits: DataFrame, links: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hits (key, start, end) that overlap no span already under a link."""
+    taken = links.select(F.col(key).alias("__k"), F.col("start").alias("__a"), F.col("end").alias("__b"))
+    return hits.join(taken, (F.col(key) == F.col("__k")) & (F.col("start") < F.col("__b")) & (F.col("end") > F.col("__a")), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import allowed_url, file_name, fold, host_display, html_escape, masked, urls
-from paperloom.operators.aggregates import body_size, space_audit, word_f1
+from paperloom.operators.aggregates import body_size, f1_summary, lowest, space_audit, word_f1
 from paperloom.operators.compare import change_counts, dedupe, word_diff
 from paperloom.operators.rules import Rule, category_counts, findings, rule_report, shown_findings, status_counts
 from paperloom.operators.text import catalog_search, phrase_counts as count_phrases, pii_hits, text_extract, text_find, text_find_limit, word_list
@@ -236,6 +236,19 @@ def _word_f1(t):
     return word_f1(_benchmark_pairs(t, "got", "want"))
 
 
+_F1_SQL = ORACLE_SQL["word_f1"]
+
+
+@query(f"WITH s AS (SELECT f1, row_number() OVER (ORDER BY f1) - 1 AS i, count(*) OVER () AS n FROM ({_F1_SQL})) SELECT count(*) AS n, avg(f1) AS mean, max(f1) FILTER (WHERE i = n // 2) AS median, max(f1) FILTER (WHERE i = n // 10) AS p10 FROM s", name="f1_summary")
+def _f1_summary(t):
+    return f1_summary(word_f1(_benchmark_pairs(t, "got", "want")))
+
+
+@query(f"SELECT pair, f1 FROM ({_F1_SQL}) ORDER BY f1, pair LIMIT 12", name="f1_lowest")
+def _f1_lowest(t):
+    return lowest(word_f1(_benchmark_pairs(t, "got", "want")), "pair")
+
+
 @query(name="word_diff")
 def _word_diff(t):
     return word_diff(_benchmark_pairs(t, "old", "new"))

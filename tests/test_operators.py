@@ -196,3 +196,18 @@ def test_newest(spark, tmp_path):
         (tmp_path / f"{i}.txt").write_text(f"t{i}\nx")
     assert newest(spark, str(tmp_path), "*.txt", 2).count() == 2
     assert {r.value for r in whole_texts(spark, str(tmp_path)).collect()} == {f"t{i}\nx" for i in range(3)}
+
+
+def test_words_and_points(spark):
+    g = spark.createDataFrame([(1, 0, i, c, float(i), 0.0, i + 1.0, 5.0, b) for i, (c, b) in enumerate([("a", False), ("b", False), ("_", False), ("_", False), ("c", True)])], "page int, line int, i int, text string, x0 double, y0 double, x1 double, y1 double, space_before boolean")
+    assert [r[3] for r in rows(layout.words(g, "page", "line"), "word")] == ["ab", "__", "c"]
+    p = spark.createDataFrame([(1, 7, 2.5, 9.0), (1, 8, 99.0, 0.0)], "page int, point int, x double, y double")
+    assert rows(layout.nearest_glyph(g, p), "point") == [(1, 7, 2), (1, 8, 4)]
+
+
+def test_unlinked(spark):
+    from paperloom.operators.text import unlinked
+
+    hits = spark.createDataFrame([(1, 0, 5), (1, 10, 20), (2, 0, 5)], "doc_id int, start int, end int")
+    links = spark.createDataFrame([(1, 4, 6)], "doc_id int, start int, end int")
+    assert rows(unlinked(hits, links), "doc_id", "start") == [(1, 10, 20), (2, 0, 5)]
