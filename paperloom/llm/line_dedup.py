@@ -3,9 +3,9 @@
 Equal lines (lower-cased, trimmed) are one key.  A line's shingles are windows of WINDOW
 characters that begin at words, and inside longer words at every character until the rest fits
 one, so that no character is left out.  Minima of hashed shingles are pre-aggregated before their
-shuffle; BANDS triples of minima make buckets.  Members of a bucket are compared with three
-members that aggregates elect (no pair lists, no window over a bucket); an exact Jaccard of
-3/4 links, and distributed union-find makes components.
+shuffle; BANDS triples of minima make buckets.  Members of a bucket are compared with members
+that aggregates elect; what is then still apart in a bucket is compared in full, each with each of
+another component.  An exact Jaccard of 3/4 links, and distributed union-find makes components.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from paperloom.llm.components import connected_components
 from paperloom.llm.shared import materialize
 
 WINDOW, BANDS, ROWS = 12, 8, 3
+#: Rounds of elections before the rest of a bucket is compared in full, and members elected a round.
+ELECTIONS, ELECTED = 2, 3
 FILTER = 1 << 24
 _WINDOWS = rf"(?s)(?=(.{{1,{WINDOW}}}))(?:\S{{1,{WINDOW}}}(?=\s|\z)\s*|\S)"
 #: A minimum by XOR distance to a fixed point picks each shingle of a set alike, and costs no new hash.
@@ -45,25 +47,48 @@ def _probably(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where(F.getbit(byte, F.col("place") % 8) == 1).select(*texts.columns)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have an exact Jaccard of 3/4."""
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("i") * 4 >= (F.size("sa") + F.size("sb") - F.col("i")) * 3).select("a", "b")
+
+
 def line_links(lines: DataFrame) -> DataFrame:
-    """(a, b): keys of fuzzy copies, found by banding and verified exactly."""
+    """(a, b): keys of fuzzy copies, found by banding and verified exactly; of pairs that others connect, not all.
+
+    Elections only make the rest smaller.  Whatever they leave apart in a bucket is compared in
+    full: when this returns, any two members of a bucket are connected or were compared.
+    """
     texts = lines.where("key is not null").select("key", "norm")
     hashed = texts.select("key", F.explode(_shingles(F.col("norm"))).alias("s")).select("key", F.xxhash64("s").alias("h"))
     minima = hashed.groupBy("key").agg(*(F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{j}") for j, c in enumerate(_POINTS)))
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     buckets = materialize(minima.select("key", bands.alias("bands")), "bands").select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    third = members.groupBy("bucket").agg(F.min_by("key", F.hash("key")).alias("mid"))
-    elected = F.explode(F.array_distinct(F.array("low", "high", "mid")))
-    pairs = members.join(third, "bucket").select(F.col("key").alias("a"), elected.alias("b")).where("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = members.select("key").distinct()
     sets = _probably(texts, wanted).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("norm").alias("norm"))
     sets = materialize(sets.select("key", F.transform(F.array_distinct(_shingles(F.col("norm"))), lambda s: F.xxhash64(s)).alias("set")), "sets")
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 4 >= (F.size("sa") + F.size("sb") - F.col("i")) * 3).select("a", "b")
+    apart = members.join(sets.select("key", F.size("set").alias("n")), "key").withColumn("component", F.col("key"))
+    links = None
+    for turn in range(ELECTIONS + 1):
+        apart = materialize(apart, "apart")
+        other = apart
+        if turn < ELECTIONS:
+            heads = apart.groupBy("bucket").agg(*(F.min_by(F.struct("key", "n", "component"), F.hash("key", F.lit(turn * ELECTED + i))).alias(f"e{i}") for i in range(ELECTED)))
+            other = heads.select("bucket", F.explode(F.array_distinct(F.array(*(f"e{i}" for i in range(ELECTED))))).alias("e")).select("bucket", "e.*")
+        other = other.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+        pairs = apart.join(other, "bucket").where("component <> component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n")
+        pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
+        found = materialize(_verified(materialize(pairs.distinct(), "pairs"), sets), "links")
+        links = found if links is None else links.union(found)
+        if turn < ELECTIONS:
+            linked = materialize(connected_components(links), "linked")
+            apart = apart.drop("component").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
+            split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
+            apart = apart.join(split, "bucket").select("bucket", "key", "n", "component")
+    return links
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -136,6 +136,18 @@ def test_line_dedup_recall(spark):
     assert sum(got[k] != want[k] for k in want) <= 0.005 * len(want)
 
 
+def test_line_twins_among_strangers(spark):
+    """Near copies in buckets that a shared passage fills with other lines are all found."""
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, data = " ".join(letters(11) for _ in range(29)), []
+    for i in range(300):
+        own = [letters(11) for _ in range(9)]
+        data += [(2 * i, passage + " " + " ".join(own)), (2 * i + 1, passage + " " + " ".join([*own[:6], *(letters(11) for _ in range(3))]))]
+    got = {x.doc_id: x.component for x in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] != got[2 * i + 1] for i in range(300)) <= 1
+
+
 def test_lines_leave(spark):
     d = spark.createDataFrame([(1, "same line of text here\nunique one", 0), (2, "same line of text here", 0), (3, None, 0), (4, "\n", 0), (5, "other words\nsame line of text here\n\nend of it", 0)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_copies(d).collect()}
