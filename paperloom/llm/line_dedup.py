@@ -3,28 +3,24 @@
 Equal lines (lower-cased, trimmed) are one key.  A line's shingles are windows of WINDOW
 characters that begin at words, and inside longer words at every character until the rest fits
 one, so that no character is left out.  Minima of hashed shingles are pre-aggregated before their
-shuffle; BANDS triples of minima make buckets.  Members of a bucket are compared with members
+shuffle, each by a hash of its own; BANDS pairs of minima make buckets.  Members of a bucket are compared with members
 that aggregates elect; what is then still apart in a bucket is compared in full, each with each of
 another component.  An exact Jaccard of 3/4 links, and distributed union-find makes components.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.shared import materialize
 
-WINDOW, BANDS, ROWS = 12, 8, 3
+WINDOW, BANDS, ROWS = 12, 12, 2
 #: Rounds of elections before the rest of a bucket is compared in full, and members elected a round.
 ELECTIONS, ELECTED = 2, 3
 FILTER = 1 << 24
 _WINDOWS = rf"(?s)(?=(.{{1,{WINDOW}}}))(?:\S{{1,{WINDOW}}}(?=\s|\z)\s*|\S)"
-#: A minimum by XOR distance to a fixed point picks each shingle of a set alike, and costs no new hash.
-_POINTS = [int.from_bytes(hashlib.sha256(bytes([j])).digest()[:8], "big", signed=True) for j in range(BANDS * ROWS)]
 
 
 def _shingles(line: Column) -> Column:
@@ -62,7 +58,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     """
     texts = lines.where("key is not null").select("key", "norm")
     hashed = texts.select("key", F.explode(_shingles(F.col("norm"))).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    minima = hashed.groupBy("key").agg(*(F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{j}") for j, c in enumerate(_POINTS)))
+    minima = hashed.groupBy("key").agg(*(F.min(F.hash(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)))
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     buckets = materialize(minima.select("key", bands.alias("bands")), "bands").select("key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")

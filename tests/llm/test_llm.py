@@ -148,6 +148,34 @@ def test_line_twins_among_strangers(spark):
     assert sum(got[2 * i] != got[2 * i + 1] for i in range(300)) <= 1
 
 
+def near_lines():
+    """Pairs of lines that differ in one to three words."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for _ in range(1500):
+        a = [letters(11) for _ in range(r.randint(7, 24))]
+        b = list(a)
+        for i in r.sample(range(len(a)), r.randint(1, 3)):
+            b[i] = letters(11)
+        yield " ".join(a), " ".join(b)
+
+
+def lost_pairs(spark, pairs):
+    data = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {x.doc_id: x.component for x in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    return sum(got[2 * i] != got[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_lines_near_the_threshold(spark):
+    """Bands find all but one in a hundred of the pairs that are just alike enough."""
+    import regex
+
+    anchored = regex.compile(line_dedup._WINDOWS.replace("\\z", "\\Z"), regex.ASCII)
+    windows = lambda x: set(anchored.findall(x))
+    near = [(a, b) for a, b in near_lines() if 0.75 <= len(windows(a) & windows(b)) / len(windows(a) | windows(b)) < 0.8]
+    assert len(near) > 100 and lost_pairs(spark, near) <= len(near) / 100
+
+
 def test_lines_leave(spark):
     d = spark.createDataFrame([(1, "same line of text here\nunique one", 0), (2, "same line of text here", 0), (3, None, 0), (4, "\n", 0), (5, "other words\nsame line of text here\n\nend of it", 0)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_copies(d).collect()}
