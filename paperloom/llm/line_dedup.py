@@ -1,9 +1,10 @@
 """Line dedup by MinHash: one line of each group of fuzzy copies stays.  DataFrame operations only.
 
-Equal lines (lower-cased, trimmed) are one key.  A line's shingles are windows of WINDOW
-characters that begin at words, and inside longer words at every character until the rest fits
-one, so that no character is left out.  Minima of hashed shingles are pre-aggregated before their
-shuffle, each by a hash of its own; BANDS pairs of minima make buckets.  Members of a bucket are compared with members
+Equal lines (lower-cased, trimmed) are one key.  A line's shingles are the windows of SHINGLE
+characters at every character; a shorter line is one.  Longer windows (WINDOW), which strangers
+seldom share, make the buckets; lines with few shingles are also banded by the shingles themselves.
+Minima of hashed windows are pre-aggregated before their shuffle, each by a hash of its own; BANDS
+pairs of minima make buckets.  Members of a bucket are compared with members
 that aggregates elect; what is then still apart in a bucket is compared in full, each with each of
 another component.  An exact Jaccard of 3/4 links, and distributed union-find makes components.
 """
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import connected_components
 from paperloom.llm.shared import materialize
 
-WINDOW, BANDS, ROWS = 12, 12, 2
+SHINGLE, WINDOW, BANDS, ROWS = 5, 8, 12, 2
+#: A line whose first START characters have at most FEW shingles is banded by shingles too; so is then every line that can be a copy of one with 3/4 of FEW.
+START, FEW = 20, 12
 #: Rounds of elections before the rest of a bucket is compared in full, and members elected a round.
 ELECTIONS, ELECTED = 2, 3
 FILTER = 1 << 24
-_WINDOWS = rf"(?s)(?=(.{{1,{WINDOW}}}))(?:\S{{1,{WINDOW}}}(?=\s|\z)\s*|\S)"
+_WINDOWS, _LONG = (rf"(?s)(?=(.{{{n}}}|\A.{{1,{n - 1}}}\z))." for n in (SHINGLE, WINDOW))
 
 
-def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(_WINDOWS), F.lit(1))
+def _shingles(line: Column, windows: str = _WINDOWS) -> Column:
+    return F.regexp_extract_all(line, F.lit(windows), F.lit(1))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,9 +60,11 @@ def line_links(lines: DataFrame) -> DataFrame:
     full: when this returns, any two members of a bucket are connected or were compared.
     """
     texts = lines.where("key is not null").select("key", "norm")
-    hashed = texts.select("key", F.explode(_shingles(F.col("norm"))).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    minima = hashed.groupBy("key").agg(*(F.min(F.hash(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    few = F.size(F.array_distinct(_shingles(F.left("norm", F.lit(START))))) <= FEW
+    long, short = (t.select("key", F.lit(k).alias("kind"), F.explode(_shingles(F.col("norm"), w)).alias("s")) for k, (t, w) in enumerate(((texts, _LONG), (texts.where(few), _WINDOWS))))
+    hashed = long.union(short).select("key", "kind", F.xxhash64("s").alias("h"))
+    minima = hashed.groupBy("key", "kind").agg(*(F.min(F.hash(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)))
+    bands = F.array(*(F.xxhash64("kind", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     buckets = materialize(minima.select("key", bands.alias("bands")), "bands").select("key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
     members = materialize(buckets.join(shared, "bucket"), "members")

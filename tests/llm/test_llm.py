@@ -176,6 +176,14 @@ def test_lines_near_the_threshold(spark):
     assert len(near) > 100 and lost_pairs(spark, near) <= len(near) / 100
 
 
+def test_lines_with_one_letter_changed(spark):
+    """Short lines that differ in a letter are copies; so are the shortest that may differ, and rules of any length."""
+    r = random.Random(6)
+    lines = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(12))[: r.randint(50, 79)].strip() for _ in range(200)]
+    pairs = [(x, x[: (i := r.randrange(len(x)))] + "0" + x[i + 1 :]) for x in lines]
+    assert lost_pairs(spark, [*pairs, ("menu 12", "menu 123"), ("-----", "-" * 90)]) == 0
+
+
 def test_lines_leave(spark):
     d = spark.createDataFrame([(1, "same line of text here\nunique one", 0), (2, "same line of text here", 0), (3, None, 0), (4, "\n", 0), (5, "other words\nsame line of text here\n\nend of it", 0)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_copies(d).collect()}
