@@ -41,14 +41,28 @@ def pretoken_pattern(pattern: str):
 #: A worker's encoders live as long as it does, so tasks that follow find words known.
 _encoders: dict[str, SpacedEncoder] = {}
 _ENDS = ".,;:!?"
+#: Letters that are composed already and whose lower case is one such letter, and ASCII: here lower-casing before the library's normal form changes nothing.
+_STABLE = regex.compile("[\x21-\x7e\xc0-\u012f\u0131-\u0148\u014a-\u017e]+")
+_LETTER = regex.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]")
+
+
+def learned_as(stretch: str) -> tuple[str, str]:
+    """What the library gets for a stretch, and a mark that follows it.
+
+    Only a stretch of _STABLE characters without the beginning of a special token is lower-cased
+    and parted from one mark behind a letter (there the library parts them too); any other goes as it is.
+    """
+    if not _STABLE.fullmatch(stretch) or "<|" in stretch:
+        return stretch, ""
+    low = stretch.lower()
+    return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in _ENDS and _LETTER.match(low[-2]) else (low, "")
 
 
 class SpacedEncoder:
     """Encodes texts by a tokenizer that lower-cases and whose pieces never cross or hold white space.
 
-    Each distinct stretch is learned once, from its lower case and without one mark at its end,
-    which is a piece of its own after a letter.  At most ``remembered`` stretches and a batch's
-    more are known at a time.
+    Each distinct stretch is learned once, as :func:`learned_as` has it.  At most ``remembered``
+    stretches and a batch's more are known at a time.
     """
 
     def __init__(self, path: str, remembered: int = 1_000_000):
@@ -72,10 +86,7 @@ class SpacedEncoder:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        plain = []
-        for w in new:
-            low = w.lower() if "\u03a3" not in w else w
-            plain.append((low[:-1], low[-1]) if low[-1] in _ENDS and len(low) > 1 and low[-2].isalpha() else (low, ""))
+        plain = list(map(learned_as, new))
         todo = [p for p in dict.fromkeys(p for p, _ in plain)]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]
         marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _ENDS}

@@ -3,15 +3,15 @@
 Documents become pieces of at most ``capacity`` tokens.  Only the histogram of piece lengths
 (``capacity`` numbers at most) goes to the driver, where a linear program over configurations
 (what fills one sequence) is solved by multiplicative weights, its columns priced by a knapsack
-dynamic program over length classes, and rounded down.  What rounding leaves, and the slack of
-the rounded sequences, goes through best fit, still by length and count.  Pieces then take their
+dynamic program over length classes, and rounded down; what rounding leaves is priced and solved
+again.  The last few pieces go through best fit, still by length and count.  Pieces then take their
 places by their rank among those of equal length, in one join on unique keys.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,11 +20,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.encoding import SpacedEncoder
-from paperloom.llm.shared import arrow_map, materialize
+from paperloom.llm.shared import arrow_map, materialize, partitions
 
 #: Ranks of one length that one plan row covers; longer runs are cut so that no task expands one alone.
 RUN = 5000
-SALTS = 64
+#: Parts of one length's pieces that are ranked apart, for each shuffle partition.
+SALTS = 4
+#: Configurations that one solution of the program buys, at most.
+ROUNDS = 500
+#: More distinct lengths than these are put into classes of capacity / 512.
+FEW = 64
+#: Of so many sequences that the program bought, one may be packed anew with what is left.
+REOPENED = 8
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
@@ -49,7 +56,7 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 500, rate: float = 6.0) -> list[tuple[Counter, float]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 6.0) -> list[tuple[Counter, float]]:
     """A fractional cover of the demand: (configuration, times), by multiplicative weights.
 
     Prices start at the sizes (the volume dual) and fall as a class is covered ahead of the
@@ -102,49 +109,89 @@ def best_fit(bins: list[tuple[tuple[int, ...], int]], left: Counter, capacity: i
     return [b for room in rooms for b in by_room[room]]
 
 
+def realised(chosen: list[tuple[list[int], int]], free: dict[int, int], capacity: int, unit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for (classes, times), as far as ``free`` (length -> count, reduced here) has pieces for them.
+
+    Each class gives its longest piece that is free; from the shortest on, a piece is then changed for
+    the longest that the sequence still has room for, so little of it stays empty.
+    """
+    lengths = sorted(free)
+    bins: list[tuple[tuple[int, ...], int]] = []
+    for classes, todo in chosen:
+        while todo:
+            inside: Counter = Counter()
+            for c in sorted(classes, reverse=True):
+                at = bisect_right(lengths, c * unit) - 1
+                while at >= 0 and lengths[at] > (c - 1) * unit and free[lengths[at]] <= inside[lengths[at]]:
+                    at -= 1
+                if at < 0 or lengths[at] <= (c - 1) * unit:
+                    break
+                inside[lengths[at]] += 1
+            else:
+                room = capacity - sum(x * n for x, n in inside.items())
+                for short in sorted(inside):
+                    if not room:
+                        break
+                    inside[short] -= 1
+                    at = bisect_right(lengths, short + room) - 1
+                    while free[lengths[at]] <= inside[lengths[at]]:
+                        at -= 1
+                    inside[lengths[at]] += 1
+                    room -= lengths[at] - short
+                n = min(todo, *(free[x] // k for x, k in inside.items() if k))
+                bins.append((tuple(sorted(inside.elements(), reverse=True)), n))
+                for x, k in inside.items():
+                    if k:
+                        free[x] -= k * n
+                        if not free[x]:
+                            del free[x], lengths[bisect_left(lengths, x)]
+                todo -= n
+                continue
+            break
+    return bins
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences) for all lengths of the histogram.
 
-    The rounded program with its leftovers by best fit; best fit alone only where that needs
-    fewer sequences (a handful of pieces).
+    The program is solved and rounded down; it is solved again, with new prices, on the pieces that
+    rounding leaves, until a solution places none.  What then remains (a few pieces that no configuration
+    holds in whole numbers) goes through best fit; where that needs more sequences than the volume does,
+    the last bought sequences, one in REOPENED at most, are packed anew together with it.
     """
-    unit = max(1, capacity // 512)
-    classes: dict[int, list[list[int]]] = defaultdict(list)
-    for length in sorted(histogram):
-        classes[-(-length // unit)].append([length, histogram[length]])
-    sizes = np.array(sorted(classes))
-    if not len(sizes):
-        return []
-    demand = np.array([sum(n for _, n in classes[s]) for s in sizes.tolist()], float)
+    free = {length: n for length, n in histogram.items() if n}
+    unit = max(1, capacity // 512) if len(free) > FEW else 1
     bins: list[tuple[tuple[int, ...], int]] = []
-    for chosen, times in sorted(configurations(sizes, demand, capacity // unit), key=lambda x: -x[1]):
-        want = [int(sizes[i]) for i, n in chosen.items() for _ in range(n)]
-        most = min((sum(n for _, n in classes[int(sizes[i])]) // k for i, k in chosen.items()), default=0)
-        todo = min(int(times), most)
+    while free:
+        demand: Counter = Counter()
+        for length, n in free.items():
+            demand[-(-length // unit)] += n
+        sizes = np.array(sorted(demand))
+        wanted = np.array([demand[s] for s in sizes.tolist()], float)
+        rounds = min(ROUNDS, max(1, int((sizes * wanted).sum() * unit // capacity)))
+        solved = sorted(configurations(sizes, wanted, capacity // unit, rounds), key=lambda x: (-x[1], sorted(x[0].items())))
+        more = realised([([int(sizes[i]) for i, n in chosen.items() for _ in range(n)], int(times + 1e-9)) for chosen, times in solved], free, capacity, unit)
+        if not more:
+            break
+        bins += more
+    total = sum(n for _, n in bins)
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    best = best_fit(bins, Counter(free), capacity)
+    opened = 1
+    while sum(n for _, n in best) > least and opened <= total // REOPENED:
+        kept, pieces, todo = list(bins), Counter(free), opened
         while todo:
-            inside = [classes[s][-1] for s in want]
-            same = Counter(x[0] for x in inside)
-            n = min(todo, *(x[1] // same[x[0]] for x in inside))
-            if n:
-                bins.append((tuple(x[0] for x in inside), n))
-                for x in inside:
-                    x[1] -= n
-            else:
-                n = 1
-                taken = []
-                for s in want:
-                    while not classes[s][-1][1]:
-                        classes[s].pop()
-                    taken.append(classes[s][-1][0])
-                    classes[s][-1][1] -= 1
-                bins.append((tuple(taken), 1))
-            for s in want:
-                while classes[s] and not classes[s][-1][1]:
-                    classes[s].pop()
-            todo -= n
-    left = Counter({length: n for rows in classes.values() for length, n in rows if n})
-    rounded, plain = best_fit(bins, left, capacity), best_fit([], Counter(histogram), capacity)
-    return rounded if sum(n for _, n in rounded) <= sum(n for _, n in plain) else plain
+            inside, n = kept.pop()
+            took = min(n, todo)
+            if took < n:
+                kept.append((inside, n - took))
+            for x in inside:
+                pieces[x] += took
+            todo -= took
+        again = best_fit(kept, pieces, capacity)
+        best = min(best, again, key=lambda b: sum(n for _, n in b))
+        opened *= 2
+    return best
 
 
 def plan_rows(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -196,7 +243,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     """
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    salted = pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {SALTS}) as int)"))
+    salted = pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {SALTS * partitions(spark)}) as int)"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -363,7 +363,27 @@ def test_plan(n):
         for x in inside:
             used[x] += k
     assert used == histogram
-    assert sum(k for _, k in bins) <= max(1.01 * math.ceil(lengths.sum() / 4096) + 1, 1)
+    assert sum(k for _, k in bins) <= sum(k for _, k in packing.best_fit([], collections.Counter(histogram), 4096))
+
+
+@pytest.mark.parametrize("histogram", [{1500: 999, 1300: 999, 1296: 998}, {2731: 100, 1365: 100}, {4096: 1000, 1: 3000}])
+def test_plan_beats_best_fit_where_lengths_are_few(histogram):
+    """Such mixes leave best fit up to a sixth above the volume; the program stays at it."""
+    count = sum(k for _, k in packing.plan(histogram, 4096))
+    assert count <= math.ceil(sum(x * n for x, n in histogram.items()) / 4096) + 1
+
+
+def test_plan_of_documents():
+    """The program's own plan of the larger table needs the volume and no more."""
+    import pyarrow.parquet as pq
+
+    encoder, histogram = SpacedEncoder.of(P.path("word_bpe_49k.json")), collections.Counter()
+    found = pq.read_table(f"{LABELLED}/documents.parquet", columns=["text"])["text"].to_pylist()
+    for ids in encoder.encode_batch([t or "" for t in found]):
+        full, rest = divmod(len(ids) + 1, 4096)
+        histogram.update({4096: full, rest: rest > 0} if rest else {4096: full})
+    histogram = {k: int(n) for k, n in histogram.items() if n}
+    assert sum(k for _, k in packing.plan(histogram, 4096)) == math.ceil(sum(x * n for x, n in histogram.items()) / 4096)
 
 
 def test_spaced_encoder():
@@ -372,6 +392,18 @@ def test_spaced_encoder():
         assert e.encode(t or "").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_spaced_encoder_on_hostile_texts():
+    """Every letter with every mark, special tokens in any case, odd spaces: as the library has them."""
+    r = random.Random(9)
+    letters, marks = [chr(c) for c in (*range(0x21, 0x250), *range(0x370, 0x400), 0x1E9E, 0xFB01, 0x212A, 0x212B, 0x1100, 0x1161)], [chr(c) for c in range(0x300, 0x346)]
+    parts = ["<|EndOfText|>", "<|endoftext|>", "<|StartOfText|>", "<|", "'Ll", "'s", "a.", "É,", "ΣİΣİ:", " ", "\n", "\x85", "\x1c", "\u3000", "\u200b"]
+    hostile = ["a <|EndOfText|> b", "Ϊ\u0301 x", *(a + b for a in letters for b in marks)]
+    hostile += ["".join(r.choice(parts) if r.random() < 0.4 else r.choice(marks) if r.random() < 0.2 else r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(20000)]
+    e = SpacedEncoder(P.path("word_bpe_49k.json"))
+    want = e.tokenizer.encode_batch(hostile, add_special_tokens=False)
+    assert [x.tolist() for x in e.encode_batch(hostile)] == [x.ids for x in want]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
