@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.byte_bpe import round_trip
 from paperloom.llm.chat_format import chat_format
+from paperloom.llm.chat_format import oracle_sql as chat_format_sql
 from paperloom.llm.line_dedup import line_dedup
 from paperloom.llm.lm_scoring import lm_scores
 from paperloom.llm.media_columns import media_digest
@@ -77,5 +78,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": chat_format_sql(),
     "op7_quality_rules": quality_rules_sql(),
 }

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -215,32 +216,52 @@ def test_byte_bpe(docs, rows, empty):
 def plain_chats(rows):
     convs = collections.defaultdict(list)
     for c, turn, role, text in rows:
-        convs[c].append(((turn is not None, turn or 0), turn, role or "", text or ""))
-    whole = {c: tuple((r, t) for _, _, r, t in sorted(v)) for c, v in convs.items()}
+        convs[c].append(((turn is not None, turn or 0), (role or "").encode(), (text or "").encode()))
+    whole = {c: tuple((r.decode(), t.decode()) for _, r, t in sorted(v)) for c, v in convs.items()}
     keep = collections.defaultdict(list)
     for c, v in whole.items():
         if not any(len(o) > len(v) and o[: len(v)] == v for o in whole.values()):
             keep[v].append(c)
-    return {v: (min((c for c in cs if c is not None), default=None), len(cs)) for v, cs in keep.items()}
+    mark = lambda x: re.sub(r"<(\\*)\|", lambda m: "<\\" + m[1] + "|", x)
+    text = lambda v: "".join(f"<|{mark(r)}|>\n{mark(t)}<|end|>\n" for r, t in v)
+    return {min((c for c in cs if c is not None), default=None): (text(v), len(v), len(cs)) for v, cs in keep.items()}
+
+
+CHATS = "conv_id long, turn long, role string, text string, part long, rank long"
+
+
+def check_chats(spark, rows):
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], CHATS).repartition(3)
+    got = collections.defaultdict(lambda: ("", 0, 0))
+    found = chat_format.chat_format(df)
+    for x in found.orderBy("part").collect():
+        got[x.conv_id] = (got[x.conv_id][0] + x.rendered, x.n_turns, x.n_logged)
+        assert x.rendered.count("<|end|>") <= chat_format.PART
+    assert dict(got) == plain_chats(rows)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(chat_format.oracle_sql()).df()
+    same(found.select(*want.columns).collect(), want.astype(object).where(want.notna(), None).itertuples(index=False))
 
 
 def test_chat_format(spark):
     r = random.Random(4)
     rows, logs = [], [[(("user", "assistant")[i % 2], word(r)) for i in range(r.randint(1, 9))] for _ in range(12)]
-    logs += [x[:k] for x in logs for k in (1, 3)] + [[("user", "a")] * 600, [("user", "a")] * 599, [(None, None)], [("", "")]]
+    logs += [x[:k] for x in logs for k in (1, 3)] + [[("user", "a")] * 600, [("user", "a")] * 599, [(None, None)], [("", "")], [("us|>er", "x<|end|>\n<|user|>\ny<\\|end|>")]]
     for c, turns in enumerate(logs):
-        start = r.choice([0, 1, 255])
+        start = r.choice([0, 1, 255, -300])
         rows += [(c, start + i, *t) for i, t in enumerate(turns)]
     rows += [(None, 0, "user", "nobody"), (500, None, "user", "q"), (500, 3, "assistant", "z"), (500, 3, "assistant", "z")]
-    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "conv_id long, turn long, role string, text string, part long, rank long").repartition(3)
-    got = collections.defaultdict(str)
-    seen = {}
-    for x in chat_format.chat_format(df).orderBy("part").collect():
-        got[x.conv_id] += x.rendered
-        seen[x.conv_id] = (x.n_turns, x.n_logged)
-    want = {c: ("".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in v), (len(v), n)) for v, (c, n) in plain_chats(rows).items()}
-    assert {c: (t, seen[c]) for c, t in got.items()} == want
-    assert chat_format.chat_format(df.limit(0)).count() == 0
+    check_chats(spark, rows)
+    assert chat_format.chat_format(spark.createDataFrame([], CHATS)).count() == 0
+
+
+def test_chat_format_with_ties(spark):
+    """Turns of equal or no number sort by role and text, for the hashes as for the rendering; many of them make several parts."""
+    r = random.Random(8)
+    rows = [(c, r.choice([None, 0, 0, 1, 2]), r.choice(["user", "assistant", None]), r.choice("abcd")) for c in range(80) for _ in range(r.randint(1, 5))]
+    rows += [(c, t, "user", x) for c, n in ((100, 2), (101, 3)) for t, x in ((1, "b"), (1, "a"), (2, "c"))[:n]] + [(200, 7, "user", str(i)) for i in range(700)]
+    check_chats(spark, rows)
 
 
 def test_lm_scoring(spark, docs, rows, empty):
