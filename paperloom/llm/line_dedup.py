@@ -1,114 +1,181 @@
-"""Line dedup by MinHash: one line of each group of fuzzy copies stays.  DataFrame operations only.
-
-Equal lines (lower-cased, trimmed) are one key.  A line's shingles are the windows of SHINGLE
-characters at every character; a shorter line is one.  Longer windows (WINDOW), which strangers
-seldom share, make the buckets; lines with few shingles are also banded by the shingles themselves.
-Minima of hashed windows are pre-aggregated before their shuffle, each by a hash of its own; BANDS
-pairs of minima make buckets.  Members of a bucket are compared with members
-that aggregates elect; what is then still apart in a bucket is compared in full, each with each of
-another component.  An exact Jaccard of 3/4 links, and distributed union-find makes components.
+"""Line dedup by MinHash: one line of each group of fuzzy copies stays.
+
+Equal lines (trimmed, lower-cased) are one key.  One pass over the texts signs each distinct line of
+a block (:mod:`line_signatures`) and deals its band buckets, packed, over parts of the bucket space; a
+bucket of one key goes no further.  Members of the others are compared with members that are elected
+by hash; the elected, compared with all, leave, and those not yet connected elect again, more each
+time, until every two members of a bucket are connected or were compared.  An exact Jaccard of 3/4
+of 5-character shingles links, and distributed union-find makes components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.shared import materialize
+from paperloom.llm.line_signatures import alike, banded, set_sizes
+from paperloom.llm.shared import ROW, arrow_map, blocks, materialize, numbered, parts
+from paperloom.llm.word_blocks import pack, unpack
 
-SHINGLE, WINDOW, BANDS, ROWS = 5, 8, 12, 2
-#: A line whose first START characters have at most FEW shingles is banded by shingles too; so is then every line that can be a copy of one with 3/4 of FEW.
-START, FEW = 20, 12
-#: Rounds of elections before the rest of a bucket is compared in full, and members elected a round.
-ELECTIONS, ELECTED = 2, 3
-FILTER = 1 << 24
-_WINDOWS, _LONG = (rf"(?s)(?=(.{{{n}}}|\A.{{1,{n - 1}}}\z))." for n in (SHINGLE, WINDOW))
+#: Members of a bucket that are elected first, and how many times more each time.
+ELECTED, MORE = 4, 8
+#: Pairs of one line that are verified in one place.
+CROWD = 1000
 
 
-def _shingles(line: Column, windows: str = _WINDOWS) -> Column:
-    return F.regexp_extract_all(line, F.lit(windows), F.lit(1))
+def norm(line: str) -> str:
+    return line.strip(" \t\r\x0b\f").lower()
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, key) of every line; blank lines have a null key."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    trimmed = F.lower(F.btrim("line", F.lit(" \t\r\x0b\f")))
-    return split.withColumn("norm", trimmed).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
+def _key(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _probably(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` without most rows of other keys: a bitmap of FILTER bits over hashed keys, of that size whatever the data, filters before the shuffle."""
-    chunk, place = F.expr(f"cast(floor(pmod(xxhash64(key, 7), {FILTER}) / 32768) as int)"), F.expr(f"cast(pmod(pmod(xxhash64(key, 7), {FILTER}), 32768) as int)")
-    maps = wanted.select(chunk.alias("chunk"), place.alias("place")).groupBy("chunk").agg(F.call_function("bitmap_construct_agg", F.col("place").cast("long")).alias("bits"))
-    marked = texts.withColumn("chunk", chunk).withColumn("place", place).join(F.broadcast(maps), "chunk")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, F.col("place") % 8) == 1).select(*texts.columns)
+def _packed(places: np.ndarray, buckets: np.ndarray, keys: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """(part, bucket hashes in order as differences, keys) of a block."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, keys = buckets[order], keys[places[order]]
+    part = ((buckets >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(n + 1))
+    return [(p, pack(np.diff(buckets[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), keys[a:b].tobytes())) for p in np.flatnonzero(np.diff(cuts)).tolist() for a, b in [(cuts[p], cuts[p + 1])]]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have an exact Jaccard of 3/4."""
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 4 >= (F.size("sa") + F.size("sb") - F.col("i")) * 3).select("a", "b")
+def _shared(table: pa.Table) -> pa.Table:
+    """(bucket, key) of the buckets of one part that have two keys or more."""
+    buckets, keys = [], []
+    for blob in table["packed"].to_pylist():
+        steps, found = unpack(blob)
+        buckets.append(np.cumsum(np.frombuffer(steps, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64))
+        keys.append(np.frombuffer(found, np.int64))
+    bucket, key = np.concatenate(buckets), np.concatenate(keys)
+    order = np.lexsort((key, bucket))
+    bucket, key = bucket[order], key[order]
+    fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])]
+    bucket, key = bucket[fresh], key[fresh]
+    again = bucket[1:] == bucket[:-1]
+    keep = np.r_[again, False] | np.r_[False, again]
+    return pa.table({"bucket": pa.array(bucket[keep].view(np.int64)), "key": pa.array(key[keep])})
 
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """(a, b): keys of fuzzy copies, found by banding and verified exactly; of pairs that others connect, not all.
+def signed(docs: DataFrame) -> DataFrame:
+    """One stored table of three kinds of rows: lines of a text (row, doc_id, keys), a block's buckets (part, packed), its distinct lines (key, norm).
 
-    Elections only make the rest smaller.  Whatever they leave apart in a bucket is compared in
-    full: when this returns, any two members of a bucket are connected or were compared.
+    ``keys`` has a null for each blank line.
     """
-    texts = lines.where("key is not null").select("key", "norm")
-    few = F.size(F.array_distinct(_shingles(F.left("norm", F.lit(START))))) <= FEW
-    long, short = (t.select("key", F.lit(k).alias("kind"), F.explode(_shingles(F.col("norm"), w)).alias("s")) for k, (t, w) in enumerate(((texts, _LONG), (texts.where(few), _WINDOWS))))
-    hashed = long.union(short).select("key", "kind", F.xxhash64("s").alias("h"))
-    minima = hashed.groupBy("key", "kind").agg(*(F.min(F.hash(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)))
-    bands = F.array(*(F.xxhash64("kind", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    buckets = materialize(minima.select("key", bands.alias("bands")), "bands").select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
-    members = materialize(buckets.join(shared, "bucket"), "members")
-    wanted = members.select("key").distinct()
-    sets = _probably(texts, wanted).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("norm").alias("norm"))
-    sets = materialize(sets.select("key", F.transform(F.array_distinct(_shingles(F.col("norm"))), lambda s: F.xxhash64(s)).alias("set")), "sets")
-    apart = members.join(sets.select("key", F.size("set").alias("n")), "key").withColumn("component", F.col("key"))
-    links = None
-    for turn in range(ELECTIONS + 1):
-        apart = materialize(apart, "apart")
-        other = apart
-        if turn < ELECTIONS:
-            heads = apart.groupBy("bucket").agg(*(F.min_by(F.struct("key", "n", "component"), F.hash("key", F.lit(turn * ELECTED + i))).alias(f"e{i}") for i in range(ELECTED)))
-            other = heads.select("bucket", F.explode(F.array_distinct(F.array(*(f"e{i}" for i in range(ELECTED))))).alias("e")).select("bucket", "e.*")
-        other = other.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        pairs = apart.join(other, "bucket").where("component <> component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n")
-        pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
-        found = materialize(_verified(materialize(pairs.distinct(), "pairs"), sets), "links")
+    n = parts(docs)
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = pa.schema([("row", pa.int64()), ("doc_id", {"int": pa.int32(), "string": pa.string()}.get(doc_type, pa.int64())), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("packed", pa.binary()), ("key", pa.int64()), ("norm", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(columns: dict[str, list]) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+        for ids, texts in blocks(pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["row", "doc_id"]), b.column(2)], names=["id", "text"]) for b in batches):
+            known: dict[str, int] = {}
+            found = []
+            for t in texts:
+                here = []
+                for line in map(norm, t.decode("utf-8", "replace").split("\n")):
+                    if line and line not in known:
+                        known[line] = _key(line)
+                    here.append(known.get(line))
+                found.append(here)
+            yield rows({"row": [i["row"] for i in ids], "doc_id": [i["doc_id"] for i in ids], "keys": found})
+            lines, keys = list(known), np.fromiter(known.values(), np.int64, len(known))
+            packed = _packed(*banded(lines), keys, n)
+            yield rows({"part": [p for p, _ in packed], "packed": [b for _, b in packed]})
+            for at in range(0, len(lines), 5000):
+                yield rows({"key": keys[at : at + 5000].tolist(), "norm": lines[at : at + 5000]})
+
+    ddl = f"row long, doc_id {doc_type}, keys array<long>, part int, packed binary, key long, norm string"
+    return materialize(arrow_map(docs.select(ROW, "doc_id", "text"), run, ddl), "signed")
+
+
+def _probably(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """``texts`` without most rows of other keys: a bitmap over hashed keys, of 16 MB at most, filters before any shuffle."""
+    bits = 1 << min(27, max(20, (16 * count).bit_length()))
+    chunk, place = F.expr(f"cast(floor(pmod(xxhash64(key, 7), {bits}) / 32768) as int)"), F.expr(f"cast(pmod(pmod(xxhash64(key, 7), {bits}), 32768) as int)")
+    maps = wanted.select(chunk.alias("chunk"), place.alias("place")).groupBy("chunk").agg(F.call_function("bitmap_construct_agg", F.col("place").cast("long")).alias("bits"))
+    marked = texts.withColumn("chunk", chunk).withColumn("place", place).join(F.broadcast(maps), "chunk")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.col("place") % 8) == 1).select(*texts.columns)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose lines are alike.  A line of many pairs is copied for each CROWD of them."""
+
+    def check(batches):
+        for b in batches:
+            yield b.select(["a", "b"]).filter(pa.array(alike(b.column(2).to_pylist(), b.column(3).to_pylist())))
+
+    crowds = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("s"))
+    left = texts.select(F.col("key").alias("a"), F.col("norm").alias("na")).join(crowds, "a").withColumn("salt", F.explode(F.expr("sequence(0, s - 1)"))).drop("s")
+    salted = pairs.join(crowds, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), s) as int)").alias("salt"))
+    both = salted.join(left, ["a", "salt"]).join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
+    return arrow_map(both.select("a", "b", "na", "nb"), check, "a long, b long")
+
+
+def line_links(rows: DataFrame) -> DataFrame:
+    """(a, b): keys of fuzzy copies among the lines of :func:`signed`; of pairs that others connect, not all."""
+    members = materialize(rows.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(_shared, "bucket long, key long"), "members")
+    wanted = materialize(members.select("key").distinct(), "wanted")
+    near = materialize(_probably(rows.where("key is not null").select("key", "norm"), wanted, wanted.count()), "near")
+    one = near.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi")
+
+    def sized(batches):
+        for b in batches:
+            yield b.append_column("n", pa.array(set_sizes(b.column(1).to_pylist())))
+
+    texts = materialize(arrow_map(one, sized, "key long, norm string, n long"), "texts")
+    apart = members.join(texts.select("key", "n"), "key").withColumn("component", F.col("key"))
+    links, elected = None, ELECTED
+    while True:
+        apart = materialize(apart.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key"))), "apart")
+        if links is not None and apart.isEmpty():
+            return links
+        heads = apart.where(F.col("rank") <= elected).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
+        pairs = apart.join(heads, "bucket").where("component <> other and 4 * n >= 3 * m and 4 * m >= 3 * n")
+        pairs = materialize(pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
+        found = materialize(_verified(pairs, texts), "links")
         links = found if links is None else links.union(found)
-        if turn < ELECTIONS:
-            linked = materialize(connected_components(links), "linked")
-            apart = apart.drop("component").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
-            split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
-            apart = apart.join(split, "bucket").select("bucket", "key", "n", "component")
-    return links
+        linked = materialize(connected_components(links), "linked")
+        rest = apart.where(F.col("rank") > elected).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
+        split = rest.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
+        apart = rest.join(split, "bucket")
+        elected *= MORE
+
+
+def line_verdicts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, line_no, component, kept) of every line of every row of a stored table with row numbers."""
+    rows = signed(docs)
+    found = rows.where("row is not null").select("row", "doc_id", F.posexplode("keys").alias("line_no", "key"))
+    linked = connected_components(materialize(line_links(rows), "links"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
+    firsts = found.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
+    named = materialize(firsts.join(linked, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component")), "named")
+    lowest = named.groupBy("component").agg(F.min("first").alias("stays"))
+    decided = named.join(lowest, "component").select(F.col("key").alias("k"), "component", "stays")
+    lines = found.where("key is not null").join(decided, F.col("key") == F.col("k")).select("row", "doc_id", "line_no", "component", (place == F.col("stays")).alias("kept"))
+    blank = found.where("key is null").select("row", "doc_id", "line_no", F.lit(None).cast("long").alias("component"), F.lit(True).alias("kept"))
+    return lines.unionByName(blank)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, component, kept) of every line of every row of ``docs``.
 
-    Of each component the first line stays, by doc_id and line number; blank lines always stay
+    Of each component the first line stays, by doc_id, row and line number; blank lines always stay
     and have a null component.  A null text is one blank line.  A null doc_id comes after all
-    others.  Rows with an equal doc_id and line number count as one line.  Extra columns are not
-    read; an empty table gives an empty one.
+    others; rows of an equal doc_id are texts of their own.  Extra columns are not read; an empty
+    table gives an empty one.
     """
-    lines = lines_of(docs)
-    found = materialize(lines.select("doc_id", "line_no", "key"), "lines")
-    linked = connected_components(materialize(line_links(lines), "links"))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
-    firsts = found.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
-    named = firsts.join(linked, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("stays"))
-    decided = named.join(lowest, "component").select(F.col("key").alias("k"), "component", "stays")
-    return found.join(decided, F.col("key") == F.col("k"), "left").select("doc_id", "line_no", "component", F.when(F.col("key").isNull(), True).otherwise(place == F.col("stays")).alias("kept"))
+    return line_verdicts(numbered(docs)).drop("row")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -116,14 +183,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     All columns are kept; ``n_chars``, where there is one, follows the new text.
     """
-    verdict = line_dedup(docs).where("not kept").select("doc_id", "line_no")
-    lost = verdict.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    joined = docs.join(lost.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    numbered = F.split(F.col("text"), "\n")
-    stay = F.array_join(F.filter(numbered, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(stay)
-    out = joined.withColumn("__new", text).where(F.col("gone").isNull() | F.col("__new").rlike(r"[^\s]"))
-    out = out.withColumn("text", F.col("__new"))
+    rows = numbered(docs)
+    lost = line_verdicts(rows).where("not kept").groupBy(F.col("row").alias(ROW)).agg(F.collect_set("line_no").alias(f"{ROW}_gone"))
+    joined, gone = rows.join(lost, ROW, "left"), F.col(f"{ROW}_gone")
+    stay = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    new = F.when(gone.isNull(), F.col("text")).otherwise(stay)
+    out = joined.withColumn(f"{ROW}_new", new).where(gone.isNull() | F.col(f"{ROW}_new").rlike(r"[^\s]")).withColumn("text", F.col(f"{ROW}_new"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.shared import arrow_map, arrow_rows, blocks, forget, materialize, partitions
+from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered, parts
 from paperloom.llm.words import shingle_sets
 
 #: Classes of one part of a family.
@@ -266,8 +266,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame) -> DataFrame:
     """(a, b): linked classes of different sets, enough of the links to connect all that links connect."""
-    spark = docs.sparkSession
-    n = min(partitions(spark), 60_000)
+    n = parts(docs)
     dealt = arrow_map(docs.select("doc_id", "text"), _deal(n), "bucket int, keys binary, sizes binary, at binary, grams binary")
     shared = dealt.groupBy("bucket").applyInArrow(_count(n), "part int, keys binary, sizes binary, counts binary, grams binary, df binary, anchors binary")
     classes = materialize(shared.groupBy("part").applyInArrow(_prefixes, "key long, size long, grams binary, anchors array<long>"), "classes")
@@ -300,3 +299,17 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("class").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     merged = named.join(lowest.where("n > 1").drop("n"), "class", "left").select(F.col("key").alias("k"), F.coalesce("component_id", "first").alias("component_id"))
     return members.join(merged, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one with the lowest doc_id, a null one last.
+
+    Rows count, not doc_ids: of two rows with one doc_id each stays unless it is in a component with
+    a row that comes before it.  All columns are kept; rows without shingles stay.
+    """
+    rows = numbered(docs)
+    groups = ngram_jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    placed = materialize(groups.join(rows.select(ROW, "doc_id"), ROW).select("group", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", ROW).alias("place")), "placed")
+    firsts = placed.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = placed.join(firsts, "group").where("place <> first").select(F.col(f"place.{ROW}").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

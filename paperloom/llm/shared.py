@@ -14,11 +14,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
 #: Texts of one block at most, so that places in a block fit 16 bits.
 BLOCK_DOCS = 60_000
+#: Bytes of input, as it is stored, for each part that one task holds.
+PART_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -32,19 +35,42 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is named (tests)."""
+    """The folder all executors share.  One of our own only where none is named and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` with its rows in the same order at every read: itself where it is a projection of files, else written."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.lstrip(" +-:") for line in plan.strip().split("\n")]
+    return df if all(x.startswith(("Project", "Relation")) for x in steps) else materialize(df, "stored")
+
+
+ROW = "__paperloom_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as stored, with a number for each row in the column ROW."""
+    return stored(docs).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def parts(df: DataFrame) -> int:
+    """Parts to deal a table over: one for each PART_BYTES of its files or partition of a shuffle, whichever are more."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(60_000, max(partitions(df.sparkSession), -(-size // PART_BYTES) if size < 1 << 60 else 0))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a DataFrame that reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -85,6 +85,17 @@ def test_ngram_join_on_documents(spark):
     same(QUERIES["op1_ngram_join"](spark, SMALL).collect(), brute.jaccard_components([tuple(r) for r in d.select("doc_id", "text").collect()]))
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows with one doc_id but different texts both stay; of equal and near ones the lowest doc_id does."""
+    r = random.Random(3)
+    base = [word(r) for _ in range(200)]
+    near = " ".join([*base[:100], "other", *base[101:]])
+    rows = [(5, " ".join(base), 1), (3, near, 2), (5, " ".join(base), 3), (None, near, 4), (7, "its own text, quite short", 5), (7, "another text of row seven", 6), (8, None, 7), (8, "", 8)]
+    out = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(2))
+    assert sorted(x.component_id for x in out.collect()) == [2, 5, 6, 7, 8] and out.columns == ["doc_id", "text", "component_id"]
+    assert ngram_join.without_near_copies(out.limit(0)).count() == 0
+
+
 def test_signature_tree_bounds():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 1 << 48, 40, dtype=np.uint64)) for _ in range(30)]
@@ -102,39 +113,71 @@ def test_components(spark):
     assert got == {n: want[n] for e in edges if e[0] is not None for n in e}
 
 
-def brute_lines(rows):
-    """Components of distinct lines over all pairs, and the lines that stay."""
-    import regex
+def plain_shingles(line):
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
+
 
-    anchored = regex.compile(line_dedup._WINDOWS.replace("\\z", "\\Z"), regex.ASCII)
-    norm = lambda x: x.strip(" \t\r\x0b\f").lower()
-    places, sets = collections.defaultdict(list), {}
-    for doc, t in rows:
+def plain_norm(line):
+    return line.strip(" \t\r\x0b\f").lower()
+
+
+def plain_line_links(lines):
+    """All pairs of distinct lines with a Jaccard of 3/4, through shared shingles."""
+    sets, holders, common = [plain_shingles(x) for x in lines], collections.defaultdict(list), collections.Counter()
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    for i, s in enumerate(sets):
+        # Of two sets that link, the rarest quarter (and one) of either meets the other.
+        rare = sorted(s, key=lambda g: (len(holders[g]), g))[: len(s) - -(-3 * len(s) // 4) + 1]
+        common.update((j, i) for j in {j for g in rare for j in holders[g]} if j != i)
+    return [(a, b) for a, b in common if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+
+
+def brute_lines(rows):
+    """The place of the first line of each line's component, by (row, line number)."""
+    places = collections.defaultdict(list)
+    for k, (doc, t) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
-            if norm(line):
-                places[norm(line)].append((doc is None, doc if doc is not None else 0, n))
-                sets[norm(line)] = frozenset(anchored.findall(norm(line)))
+            if plain_norm(line):
+                places[plain_norm(line)].append((doc is None, doc if doc is not None else 0, k, n))
     keys = list(places)
-    links = [(a, b) for a, b in itertools.combinations(range(len(keys)), 2) if 4 * len(sets[keys[a]] & sets[keys[b]]) >= 3 * len(sets[keys[a]] | sets[keys[b]])]
-    comp = brute.union_find(len(keys), links)
+    comp = brute.union_find(len(keys), plain_line_links(keys))
     first = {}
     for k, c in zip(keys, comp, strict=True):
         first[c] = min([*places[k], *([first[c]] if c in first else [])])
-    return {(None if late else doc, n): (late, doc, n) == first[c] for k, c in zip(keys, comp, strict=True) for late, doc, n in places[k]}
+    return {(p[2], p[3]): (first[c][2:], p == first[c]) for k, c in zip(keys, comp, strict=True) for p in places[k]}
 
 
-def test_line_dedup(docs, rows, empty):
-    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_dedup(docs).where("component is not null").collect()}
-    assert got == brute_lines(rows)
+def spark_lines(spark, rows):
+    """The same by the operator, for rows without repeated (doc_id, line number)."""
+    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("component is not null").collect()
+    place = {doc: k for k, (doc, _) in enumerate(rows)}
+    stays = {r.component: (place[r.doc_id], r.line_no) for r in found if r.kept}
+    return {(place[r.doc_id], r.line_no): (stays[r.component], r.kept) for r in found}
+
+
+def test_line_dedup(spark, docs, rows, empty):
+    single = [r for i, r in enumerate(rows) if r[0] not in {d for d, _ in rows[:i]}]
+    assert spark_lines(spark, single) == brute_lines(single)
+    assert line_dedup.line_dedup(docs).count() == sum((t or "").count("\n") + 1 for _, t in rows)
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_line_dedup_recall(spark):
+def test_line_links_of_documents(spark):
+    """Recall over links, not rows: of all pairs of alike lines at least 99 of 100 share a component, and no others do."""
     d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    want = brute_lines([tuple(r) for r in d.collect()])
-    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_dedup(d).where("component is not null").collect()}
-    assert got.keys() == want.keys()
-    assert sum(got[k] != want[k] for k in want) <= 0.005 * len(want)
+    rows = [tuple(r) for r in d.collect()]
+    lines = list(dict.fromkeys(n for _, t in rows for x in (t or "").split("\n") if (n := plain_norm(x))))
+    links = plain_line_links(lines)
+    rows_of = {n: k for k, n in enumerate(lines)}
+    component = {}
+    for r in line_dedup.line_dedup(d).where("component is not null").join(d, "doc_id").collect():
+        component[rows_of[plain_norm(r.text.split("\n")[r.line_no])]] = r.component
+    assert len(component) == len(lines) and len(links) > 10
+    assert sum(component[a] == component[b] for a, b in links) >= 0.99 * len(links)
+    want = brute.union_find(len(lines), links)
+    assert len({(component[i], want[i]) for i in range(len(lines))}) == len(set(component.values())) or sum(component[a] != component[b] for a, b in links)
 
 
 def test_line_twins_among_strangers(spark):
@@ -169,10 +212,7 @@ def lost_pairs(spark, pairs):
 
 def test_lines_near_the_threshold(spark):
     """Bands find all but one in a hundred of the pairs that are just alike enough."""
-    import regex
-
-    anchored = regex.compile(line_dedup._WINDOWS.replace("\\z", "\\Z"), regex.ASCII)
-    windows = lambda x: set(anchored.findall(x))
+    windows = plain_shingles
     near = [(a, b) for a, b in near_lines() if 0.75 <= len(windows(a) & windows(b)) / len(windows(a) | windows(b)) < 0.8]
     assert len(near) > 100 and lost_pairs(spark, near) <= len(near) / 100
 
@@ -191,6 +231,32 @@ def test_lines_leave(spark):
     assert got == {1: ("same line of text here\nunique one", 0), 3: (None, 0), 4: ("\n", 0), 5: ("other words\n\nend of it", 22)}
 
 
+def test_lines_leave_rows_of_one_doc_id_alone(spark):
+    """Rows with an equal doc_id are texts of their own; clashing columns and nulls do no harm."""
+    rows = [(2, "a line that two rows have in common", "x"), (2, "first of its own kind here\na line that two rows have in common", None), (2, "unique words of the third row", "z"), (None, None, "n")]
+    out = line_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string, gone string"))
+    assert out.columns == ["doc_id", "text", "gone"]
+    got = sorted((r.text or "", r.gone or "") for r in out.collect())
+    lines = [x for t, _ in got for x in t.split("\n") if x]
+    assert sorted(lines) == sorted({x for _, t, _ in rows if t for x in t.split("\n")}) and ("", "n") in got
+
+
+def test_line_signatures():
+    """Windows, sets and pairs as plain code has them, over chunks and for the shortest lines."""
+    from paperloom.llm import line_signatures as signatures
+
+    r = random.Random(2)
+    lines = ["".join(r.choices("abé日🎉 ", k=r.choice([1, 2, 4, 5, 6, 30, 300]))) for _ in range(900)] + ["x" * 70000, "y"]
+    assert signatures.set_sizes(lines).tolist() == [len(plain_shingles(x)) for x in lines]
+    others = [x[: -r.randint(1, 3)] + "q" if len(x) > 3 else x for x in lines]
+    want = [4 * len(plain_shingles(a) & plain_shingles(b)) >= 3 * len(plain_shingles(a) | plain_shingles(b)) for a, b in zip(lines, others, strict=True)]
+    assert signatures.alike(lines, others).tolist() == want and 100 < sum(want) < 900
+    places, found = signatures.banded(lines)
+    assert set(places.tolist()) == set(range(len(lines)))
+    again, other = signatures.banded(lines[::-1])
+    assert {(lines[p], b) for p, b in zip(places.tolist(), found.tolist(), strict=True)} == {(lines[::-1][p], b) for p, b in zip(again.tolist(), other.tolist(), strict=True)}
+
+
 def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer
 
