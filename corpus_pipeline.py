@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm.line_dedup import without_copies
-from paperloom.llm.ngram_join import ngram_jaccard_join
+from paperloom.llm.ngram_join import without_near_copies
 from paperloom.llm.packing import best_fit_packing
 from paperloom.llm.quality_classifier import kept_by_classifier
 from paperloom.llm.quality_rules import kept_by_rules
@@ -33,9 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the lowest id of each group stays."""
-    groups = ngram_jaccard_join(docs)
-    rest = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rest, F.col("doc_id") == F.col("__id"), "left_anti")
+    return without_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
