@@ -3,9 +3,10 @@
 Equal lines (trimmed, lower-cased) are one key.  One pass over the texts signs each distinct line of
 a block (:mod:`line_signatures`) and deals its band buckets, packed, over parts of the bucket space; a
 bucket of one key goes no further.  Members of the others are compared with members that are elected
-by hash; the elected, compared with all, leave, and those not yet connected elect again, more each
-time, until every two members of a bucket are connected or were compared.  An exact Jaccard of 3/4
-of 5-character shingles links, and distributed union-find makes components.
+by hash; the elected, compared with all, leave, and those not yet connected elect once more.  Lines that
+are then still apart in some bucket are joined exactly, by their rarest shingles: of two sets that
+link, the first n - ceil(3n/4) + 1 of either meet.  An exact Jaccard of 3/4 of 5-character shingles
+links, and distributed union-find makes components.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.line_signatures import alike, banded, set_sizes
+from paperloom.llm.line_signatures import alike, banded, set_sizes, shingle_hashes
 from paperloom.llm.shared import ROW, arrow_map, blocks, materialize, numbered, parts
 from paperloom.llm.word_blocks import pack, unpack
 
-#: Members of a bucket that are elected first, and how many times more each time.
-ELECTED, MORE = 4, 8
+#: Members of a bucket that are elected at a time, and how often.
+ELECTED, ELECTIONS = 4, 2
 #: Pairs of one line that are verified in one place.
 CROWD = 1000
 
@@ -135,21 +136,42 @@ def line_links(rows: DataFrame) -> DataFrame:
 
     texts = materialize(arrow_map(one, sized, "key long, norm string, n long"), "texts")
     apart = members.join(texts.select("key", "n"), "key").withColumn("component", F.col("key"))
-    links, elected = None, ELECTED
-    while True:
+    links = None
+    for _ in range(ELECTIONS):
         apart = materialize(apart.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key"))), "apart")
-        if links is not None and apart.isEmpty():
-            return links
-        heads = apart.where(F.col("rank") <= elected).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = apart.join(heads, "bucket").where("component <> other and 4 * n >= 3 * m and 4 * m >= 3 * n")
-        pairs = materialize(pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
-        found = materialize(_verified(pairs, texts), "links")
-        links = found if links is None else links.union(found)
+        heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
+        links = _linked(apart.join(heads, "bucket"), texts, links)
         linked = materialize(connected_components(links), "linked")
-        rest = apart.where(F.col("rank") > elected).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
+        rest = apart.where(F.col("rank") > ELECTED).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
         split = rest.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
         apart = rest.join(split, "bucket")
-        elected *= MORE
+    left = materialize(apart.select("key", "n", "component").distinct(), "left")
+    rare = materialize(_rarest(texts.join(left.select("key"), "key", "left_semi")), "rare").join(left, "key")
+    return _linked(rare.join(rare.select("shingle", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "shingle").where("key < head"), texts, links)
+
+
+def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``links`` and those candidates (key, head) of different components that are alike."""
+    pairs = candidates.where("component <> other and 4 * n >= 3 * m and 4 * m >= 3 * n")
+    pairs = materialize(pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
+    found = materialize(_verified(pairs, texts), "links")
+    return found if links is None else links.union(found)
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """(key, shingle): the first n - ceil(3n/4) + 1 shingles of each line, the rarest among ``texts`` first."""
+
+    def cut(batches):
+        for b in batches:
+            lines = b.column(1).to_pylist()
+            sets = shingle_hashes(lines)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())], names=["key", "shingle"])
+
+    found = materialize(arrow_map(texts.select("key", "norm"), cut, "key long, shingle long"), "shingles")
+    often = found.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("key").orderBy("df", "shingle")
+    placed = found.join(often.where("df > 1"), "shingle", "left").select("key", "shingle", F.coalesce("df", F.lit(1)).alias("df")).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return placed.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "shingle")
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:

@@ -126,6 +126,13 @@ def set_sizes(lines: list[str]) -> np.ndarray:
     return out
 
 
+def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
+    """Each line's distinct shingles, as 64-bit hashes."""
+    hashes, counts = windows(*characters(lines), SHINGLE)
+    ends = np.cumsum(counts).tolist()
+    return [np.unique(hashes[b - n : b].view(np.int64)) for b, n in zip(ends, counts.tolist(), strict=True)]
+
+
 def alike(a: list[str], b: list[str]) -> np.ndarray:
     """Whether each pair of lines has shingle sets with a Jaccard of 3/4 or more."""
     both, out = [x for p in zip(a, b, strict=True) for x in p], np.zeros(len(a), bool)

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered, parts
+from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered
+from paperloom.llm.shared import parts as parts_of
 from paperloom.llm.words import shingle_sets
 
 #: Classes of one part of a family.
@@ -266,7 +267,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame) -> DataFrame:
     """(a, b): linked classes of different sets, enough of the links to connect all that links connect."""
-    n = parts(docs)
+    n = parts_of(docs)
     dealt = arrow_map(docs.select("doc_id", "text"), _deal(n), "bucket int, keys binary, sizes binary, at binary, grams binary")
     shared = dealt.groupBy("bucket").applyInArrow(_count(n), "part int, keys binary, sizes binary, counts binary, grams binary, df binary, anchors binary")
     classes = materialize(shared.groupBy("part").applyInArrow(_prefixes, "key long, size long, grams binary, anchors array<long>"), "classes")
