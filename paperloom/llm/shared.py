@@ -60,10 +60,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs).withColumn(ROW, F.monotonically_increasing_id())
 
 
-def parts(df: DataFrame) -> int:
-    """Parts to deal a table over: one for each PART_BYTES of its files or partition of a shuffle, whichever are more."""
+def parts(df: DataFrame, least: int | None = None) -> int:
+    """Parts to deal a table over: one for each PART_BYTES of its files, as many as partitions of a shuffle (or ``least``) at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(60_000, max(partitions(df.sparkSession), -(-size // PART_BYTES) if size < 1 << 60 else 0))
+    return min(60_000, max(least or partitions(df.sparkSession), -(-size // PART_BYTES) if size < 1 << 60 else 0))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

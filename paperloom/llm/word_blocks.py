@@ -36,6 +36,8 @@ def pack_words(words: list[bytes], *more: bytes) -> bytes:
 
 def split_words(lengths: bytes, joined: bytes) -> list[bytes]:
     ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+    if not ends:
+        return []
     return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 

@@ -341,24 +341,109 @@ def test_lm_scoring(spark, docs, rows, empty):
         w = words(t)
         want[(d, held(d), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score <= 0 for r in got)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm_scoring.lm_scores(empty).count() == 0
-
-
-def test_lm_probabilities_sum_to_one():
+    model = plain_lm([t or "" for d, t in rows if not held(d)])
+    for r in got[::7]:
+        logs, _ = model((next(t for d, t in rows if d == r.doc_id) or "").encode())
+        assert any(abs(r.score - float(sum(model((t or "").encode())[0]))) < 1e-6 for d, t in rows if d == r.doc_id), (r.doc_id, sum(logs))
+
+
+def plain_lm(train):
+    """A function from a text to its tokens' log10 and their chances, by counts taken in plain Python."""
+    train = [lm_scoring.tokens(t.encode()) for t in train]
+    begin = object()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        for x, y, z in zip([begin, begin, *t], [begin, *t], t):
+            one[z] += 1
+            two[y, z] += 1
+            three[x, y, z] += 1
+    total = sum(one.values())
+    places, n = lm_scoring.counters(sorted(one))
+    flat = np.zeros(2 * lm_scoring.STARTS[-1])
+    flat[places] = n
+    mixer = lm_scoring.Mixer.of(flat[::2], flat[1::2])
+    learners = collections.defaultdict(list)
+    import xxhash
+
+    for w in sorted(one, key=xxhash.xxh3_64_intdigest):
+        learners[(xxhash.xxh3_64_intdigest(w) >> 32) * lm_scoring.PARTS >> 32].append(w)
+    found = []
+    for words in learners.values():
+        m = lm_scoring.Mixer(mixer.stretched, mixer.confidence)
+        m.learn(words)
+        found.append(m)
+    if found:
+        mixer.weights = np.average([m.weights for m in found], axis=0, weights=[len(w) for w in learners.values()])
+        mixer.map = np.sum([m.map for m in found], axis=0)
+    rate = lambda c: float(np.clip(1 - sum(v == 1 for v in c.values()) / max(1, total), 0.01, 0.99))
+    rates = np.array([0.3, rate(three), rate(two), 0.2, rate(one)])
+
+    def scored(*texts):
+        block = lm_scoring.Block(list(texts))
+        counts = [np.zeros(len(h), np.int64) for h in block.hashes()]
+        for i, t in enumerate(map(lm_scoring.tokens, texts)):
+            for j, (x, y, z) in enumerate(zip([begin, begin, *t], [begin, *t], t)):
+                at = block.starts[i] + j
+                counts[0][block.word[at]], counts[1][block.pair[at]], counts[2][block.triple[at]] = one[z], two[y, z], three[x, y, z]
+        spelled = np.where(counts[0] > 0, 0.0, 10.0 ** mixer.log10(block.words))
+        chances = lm_scoring.Chances(block, 0, len(texts), tuple(counts), total, len(train), rates, spelled)
+        return lm_scoring.token_logs(chances), block
+
+    scored.words = one
+    return scored
+
+
+def test_lm_spelling_sums_to_one():
     """Over all continuations of every prefix the bits leave no more than one unit."""
     r = np.random.default_rng(0)
     words = [bytes(r.integers(97, 101, r.integers(1, 4), dtype=np.uint8)) for _ in range(300)]
-    mixer = lm_scoring.Mixer.of(*lm_scoring.counters(words, np.ones(300, int)))
-    mixer.learn(words, np.ones(300, int))
+    places, n = lm_scoring.counters(words)
+    flat = np.zeros(2 * lm_scoring.STARTS[-1])
+    flat[places] = n
+    mixer = lm_scoring.Mixer.of(flat[::2], flat[1::2])
+    mixer.learn(words)
     every = [bytes(p) for k in (1, 2) for p in itertools.product(range(97, 123), repeat=k)] + [b""]
-    assert 0.3 < (10.0 ** mixer.log10(every)).sum() <= 1 + 1e-9
+    assert 0.1 < (10.0 ** mixer.log10(every)).sum() <= 1 + 1e-9
 
 
-def test_lm_beats_no_model(spark):
-    """Held-out texts take under 3 bits a byte; raw bytes take 8."""
-    got = lm_scoring.lm_scores(spark.read.parquet(f"{LABELLED}/documents.parquet")).where("held_out").toPandas()
-    assert got.bits_per_byte.median() < 3
+def test_lm_tokens_share_one_unit():
+    """After any beginning, all words of the corpus, the end and new words have together one unit at most, and most of it."""
+    r = random.Random(3)
+    names = ["".join(r.choices("abc", k=r.randint(1, 3))) for _ in range(40)]
+    scored = plain_lm([" ".join(r.choices(names, k=r.randint(1, 60))) for _ in range(40)])
+    new = [bytes(p) for k in (1, 2) for p in itertools.product(range(97, 123), repeat=k) if bytes(p) not in scored.words]
+    for size in (0, 1, 2, 40, 70):
+        beginning = " ".join(r.choices([*names, "zz"], k=size)).encode()
+        mass = 0.0
+        for w in [*scored.words, *new]:
+            logs, block = scored(beginning + b" " + w)
+            mass += 10.0 ** logs[size]
+        assert 0.5 < mass <= 1 + 1e-6, (size, mass)
+
+
+def test_lm_on_documents(spark):
+    """Better than the base on training texts and, by words that it knows, on held-out ones; worse on shuffled words; the same whatever the partitions."""
+    d = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    got = lm_scoring.lm_scores(d).toPandas().sort_values("doc_id")
+    held = got[got.held_out]
+    assert held.score.sum() > 0.9 * held.base_score.sum() and (got[~got.held_out].score > got[~got.held_out].base_score).mean() > 0.99
+    few_new = held[held.n_known > 0.95 * held.n_tokens]
+    assert (few_new.score > few_new.base_score).mean() > 0.7
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        again = lm_scoring.lm_scores(d.repartition(3, "doc_id")).toPandas().sort_values("doc_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.abs(got.score.values - again.score.values).max() < 1e-6
+    r = random.Random(1)
+    texts = {x.doc_id: (x.text or "").split() for x in d.collect() if x.doc_id in set(held.doc_id)}
+    pairs = [(i, w, r.sample(w, len(w))) for i, w in texts.items() if len(w) > 100]
+    trained = [x.text or "" for x in d.collect() if not lm_scoring.held_out(x.doc_id)]
+    scored = plain_lm(trained)
+    better = [scored(" ".join(w).encode())[0].sum() > scored(" ".join(s).encode())[0].sum() for _, w, s in pairs[:40]]
+    assert np.mean(better) > 0.9
 
 
 def test_quality_rules(spark, docs, empty):
