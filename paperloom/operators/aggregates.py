@@ -8,31 +8,33 @@ from pyspark.sql import functions as F
 from paperloom.functions.coerce import is_blank, leading_number, make_number
 
 
-def _num(text: Column) -> Column:
+def fc_value(text: Column) -> Column:
+    """The number that the form language's aggregates see in a text: null where it is blank.  Compute it once, ahead of them."""
     return F.when(~is_blank(text), F.coalesce(leading_number(text), F.lit(0.0)))
 
 
-def fc_sum(text: Column) -> Column:
-    return F.coalesce(F.sum(_num(text)), F.lit(0.0))
+def fc_sum(value: Column) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0.0))
 
 
-def fc_avg(text: Column) -> Column:
-    return F.avg(_num(text))
+def fc_avg(value: Column) -> Column:
+    return F.avg(value)
 
 
-def fc_min(text: Column) -> Column:
-    return F.min(_num(text))
+def fc_min(value: Column) -> Column:
+    return F.min(value)
 
 
-def fc_max(text: Column) -> Column:
-    return F.max(_num(text))
+def fc_max(value: Column) -> Column:
+    return F.max(value)
 
 
-def fc_count(text: Column) -> Column:
-    return F.count(F.when(~is_blank(text), 1))
+def fc_count(value: Column) -> Column:
+    return F.count(value)
 
 
-def _typed(text: Column) -> Column:
+def af_value(text: Column) -> Column:
+    """The number that calculation fields see in a text: 0 where it has none.  Compute it once, ahead of the aggregates."""
     return F.coalesce(make_number(text), F.lit(0.0))
 
 
@@ -40,24 +42,24 @@ def _finite(value: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
 
 
-def af_sum(text: Column) -> Column:
-    return _finite(F.sum(_typed(text)))
+def af_sum(value: Column) -> Column:
+    return _finite(F.sum(value))
 
 
-def af_product(text: Column) -> Column:
-    return _finite(F.product(_typed(text)))
+def af_product(value: Column) -> Column:
+    return _finite(F.product(value))
 
 
-def af_avg(text: Column) -> Column:
-    return _finite(F.avg(_typed(text)))
+def af_avg(value: Column) -> Column:
+    return _finite(F.avg(value))
 
 
-def af_min(text: Column) -> Column:
-    return _finite(F.min(_typed(text)))
+def af_min(value: Column) -> Column:
+    return _finite(F.min(value))
 
 
-def af_max(text: Column) -> Column:
-    return _finite(F.max(_typed(text)))
+def af_max(value: Column) -> Column:
+    return _finite(F.max(value))
 
 
 def body_size(runs: DataFrame, key: str = "doc_id") -> DataFrame:

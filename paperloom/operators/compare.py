@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.sources.storage import written
+
 
 def dedupe(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, keeper): rows of equal content and the smallest key among them.
@@ -29,7 +31,7 @@ def dedupe_references(objects: DataFrame, rounds: int = 16) -> DataFrame:
         resolved = refs.join(to, F.col("ref") == F.col("__id"), "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("to", "ref").alias("to"))))["to"].alias("refs"))
         merged = objects.select("id", "content").join(resolved, "id")
         groups = merged.groupBy("content", "refs").agg(F.min("id").alias("keeper"))
-        keeper = merged.join(groups, merged.content.eqNullSafe(groups.content) & merged.refs.eqNullSafe(groups.refs)).select("id", "keeper").checkpoint()
+        keeper = written(merged.join(groups, merged.content.eqNullSafe(groups.content) & merged.refs.eqNullSafe(groups.refs)).select("id", "keeper"), "keepers")
         now = keeper.where("id <> keeper").count()
         if now == changed:
             break

@@ -9,12 +9,6 @@ from paperloom.functions.text import numeral
 from paperloom.plans.ranges import select_pages
 
 
-def numbered(pages: DataFrame, order: str, source: str | None = None) -> DataFrame:
-    """Adds ``pos``, 0-based by ``order`` within each source."""
-    keys = [source] if source else []
-    return pages.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)
-
-
 def extract(pages: DataFrame, chosen: list[int]) -> DataFrame:
     """The pages at the given positions, in that order, repeats and all; ``pos`` is the new place.  The list is a user's, the pages may be many."""
     spark = pages.sparkSession
@@ -48,10 +42,14 @@ def split_before(pos: Column, cuts: list[int], count: int) -> Column:
 
 
 def move(pages: DataFrame, moved: list[int], to: int) -> DataFrame:
-    """The moved pages, in their order, go before the page that was at ``to``."""
-    away = F.col("pos").isin(moved)
-    rank = F.struct(F.when(away, to).otherwise(F.col("pos")).alias("at"), (~away).alias("stays"), F.array_position(F.array(*map(F.lit, moved)), F.col("pos").cast("int")).alias("turn"))
-    return pages.withColumn("__k", rank).withColumn("pos", F.row_number().over(Window.orderBy("__k", "pos")).cast("long") - 1).drop("__k")
+    """The moved pages, in their order, go before the page that was at ``to``; positions are 0, 1, 2 ... and each new one is arithmetic."""
+    there = {r["pos"] for r in pages.where(F.col("pos").isin(moved)).select("pos").distinct().collect()}
+    gone = [p for p in dict.fromkeys(moved) if p in there]
+    stays = F.col("pos") - sum(((F.col("pos") > g).cast("long") for g in gone), F.lit(0)) + F.when(F.col("pos") >= to, len(gone)).otherwise(0)
+    begin, new = to - sum(g < to for g in gone), F.when(F.lit(False), F.lit(0))
+    for turn, g in enumerate(gone):
+        new = new.when(F.col("pos") == g, begin + turn)
+    return pages.withColumn("pos", new.otherwise(stays).cast("long"))
 
 
 def reverse(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources.storage import written
+
 MAX_HOPS = 64
 
 
@@ -12,12 +14,14 @@ def thread_tree(comments: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, root, name, depth) of every reply under a comment that replies to none.
 
     ``comments`` has name and in_reply_to.  Parents are followed at most MAX_HOPS times, doubling
-    the reach of every comment's pointer in each of a few joins, so a chain costs no more rounds than
-    its depth has bits; a reply whose chain ends nowhere has no root.
+    the reach of every comment's pointer in each of a few rounds, so a chain costs no more rounds than
+    its depth has bits; each round is written, so its plan holds one join.  A reply whose chain ends
+    nowhere has no root.
     """
     up = comments.where("name is not null").select(F.col(doc), "name", F.col("in_reply_to").alias("parent"))
     reach = up.select(doc, "name", F.coalesce("parent", "name").alias("to"), F.col("parent").isNotNull().cast("int").alias("depth"))
     for _ in range(MAX_HOPS.bit_length() - 1):
+        reach = written(reach, "reach")
         far = reach.select(F.col(doc).alias("__d"), F.col("name").alias("__n"), F.col("to").alias("__t"), F.col("depth").alias("__h"))
         reach = reach.join(far, F.col(doc).eqNullSafe(F.col("__d")) & (F.col("to") == F.col("__n")), "left").select(doc, "name", F.coalesce("__t", "to").alias("to"), (F.col("depth") + F.coalesce("__h", F.lit(0))).alias("depth"))
     roots = up.where("parent is null").select(F.col(doc).alias("__d"), F.col("name").alias("root"))

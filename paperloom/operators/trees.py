@@ -17,9 +17,9 @@ def outline(headings: DataFrame, doc: str, order: str) -> DataFrame:
     return counted.select(doc, F.when(F.col("level") == 1, F.array("a")).otherwise(F.array(F.col("a"), second)).alias("path"), F.col("text").alias("title"))
 
 
-def bookmark_list(bookmarks: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page of bookmarks in tree order, with their depth; the limit is the feature."""
-    return bookmarks.withColumn("depth", F.size("path") - 1).orderBy("path").offset(offset).limit(limit)
+def bookmark_list(bookmarks: DataFrame, offset: int = 0, limit: int = 100, *then: str) -> DataFrame:
+    """A page of bookmarks in tree order (equal paths by ``then``), with their depth; the limit is the feature."""
+    return bookmarks.withColumn("depth", F.size("path") - 1).orderBy("path", *then).offset(offset).limit(limit)
 
 
 def bookmark_move(bookmarks: DataFrame, source: list[int], target: list[int]) -> DataFrame:

@@ -34,14 +34,16 @@ def _typed(t):
 
 @query(f"SELECT l_orderkey, coalesce(sum(v), 0) AS total, avg(v) AS mean, min(v) AS least, max(v) AS most, count(v) AS n FROM (SELECT l_orderkey, {_FC} AS v FROM lineitem) GROUP BY l_orderkey")
 def fc_aggregates(t):
+    rows = _typed(t).select("l_orderkey", agg.fc_value(F.col("v")).alias("v"))
     v = F.col("v")
-    return _typed(t).groupBy("l_orderkey").agg(agg.fc_sum(v).alias("total"), agg.fc_avg(v).alias("mean"), agg.fc_min(v).alias("least"), agg.fc_max(v).alias("most"), agg.fc_count(v).alias("n"))
+    return rows.groupBy("l_orderkey").agg(agg.fc_sum(v).alias("total"), agg.fc_avg(v).alias("mean"), agg.fc_min(v).alias("least"), agg.fc_max(v).alias("most"), agg.fc_count(v).alias("n"))
 
 
 @query(f"SELECT l_orderkey, sum(v) AS total, avg(v) AS mean, min(v) AS least, max(v) AS most, product(v) AS prod FROM (SELECT l_orderkey, {_AF} AS v FROM lineitem) GROUP BY l_orderkey")
 def af_aggregates(t):
+    rows = _typed(t).select("l_orderkey", agg.af_value(F.col("v")).alias("v"))
     v = F.col("v")
-    return _typed(t).groupBy("l_orderkey").agg(agg.af_sum(v).alias("total"), agg.af_avg(v).alias("mean"), agg.af_min(v).alias("least"), agg.af_max(v).alias("most"), agg.af_product(v).alias("prod"))
+    return rows.groupBy("l_orderkey").agg(agg.af_sum(v).alias("total"), agg.af_avg(v).alias("mean"), agg.af_min(v).alias("least"), agg.af_max(v).alias("most"), agg.af_product(v).alias("prod"))
 
 
 # -- scalars
@@ -75,14 +77,18 @@ def fc_money(t):
     )
 
 
-@query("SELECT l_orderkey, sum(l_extendedprice / pow(1.05, l_linenumber)) AS npv FROM (SELECT DISTINCT l_orderkey, l_linenumber, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) AS l_extendedprice FROM lineitem WHERE l_linenumber <= 2) GROUP BY l_orderkey HAVING count(*) = 2")
+@query("SELECT l_orderkey, sum(x / pow(1.05, i)) AS npv FROM (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS x FROM lineitem GROUP BY ALL)) GROUP BY l_orderkey")
 def npv(t):
-    first = t("lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("x"))
-    flows = first.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "x")))["x"].alias("flows")).where("size(flows) = 2")
+    first = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("x"))
+    flows = first.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "x")))["x"].alias("flows"))
     return flows.select("l_orderkey", fc.npv(F.lit(0.05), F.col("flows")).alias("npv"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p(o_orderkey, k, pay, rest, interest, principal) AS (SELECT o_orderkey, 0, o_totalprice / 10, o_totalprice, 0.0::DOUBLE, 0.0::DOUBLE FROM orders
+    UNION ALL SELECT o_orderkey, k + 1, pay, rest - least(pay - rest * 0.01::DOUBLE, rest), interest + rest * 0.01::DOUBLE, principal + least(pay - rest * 0.01::DOUBLE, rest) FROM p WHERE k < 6)
+    SELECT o_orderkey, interest, principal FROM p WHERE k = 6"""
+)
 def ipmt_ppmt(t):
     v = F.col("o_totalprice")
     return t("orders").select("o_orderkey", fc.ipmt(v, F.lit(0.01), v / 10, F.lit(1), F.lit(6)).alias("interest"), fc.ppmt(v, F.lit(0.01), v / 10, F.lit(1), F.lit(6)).alias("principal"))
@@ -206,7 +212,7 @@ def _form_apply(t):
 @query("SELECT l_orderkey AS doc, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey", name="group_lookup")
 def _group_lookup(t):
     fields = t("lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("row."), F.col("l_linenumber"), F.lit(".qty")).alias("name"), F.col("l_quantity").alias("value"))
-    wanted = t("region").limit(1).select(F.lit("row").alias("wanted"))
+    wanted = t("lineitem").sparkSession.createDataFrame([("row",)], "wanted string")
     return group_lookup(fields, wanted).groupBy("doc").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
@@ -243,14 +249,14 @@ def _comment_summary(t):
     return comment_summary(_comments(t), "author").select("author", "page", "idx", "doc")
 
 
-@query("SELECT conv_id AS doc, string_agg('Page ' || CAST(turn // 3 AS BIGINT) || ' #' || n || ' ' || role || ': ' || left(text, 20), chr(10) ORDER BY turn // 3, n) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn) AS n FROM conversations) GROUP BY conv_id", name="summary_text")
+@query("SELECT conv_id AS doc, string_agg('Page ' || CAST(turn // 3 AS BIGINT) || ' #' || n || ' ' || role || ': ' || text, chr(10) ORDER BY turn // 3, n) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn) AS n FROM conversations) GROUP BY conv_id", name="summary_text")
 def _summary_text(t):
-    return summary_text(_comments(t).withColumn("contents", F.left("contents", F.lit(20))))
+    return summary_text(_comments(t))
 
 
-@query("SELECT conv_id AS id, turn AS page, role AS name, CASE WHEN turn = 1 THEN 'new' ELSE 'old' END AS state FROM conversations WHERE turn <= 1", name="comment_upsert")
+@query("SELECT conv_id AS id, turn AS page, role AS name, CASE WHEN turn = 1 THEN 'new' ELSE 'old' END AS state FROM conversations", name="comment_upsert")
 def _comment_upsert(t):
-    c = t("conversations").where("turn <= 1").select(F.col("conv_id").alias("id"), F.col("turn").alias("page"), F.col("role").alias("name"))
+    c = t("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("page"), F.col("role").alias("name"))
     new = c.where("page = 1").withColumn("state", F.lit("new"))
     return upsert(c.withColumn("state", F.lit("old")), new)
 
@@ -258,7 +264,7 @@ def _comment_upsert(t):
 @query("SELECT conv_id AS file, turn AS id, CASE WHEN turn > 0 THEN turn - 1 END AS parent FROM conversations", name="reply_parents")
 def _reply_parents(t):
     c = _comments(t).select(F.col("doc").alias("file"), F.col("turn").alias("id"), "name", "in_reply_to")
-    old = t("conversations").limit(0).select(F.col("turn").alias("id"), F.lit("x").alias("name"))
+    old = t("conversations").where("false").select(F.col("turn").alias("id"), F.lit("x").alias("name"))
     return reply_parents(c, old).select("file", "id", "parent")
 
 
@@ -268,9 +274,9 @@ def _pages(t):
     return t("pages").select("page_id", "url", F.col("page_id").alias("pos"))
 
 
-@query("WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 9), (2, 10), (3, 11), (4, 4), (5, 3), (6, 2), (7, 19)) v(pos, p)) SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN s ON page_id = p", name="page_select")
+@query("WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 9), (2, 10), (3, 11), (4, 4), (5, 3), (6, 2)) v(pos, p) UNION ALL SELECT page_id - 19 + 7, page_id FROM pages WHERE page_id >= 19) SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN s ON page_id = p", name="page_select")
 def _page_select(t):
-    return pg.page_select(_pages(t).where("pos < 20"), "9-12, 5-3; 20-").select("page_id", "pos")
+    return pg.page_select(_pages(t), "9-12, 5-3; 20-").select("page_id", "pos")
 
 
 @query("SELECT page_id, CAST(s.pos AS BIGINT) AS pos FROM pages JOIN (VALUES (0, 5), (1, 5), (2, 0)) s(pos, p) ON page_id = p", name="page_extract")
@@ -278,10 +284,10 @@ def _page_extract(t):
     return pg.extract(_pages(t), [5, 5, 0]).select("page_id", "pos")
 
 
-@query("SELECT source_no, page_id, CASE WHEN source_no = 0 THEN page_id ELSE page_id - 10 + 5 END AS pos FROM (SELECT 0 AS source_no, page_id FROM pages WHERE page_id < 5 UNION ALL SELECT 1, page_id FROM pages WHERE page_id >= 10)", name="page_combine")
+@query("SELECT source_no, page_id, page_id + source_no * (SELECT count(*) FROM pages) AS pos FROM pages, (SELECT unnest([0, 1]) AS source_no)", name="page_combine")
 def _page_combine(t):
     p = _pages(t)
-    return pg.combine(p.where("pos < 5"), p.where("pos >= 10").withColumn("pos", F.col("pos") - 10)).select("source_no", "page_id", "pos")
+    return pg.combine(p, p).select("source_no", "page_id", "pos")
 
 
 @query("SELECT page_id, page_id // 7 AS part, CASE WHEN page_id >= 100 THEN 2 WHEN page_id >= 3 THEN 1 ELSE 0 END AS cut FROM pages", name="page_split")
@@ -289,9 +295,9 @@ def _page_split(t):
     return _pages(t).select("page_id", pg.split_every(F.col("pos"), 7).alias("part"), pg.split_before(F.col("pos"), [100, 3, 3, 0, 10**9], 10**8).alias("cut"))
 
 
-@query("SELECT page_id, row_number() OVER (ORDER BY CASE WHEN page_id IN (4, 2) THEN 10 ELSE page_id END, CASE WHEN page_id IN (4, 2) THEN 0 ELSE 1 END, page_id) - 1 AS pos FROM pages WHERE page_id < 50", name="page_move")
+@query("SELECT page_id, row_number() OVER (ORDER BY CASE WHEN page_id IN (4, 2) THEN 10 ELSE page_id END, CASE WHEN page_id IN (4, 2) THEN 0 ELSE 1 END, page_id) - 1 AS pos FROM pages", name="page_move")
 def _page_move(t):
-    return pg.move(_pages(t).where("pos < 50"), [2, 4], 10).select("page_id", "pos")
+    return pg.move(_pages(t), [2, 4], 10).select("page_id", "pos")
 
 
 @query("SELECT page_id, (SELECT max(page_id) FROM pages) - page_id AS pos FROM pages", name="page_reverse")
@@ -304,16 +310,16 @@ def _page_delete(t):
     return pg.delete(_pages(t), [3, 9]).select("page_id", "pos")
 
 
-@query("SELECT page_id, pos FROM (SELECT page_id, page_id + CASE WHEN page_id >= 4 THEN 2 ELSE 0 END AS pos FROM pages UNION ALL SELECT page_id, page_id + 4 FROM pages WHERE page_id < 2)", name="page_insert")
+@query("SELECT page_id, pos FROM (SELECT page_id, page_id + CASE WHEN page_id >= 4 THEN (SELECT count(*) FROM pages) ELSE 0 END AS pos FROM pages UNION ALL SELECT page_id, page_id + 4 FROM pages)", name="page_insert")
 def _page_insert(t):
     p = _pages(t)
-    return pg.insert(p, p.where("pos < 2"), 4).select("page_id", "pos")
+    return pg.insert(p, p, 4).select("page_id", "pos")
 
 
-@query("SELECT page_id, page_id AS pos FROM pages WHERE page_id NOT IN (4, 5) UNION ALL SELECT page_id, page_id + 4 FROM pages WHERE page_id < 2", name="page_replace")
+@query("SELECT page_id, page_id AS pos FROM pages WHERE page_id < 4 UNION ALL SELECT page_id, page_id + 4 FROM pages", name="page_replace")
 def _page_replace(t):
     p = _pages(t)
-    return pg.replace(p, p.where("pos < 2"), 4).select("page_id", "pos")
+    return pg.replace(p, p, 4).select("page_id", "pos")
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 2 = 1 AND length(url) > length(html) / 100", name="page_rotate_filter")

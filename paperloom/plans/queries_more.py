@@ -73,18 +73,18 @@ def headings(t):
 
 
 @query(
-    f"""WITH h AS (SELECT doc_id, line, level, left(t, 10) AS title, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS a FROM ({_LINES}) WHERE level IS NOT NULL)
+    f"""WITH h AS (SELECT doc_id, line, level, t AS title, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS a FROM ({_LINES}) WHERE level IS NOT NULL)
     SELECT doc_id, CASE WHEN level = 1 THEN CAST(a AS VARCHAR) ELSE a || '.' || sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY line) END AS path, title FROM h""",
 )
 def bookmarks(t):
-    found = outline(_lines(t).where("level is not null").withColumn("text", F.left("text", F.lit(10))), "doc_id", "line")
+    found = outline(_lines(t).where("level is not null"), "doc_id", "line")
     return found.select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "title")
 
 
-@query(f"WITH h AS (SELECT line, level, left(t, 10) AS title, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (ORDER BY line) AS a FROM ({_LINES}) WHERE level IS NOT NULL AND doc_id = 0) SELECT title, CAST(level - 1 AS INT) AS depth FROM h ORDER BY a, line LIMIT 5 OFFSET 1")
+@query(f"WITH h AS (SELECT doc_id, line, level, t AS title, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS a FROM ({_LINES}) WHERE level IS NOT NULL), s AS (SELECT *, CASE WHEN level = 2 THEN row_number() OVER (PARTITION BY doc_id, a, level ORDER BY line) ELSE 0 END AS b FROM h) SELECT title, CAST(level - 1 AS INT) AS depth FROM s ORDER BY a, b, doc_id LIMIT 100 OFFSET 1")
 def bookmark_page(t):
-    found = outline(_lines(t).where("level is not null and doc_id = 0").withColumn("text", F.left("text", F.lit(10))), "doc_id", "line")
-    return bookmark_list(found, 1, 5).select("title", "depth")
+    found = outline(_lines(t).where("level is not null"), "doc_id", "line")
+    return bookmark_list(found, 1, 100, "doc_id").select("title", "depth")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS index FROM conversations", name="sibling_index")
@@ -130,10 +130,10 @@ def _box_union(t):
     return box_union(t("lineitem").select("l_returnflag", q.alias("x0"), d.alias("y0"), q.alias("x1"), d.alias("y1")), "l_returnflag")
 
 
-@query(name="compare_report")
+@query("SELECT item_id AS pair, '1 inserted, 0 deleted, 0 replaced' || chr(10) || 'Inserted:  -> §§' AS report FROM benchmark", name="compare_report")
 def _compare_report(t):
     b = t("benchmark")
-    pairs = b.select(F.col("item_id").alias("pair"), F.col("text").alias("old"), F.concat(F.lit("New "), F.col("text")).alias("new"))
+    pairs = b.select(F.col("item_id").alias("pair"), F.col("text").alias("old"), F.concat(F.lit("§§ "), F.col("text")).alias("new"))
     return compare_report(word_diff(pairs))
 
 

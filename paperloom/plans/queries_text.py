@@ -32,12 +32,11 @@ def _text_find_case(t):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace({_FOLD}, '([^a-z0-9])', ' \\1 ', 'g') || ' ', ' the ')) AS hits
-    FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT doc_id, CAST(hits AS BIGINT) AS hits FROM w WHERE hits > 0""",
+    f"""SELECT doc_id, CAST((length(t) - length(replace(t, ' the ', ''))) / 5 AS BIGINT) AS hits FROM (SELECT doc_id, ' ' || regexp_replace({_FOLD}, '([^\\p{{L}}\\p{{N}}])', ' \\1 ', 'g') || ' ' AS t FROM documents) WHERE contains(t, ' the ')""",
     name="text_find_words",
 )
 def _text_find_words(t):
-    return text_find(t("documents").where("lang = 'en' and not text rlike '[^\\\\x00-\\\\x7F]'"), "the", whole_words=True)
+    return text_find(t("documents"), "the", whole_words=True)
 
 
 @query(
@@ -249,14 +248,33 @@ def _f1_lowest(t):
     return lowest(word_f1(_benchmark_pairs(t, "got", "want")), "pair")
 
 
-@query(name="word_diff")
+# Each text loses its third word, has its fifth replaced by one that no text has, and gets another behind the eighth.
+_EDITS_SQL = """e AS (SELECT item_id AS pair, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark), l AS (SELECT * FROM e WHERE len(w) >= 10 AND w[3] <> w[4] AND w[3] <> w[2])"""
+
+
+def _edited_pairs(t):
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    rows = t("benchmark").select(F.col("item_id").alias("pair"), F.col("text").alias("old"), words.alias("w")).where("size(w) >= 10 and w[2] <> w[3] and w[2] <> w[1]")
+    new = F.concat(F.slice("w", 1, 2), F.slice("w", 4, 1), F.array(F.lit("§§")), F.slice("w", 6, 3), F.array(F.lit("¶¶")), F.expr("slice(w, 9, size(w))"))
+    return rows.select("pair", "old", F.array_join(new, " ").alias("new"))
+
+
+@query(
+    f"""WITH {_EDITS_SQL} SELECT pair, CAST(0 AS BIGINT) AS seq, 'Deleted' AS kind, w[3] AS old, '' AS new FROM l UNION ALL SELECT pair, 1, 'Replaced', w[5], '§§' FROM l UNION ALL SELECT pair, 2, 'Inserted', '', '¶¶' FROM l""",
+    name="word_diff",
+)
 def _word_diff(t):
+    return word_diff(_edited_pairs(t))
+
+
+@query(name="word_diff_pairs")
+def _word_diff_pairs(t):
     return word_diff(_benchmark_pairs(t, "old", "new"))
 
 
-@query(name="change_counts")
+@query(f"WITH {_EDITS_SQL} SELECT pair, CAST(1 AS BIGINT) AS inserted, CAST(1 AS BIGINT) AS deleted, CAST(1 AS BIGINT) AS replaced FROM l", name="change_counts")
 def _change_counts(t):
-    return change_counts(word_diff(_benchmark_pairs(t, "old", "new")))
+    return change_counts(word_diff(_edited_pairs(t)))
 
 
 @query(
