@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import queries_data, queries_more, queries_text
+from paperloom.plans import queries_cases, queries_data, queries_more, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_data.QUERIES, **queries_more.QUERIES}
-ORACLE_SQL: dict = {**queries_text.ORACLE_SQL, **queries_data.ORACLE_SQL, **queries_more.ORACLE_SQL}
+QUERIES: dict = {**queries_text.QUERIES, **queries_data.QUERIES, **queries_more.QUERIES, **queries_cases.QUERIES}
+ORACLE_SQL: dict = {**queries_text.ORACLE_SQL, **queries_data.ORACLE_SQL, **queries_more.ORACLE_SQL, **queries_cases.ORACLE_SQL}

@@ -132,11 +132,6 @@ def special_formats(t):
     return t("customer").select("c_custkey", special_format("phone", d).alias("phone"), special_format("zip4", F.left(d, F.lit(9))).alias("zip4"))
 
 
-@query(name="word_num")
-def _word_num(t):
-    return t("orders").select("o_orderkey", fc.word_num(F.col("o_totalprice"), 2).alias("said"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' || CAST(c_acctbal AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END AS cell FROM customer")
 def csv_cells(t):
     return t("customer").select("c_custkey", csv_safe(F.col("c_acctbal").cast("string")).alias("cell"))

@@ -74,30 +74,6 @@ def _pii_email(t):
     return pii_hits(t("documents"), "email")
 
 
-@query(name="pii_phone")
-def _pii_phone(t):
-    return pii_hits(t("documents"), "phone")
-
-
-@query(name="pii_card")
-def _pii_card(t):
-    return pii_hits(t("documents"), "card")
-
-
-@query(name="pii_date")
-def _pii_date(t):
-    return pii_hits(t("documents"), "date")
-
-
-@query(
-    r"""SELECT doc_id, hit FROM (SELECT doc_id, unnest(regexp_extract_all(' ' || regexp_replace(text, '\s+', ' ', 'g') || ' ', '[^0-9]([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})[^0-9]', 1)) AS hit FROM documents)
-    WHERE hit[1:3] NOT IN ('000', '666') AND hit[1] <> '9'""",
-    name="pii_ssn",
-)
-def _pii_ssn(t):
-    return pii_hits(t("documents"), "ssn")
-
-
 @query(
     r"""SELECT doc_id, length(m) AS chars, length(m) - length(replace(m, '█', '')) AS marks FROM (SELECT doc_id,
     regexp_replace(text, '[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]|\.[\p{L}\p{N}])*\.\p{L}{2,}', '█', 'g') AS m FROM documents)""",
