@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,53 +43,95 @@ def dedupe_references(objects: DataFrame, rounds: int = 16) -> DataFrame:
     return keeper
 
 
-def _runs(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
-    """Changes between two word lists by a greedy shortest edit script, runs of edits as one change."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+#: Words of both sides together that one edit script takes; longer stretches are parted first (fixed values: the limit and the levels of parting).
+DIRECT, LEVELS = 3000, 9
+
+
+def _script(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of the words that a greedy shortest edit script keeps.
+
+    Of every round only the furthest places on its own diagonals are kept for the way back, in one flat array each.
+    """
     n, m = len(x), len(y)
-    reach, trail = {1: 0}, []
+    if not n or not m:
+        return []
+    reach, rounds = {1: 0}, []
     for d in range(n + m + 1):
-        trail.append(dict(reach))
+        ends = array("i")
         for k in range(-d, d + 1, 2):
             i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
             while i < n and i - k < m and x[i] == y[i - k]:
                 i += 1
             reach[k] = i
+            ends.append(i)
             if i >= n and i - k >= m:
                 break
-        else:
-            continue
-        break
-    ops, i, j = [], n, m
-    for d in range(len(trail) - 1, 0, -1):
-        seen, k = trail[d], i - j
-        before = k + 1 if k == -d or (k != d and seen[k - 1] < seen[k + 1]) else k - 1
-        p = seen[before]
-        while i > p and j > p - before and x[i - 1] == y[j - 1]:
-            ops.append("=")
+        rounds.append(ends)
+        if reach[k] >= n and reach[k] - k >= m:
+            break
+    kept, i, j = [], n, m
+    for d in range(len(rounds) - 1, 0, -1):
+        seen, k = rounds[d - 1], i - j
+        furthest = lambda q: seen[(q + d - 1) // 2] if -d < q < d and (q + d - 1) // 2 < len(seen) else -1  # noqa: B023, E731
+        down = k == -d or (k != d and furthest(k - 1) < furthest(k + 1))
+        p = furthest(k + 1) if down else furthest(k - 1)
+        q = p - (k + 1 if down else k - 1)
+        while i > p + (not down) and j > q + down:
             i, j = i - 1, j - 1
-        ops.append("+" if before == k + 1 else "-")
-        i, j = (i, j - 1) if before == k + 1 else (i - 1, j)
-    ops += ["="] * min(i, j)
-    out, old, new, i, j = [], [], [], 0, 0
-    for op in [*reversed(ops), "="]:
-        if op == "=":
-            if old or new:
-                out.append(("Replaced" if old and new else "Deleted" if old else "Inserted", " ".join(old), " ".join(new)))
-                old, new = [], []
+            kept.append((i, j))
+        i, j = p, q
+    kept += [(i - t, j - t) for t in range(1, min(i, j) + 1)]
+    return kept[::-1]
+
+
+def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The longest row of words that both sides have exactly once, in one order on both."""
+    once = lambda words: {w: i for i, w in enumerate(words) if count[w] == 1}
+    count = Counter(x)
+    left = once(x)
+    count = Counter(y)
+    pairs = sorted((left[w], j) for w, j in once(y).items() if w in left)
+    ends: list[int] = []
+    chain: list[tuple] = []
+    for i, j in pairs:
+        at = bisect_left(ends, j)
+        link = (i, j, chain[at - 1] if at else None)
+        ends[at : at + 1], chain[at : at + 1] = [j], [link]
+    out, link = [], chain[-1] if chain else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
+def _kept(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the words that stay, in order.  A long stretch without anchors keeps none."""
+    out, todo = [], [(0, len(a), 0, len(b), 0)]
+    while todo:
+        i, i_end, j, j_end, level = todo.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif op == "-":
-            old.append(x[i])
-            i += 1
-        else:
-            new.append(y[j])
-            j += 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        if i_end - i + j_end - j <= DIRECT:
+            out += [(i + p, j + q) for p, q in _script(a[i:i_end], b[j:j_end])]
+        elif level < LEVELS:
+            fixed = [(i + p, j + q) for p, q in _anchors(a[i:i_end], b[j:j_end])]
+            out += fixed
+            for (p, q), (r, s) in zip([(i - 1, j - 1), *fixed], [*fixed, (i_end, j_end)]) if fixed else ():
+                todo.append((p + 1, r, q + 1, s, level + 1))
+    return sorted(out)
+
+
+def _runs(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
+    """Changes between two word lists: what lies between words that stay, as one change each."""
+    out, i, j = [], 0, 0
+    for p, q in [*_kept(a, b), (len(a), len(b))]:
+        if p > i or q > j:
+            out.append(("Replaced" if p > i and q > j else "Deleted" if p > i else "Inserted", " ".join(a[i:p]), " ".join(b[j:q])))
+        i, j = p + 1, q + 1
     return out
 
 

@@ -68,6 +68,28 @@ def test_word_diff_applies(spark):
     assert compare.word_diff(spark.createDataFrame([(1, None, "a")], "pair int, old string, new string")).first()["kind"] == "Inserted"
 
 
+def test_long_texts_compare():
+    """Scattered edits of long texts are found; texts with nothing in common, and hard mixes, finish with little memory."""
+    old = [f"w{i}" for i in range(20_000)]
+    new = [f"new{i}" if i in (100, 5000, 12_000, 19_000) else w for i, w in enumerate(old)]
+    del new[8000]
+    got = compare._runs(old, new)
+    assert [k for k, *_ in got] == ["Replaced", "Replaced", "Deleted", "Replaced", "Replaced"]
+    assert [k for k, *_ in compare._runs([f"a{i}" for i in range(30_000)], [f"b{i}" for i in range(30_000)])] == ["Replaced"]
+    r = random.Random(5)
+    for size in (0, 1, 5, 40, 300, 1400, 5000):
+        a = r.choices("abcdefgh" if size < 2000 else [f"w{i}" for i in range(9000)], k=size)
+        b = [w for w in a if r.random() > 0.2]
+        for _ in range(size // 10):
+            b.insert(r.randrange(len(b) + 1), r.choice("abcdefghXYZ"))
+        kept = compare._kept(a, b)
+        assert kept == sorted(set(kept)) and all(a[i] == b[j] for i, j in kept) and all(p < i and q < j for (p, q), (i, j) in zip(kept, kept[1:]))
+        if size < 400:
+            import difflib
+
+            assert len(kept) >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
 def test_reference_duplicates(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     df = spark.createDataFrame([(1, "leaf", []), (2, "leaf", []), (3, "node", [1]), (4, "node", [2]), (5, "node", [3])], "id int, content string, refs array<int>")
