@@ -1,13 +1,15 @@
 """Media columns: ISO base media files, stored, walked and described without decoding.
 
 ``write_media`` stores bytes as 8-bit PCM samples in a file of nested boxes; ``describe``
-walks the boxes, decodes the sample tables and reports codec, duration and the byte
-ranges of sync samples.  Malformed boxes give a described error, never an exception.
+walks the boxes, decodes each track's sample tables and movie fragments, and reports codec,
+duration and the byte ranges of sync samples.  Counts are held against their boxes before
+anything is made of them; malformed boxes give a described error, never an exception.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from paperloom.llm.shared import arrow_map, utf8
 
 RATE = 8000
-#: Bytes of one stored sample: a sync sample a second of audio, so long texts keep short tables.
+#: Bytes of one stored sample, and samples from one in sync to the next (a second and a half), so long texts keep short tables.
 FRAME = 192
 SYNC_EVERY = 64
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"udta", b"moof", b"traf", b"mfra"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -76,10 +78,17 @@ def write_media(payload: bytes) -> bytes:
     return ftyp + moov(base) + box(b"mdat", payload)
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of each box, depth first; a broken size raises ValueError."""
-    end = len(data) if end is None else end
-    while at < end:
+def walk(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+    """(depth, kind, body start, body end) of each box, depth first; a broken size raises ValueError.
+
+    Open boxes wait in a list, so no nesting is too deep.
+    """
+    at, ends = 0, [len(data)]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        end = ends[-1]
         if end - at < 8:
             raise ValueError("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -92,62 +101,192 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
             size = end - at
         if size < head or at + size > end:
             raise ValueError("a box is longer than its parent")
-        here = (*path, kind)
-        yield here, at + head, at + size
+        yield len(ends) - 1, kind, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, here)
+            ends.append(at + size)
+            at += head
+        else:
+            at += size
+
+
+class _Track:
+    """The boxes of one track, decoded: samples as (start, end, ticks, sync)."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+        self.samples: list[tuple[int, int, int, bool]] = []
+
+    def body(self, kind: bytes, least: int) -> tuple[int, int]:
+        if kind not in self.found:
+            raise ValueError(f"no {kind.decode('latin-1')} box")
+        a, b = self.found[kind]
+        if b - a < least:
+            raise ValueError(f"the {kind.decode('latin-1')} box is cut off")
+        return a, b
+
+    def rows(self, kind: bytes, form: str, skip: int = 8) -> list[tuple]:
+        """A counted table, after its count has been held against the box."""
+        a, b = self.body(kind, skip)
+        (n,) = struct.unpack_from(">I", self.data, a + skip - 4)
+        width = struct.calcsize(">" + form)
+        if n * width > b - a - skip:
+            raise ValueError("a sample table is cut off")
+        return list(struct.iter_unpack(">" + form, self.data[a + skip : a + skip + n * width]))
+
+    def header(self) -> None:
+        a, _ = self.body(b"tkhd", 24)
+        (self.id,) = struct.unpack_from(">I", self.data, a + (20 if self.data[a] else 12))
+        a, _ = self.body(b"mdhd", 32 if self.data[self.body(b"mdhd", 1)[0]] else 20)
+        self.scale, self.duration = struct.unpack_from(">IQ", self.data, a + 20) if self.data[a] else struct.unpack_from(">II", self.data, a + 12)
+        a, _ = self.body(b"hdlr", 12)
+        self.kind = self.data[a + 8 : a + 12].decode("latin-1")
+        a, _ = self.body(b"stsd", 16)
+        self.codec = self.data[a + 12 : a + 16].decode("latin-1")
+
+    def sizes(self) -> list[int]:
+        if b"stz2" in self.found:
+            a, b = self.body(b"stz2", 12)
+            width, n = self.data[a + 7], struct.unpack_from(">I", self.data, a + 8)[0]
+            if width not in (4, 8, 16) or (n * width + 7) // 8 > b - a - 12:
+                raise ValueError("a sample table is cut off")
+            packed = self.data[a + 12 : b]
+            if width == 4:
+                return [packed[i // 2] >> (0 if i % 2 else 4) & 15 for i in range(n)]
+            return list(packed[:n]) if width == 8 else [x for (x,) in struct.iter_unpack(">H", packed[: 2 * n])]
+        a, _ = self.body(b"stsz", 12)
+        fixed, n = struct.unpack_from(">II", self.data, a + 4)
+        if not fixed:
+            return [x for (x,) in self.rows(b"stsz", "I", 12)]
+        if n * fixed > len(self.data):
+            raise ValueError("samples are missing")
+        return [fixed] * n
+
+    def table_samples(self) -> None:
+        """Samples by the tables: sizes, the chunks they run through, their times and which are in sync."""
+        sizes = self.sizes()
+        starts = [x for (x,) in (self.rows(b"co64", "Q") if b"co64" in self.found else self.rows(b"stco", "I"))] if sizes else []
+        runs = self.rows(b"stsc", "III") if sizes else []
+        ends = [first for first, _, _ in runs[1:]] + [len(starts) + 1] * bool(runs)
+        if any(not 1 <= first < end <= len(starts) + 1 for (first, _, _), end in zip(runs, ends, strict=True)):
+            raise ValueError("chunks out of order")
+        places: list[tuple[int, int]] = []
+        for (first, per, _), end in zip(runs, ends, strict=True):
+            for at in starts[first - 1 : end - 1]:
+                for size in sizes[len(places) : len(places) + per]:
+                    places.append((at, at + size))
+                    at += size
+        times = self.rows(b"stts", "II") if sizes else []
+        if len(places) != len(sizes) or sum(n for n, _ in times) < len(sizes):
+            raise ValueError("samples are missing")
+        sync = {x for (x,) in self.rows(b"stss", "I")} if b"stss" in self.found else None
+        if sync and not (min(sync) >= 1 and max(sync) <= len(sizes)):
+            raise ValueError("a sync sample is missing")
+        each = itertools.chain.from_iterable(itertools.repeat(ticks, min(n, len(sizes))) for n, ticks in times)
+        self.samples += [(a, b, t, sync is None or i in sync) for i, ((a, b), t) in enumerate(zip(places, each), 1)]
+
+
+def _runs_of(data: bytes, a: int, b: int, at: int, fixed: tuple[int, int, int]) -> tuple[list[tuple[int, int, int, bool]], int]:
+    """Samples of one trun box from ``at`` on, and where they end; ``fixed`` has the ticks, size and flags of those that say none."""
+    if b - a < 8:
+        raise ValueError("a run is cut off")
+    flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    place = a + 8 + 4 * bool(flags & 1)
+    first = struct.unpack_from(">I", data, place)[0] if flags & 4 and place + 4 <= b else None
+    place += 4 * bool(flags & 4)
+    fields = [i for i, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+    if place + 4 * n * len(fields) > b or (not fields and n * fixed[1] > len(data)):
+        raise ValueError("a run is cut off")
+    out = []
+    for i in range(n):
+        said = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, place + 4 * i * len(fields)), strict=True))
+        ticks, size = said.get(0, fixed[0]), said.get(1, fixed[1])
+        kind = said.get(2, fixed[2] if i or first is None else first)
+        out.append((at, at + size, ticks, not kind & 0x10000))
         at += size
+    return out, at
+
+
+def _fragments(data: bytes, boxes: list[tuple[int, bytes, int, int]], tracks: dict[int, _Track]) -> None:
+    """Adds the samples of movie fragments to their tracks."""
+    defaults: dict[int, tuple[int, int, int]] = {}
+    for _, kind, a, b in boxes:
+        if kind == b"trex" and b - a >= 24:
+            track, _, ticks, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = (ticks, size, flags)
+    moof, track, base, fixed, at = 0, None, 0, (0, 0, 0), 0
+    for _, kind, a, b in boxes:
+        if kind == b"moof":
+            moof = at = a - 8
+        elif kind == b"tfhd":
+            if b - a < 8:
+                raise ValueError("a fragment is cut off")
+            flags, number = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+            track, fixed, place, base = tracks.get(number), list(defaults.get(number, (0, 0, 0))), a + 8, moof
+            for bit, width, slot in ((1, 8, None), (2, 4, None), (8, 4, 0), (16, 4, 1), (32, 4, 2)):
+                if flags & bit:
+                    if place + width > b:
+                        raise ValueError("a fragment is cut off")
+                    (value,) = struct.unpack_from(">Q" if width == 8 else ">I", data, place)
+                    if slot is not None:
+                        fixed[slot] = value
+                    elif bit == 1:
+                        base = value
+                    place += width
+            at = base
+        elif kind == b"trun" and track is not None:
+            if b - a >= 12 and struct.unpack_from(">I", data, a)[0] & 1:
+                at = base + struct.unpack_from(">i", data, a + 8)[0]
+            found, at = _runs_of(data, a, b, at, tuple(fixed))
+            track.samples += found
+
+
+def tracks_of(data: bytes) -> list[_Track]:
+    """The tracks of a file in their order, with the samples of tables and of fragments; what is broken raises ValueError or struct.error."""
+    boxes = list(walk(data))
+    out: list[_Track] = []
+    inside = None
+    for depth, kind, a, b in boxes:
+        if inside is not None and depth <= inside:
+            inside = None
+        if kind == b"trak":
+            out.append(_Track(data))
+            inside = depth
+        elif inside is not None:
+            out[-1].found.setdefault(kind, (a, b))
+    for track in out:
+        track.header()
+        track.table_samples()
+    if any(kind == b"moof" for _, kind, _, _ in boxes):
+        _fragments(data, boxes, {t.id: t for t in out})
+    if any(b > len(data) or a < 0 for t in out for a, b, _, _ in t.samples):
+        raise ValueError("samples are missing")
+    return out
 
 
 def describe(data: bytes) -> dict:
-    """Codec, duration and byte ranges of the first track, from boxes and sample tables alone.
+    """Codec, duration and byte ranges of the main track (the first of pictures, else the first), from boxes and tables alone.
 
-    Keys: codec, timescale, duration, samples, ranges [(start, end)] of all samples merged,
-    keyframes [(start, end)].  An unreadable file has only the key error.
+    Keys: codec, kind, tracks (their number), timescale, duration, ticks, samples, ranges [(start, end)] of all
+    samples merged, keyframes [(start, end)].  An unreadable file has only the key error.
     """
     try:
-        found: dict[bytes, tuple[int, int]] = {}
-        for path, a, b in walk(data):
-            found.setdefault(path[-1], (a, b))
-
-        def table(kind: bytes, form: str, skip: int = 8) -> list[tuple]:
-            a, b = found[kind]
-            (n,) = struct.unpack_from(">I", data, a + skip - 4)
-            width = struct.calcsize(">" + form)
-            if n * width > b - a - skip:
-                raise ValueError("a sample table is cut off")
-            return list(struct.iter_unpack(">" + form, data[a + skip : a + skip + n * width]))
-
-        a, _ = found[b"stsd"]
-        codec = data[a + 12 : a + 16].decode("latin-1")
-        a, _ = found[b"mdhd"]
-        scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
-        a, _ = found[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, a + 4)
-        sizes = [fixed] * n if fixed else [x for (x,) in table(b"stsz", "I", 12)]
-        starts = [x for (x,) in (table(b"co64", "Q") if b"co64" in found else table(b"stco", "I"))]
-        runs = table(b"stsc", "III")
-        ticks = sum(count * each for count, each in table(b"stts", "II"))
-        places: list[tuple[int, int]] = []
-        for k, (first, per, _) in enumerate(runs):
-            last = runs[k + 1][0] if k + 1 < len(runs) else len(starts) + 1
-            for chunk in range(first, last):
-                at = starts[chunk - 1]
-                for _ in range(min(per, n - len(places))):
-                    places.append((at, at + sizes[len(places)]))
-                    at += sizes[len(places) - 1]
-        if len(places) != n or any(b > len(data) for _, b in places):
-            raise ValueError("samples are missing")
-        sync = [x - 1 for (x,) in table(b"stss", "I")] if b"stss" in found else range(n)
-        merged: list[list[int]] = []
-        for a, b in places:
-            if merged and merged[-1][1] == a:
-                merged[-1][1] = b
-            else:
-                merged.append([a, b])
-        return {"codec": codec, "timescale": scale, "duration": duration, "ticks": ticks, "samples": n, "ranges": [tuple(x) for x in merged], "keyframes": [places[i] for i in sync]}
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+        found = tracks_of(data)
+        if not found:
+            raise ValueError("no track")
+    except (ValueError, struct.error) as e:
         return {"error": str(e) or type(e).__name__}
+    main = next((t for t in found if t.kind == "vide"), found[0])
+    merged: list[list[int]] = []
+    for a, b, _, _ in main.samples:
+        if merged and merged[-1][1] == a:
+            merged[-1][1] = b
+        else:
+            merged.append([a, b])
+    ticks = sum(t for _, _, t, _ in main.samples)
+    return {
+        "codec": main.codec, "kind": main.kind, "tracks": len(found), "timescale": main.scale, "duration": main.duration or ticks, "ticks": ticks, "samples": len(main.samples),
+        "ranges": [tuple(x) for x in merged], "keyframes": [(a, b) for a, b, _, sync in main.samples if sync],
+    }
 
 
 def read_payload(data: bytes) -> bytes:

@@ -25,13 +25,15 @@ from paperloom.llm.words import mixed, word_hashes
 
 #: Documents that train the scorer, at most.
 SAMPLE = 4000
-#: Shorter texts get no votes, and nothing rejects them.
+#: Words without which a labeller has too little to go by and abstains.
 VOTING = 10
-TRIGRAMS, WORDS, RATIOS = 4096, 4096, 108
+#: Places of hashed trigrams and words, of twelve steps for each labeller's ratio, and of the length in powers of two.
+TRIGRAMS, WORDS, RATIOS, LENGTHS = 4096, 4096, 108, 12
 _CLASS = np.full(256, 13, np.uint8)
 for _k, _chars in enumerate((" \t\r\x0b\f", "\n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!", "?", "'\"-", "|", "#*$%&<>", "()[]{}")):
     _CLASS[[ord(c) for c in _chars]] = _k
 _CLASS[0x80:0xC0], _CLASS[0xC0:] = 15, 14
+SIZE = TRIGRAMS + WORDS + RATIOS + LENGTHS + 1
 LABELLERS = ("symbols", "bars", "exclamations", "capitals", "repeats", "stop words", "variety", "pairs", "word length")
 
 
@@ -64,7 +66,7 @@ _CUTS = ((0.15, 0.01), (0.2, 0.01), (0.3, 0.02), (0.5, 0.15), (0.3, 0.03), (-0.0
 
 
 def votes(r: np.ndarray, n_words: int) -> str:
-    """One character a labeller: g(ood), b(ad) or - (abstains)."""
+    """One character a labeller: g(ood), b(ad) or - (abstains, as all do under VOTING words)."""
     out = []
     for (bad, good), x in zip(_CUTS, r, strict=True):
         x, bad, good = (-x, bad, good) if bad < 0 else (x, bad, good)
@@ -102,13 +104,14 @@ def features(text: bytes, words: np.ndarray, stop: np.ndarray) -> tuple[np.ndarr
     r = ratios(c, words, stop)
     scale = np.array([10, 10, 5, 10, 10, 10, 1, 10, 1])
     place = np.minimum((r * scale).astype(np.int64), 11) + 12 * np.arange(9)
-    values = np.r_[np.sqrt(tri[a] / max(1, tri.sum())), tf[b] / len(words), np.ones(9)]
-    return np.r_[a, TRIGRAMS + b, TRIGRAMS + WORDS + place], values
+    values = np.r_[np.sqrt(tri[a] / max(1, tri.sum())), tf[b] / len(words), np.ones(10)]
+    length = TRIGRAMS + WORDS + RATIOS + min(len(words).bit_length() - 1, LENGTHS - 1)
+    return np.r_[a, TRIGRAMS + b, TRIGRAMS + WORDS + place, length], values
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, steps: int = 150, rate: float = 0.05, shrink: float = 1e-4) -> np.ndarray:
     """Logistic weights (the bias last) by full-batch Adam on soft labels."""
-    size = TRIGRAMS + WORDS + RATIOS + 1
+    size = SIZE
     starts = np.cumsum([0, *(len(p) + 1 for p, _ in rows)])[:-1]
     place = np.concatenate([np.r_[p, size - 1] for p, _ in rows]).astype(np.int32)
     value = np.concatenate([np.r_[v, 1.0] for _, v in rows]).astype(np.float32)
@@ -130,7 +133,7 @@ def _per_text(batches: Iterator[pa.RecordBatch]):
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, votes) of every row; a text under 10 words has only abstentions."""
+    """(doc_id, votes) of every row; a text under VOTING words has only abstentions."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -151,9 +154,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     counts = {r["votes"]: r["count"] for r in vote_table(docs).groupBy("votes").count().collect()}
     total = sum(counts.values())
     if not total:
-        return np.zeros(TRIGRAMS + WORDS + RATIOS + 1)
+        return np.zeros(SIZE)
     posterior, _ = estimate(counts)
-    chosen = docs.select("doc_id", "text").where(F.expr(f"pmod(xxhash64(doc_id), 1000003) < {1000003 * min(1.0, 0.9 * sample / total)}"))
+    chosen = docs.select("doc_id", "text").where(F.expr(f"pmod(xxhash64(doc_id, text), 1000003) < {1000003 * min(1.0, 0.9 * sample / total)}"))
 
     def rows(batches):
         stop = _stop_hashes()
@@ -171,11 +174,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         return pa.table({"w": pa.array([train(sparse, np.array(table["good"].to_pylist())).tobytes()], pa.binary())})
 
     learned = arrow_map(chosen, rows, "place binary, value binary, good double").limit(sample).groupBy(F.lit(1).alias("all")).applyInArrow(lambda t: learn(t.select(["place", "value", "good"])), "w binary").collect()
-    return np.frombuffer(learned[0]["w"]) if learned else np.zeros(TRIGRAMS + WORDS + RATIOS + 1)
+    return np.frombuffer(learned[0]["w"]) if learned else np.zeros(SIZE)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, quality, kept) of every row: the probability of good, and whether it is 1/2 or more or the text too short to tell."""
+    """(doc_id, quality, kept) of every row: the probability of good, and whether it is 1/2 or more."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -188,7 +191,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     out.append(float(1 / (1 + np.exp(-np.clip(weights[p] @ v + weights[-1], -500, 500)))))
                 else:
                     out.append(0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow(kind)), pa.array(out, pa.float64()), pa.array([x >= 0.5 or 0 < len(w) < VOTING for x, w in zip(out, words, strict=True)], pa.bool_())], names=["doc_id", "quality", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow(kind)), pa.array(out, pa.float64()), pa.array([x >= 0.5 for x in out], pa.bool_())], names=["doc_id", "quality", "kept"])
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, quality double, kept boolean")
 
@@ -196,8 +199,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def quality_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, quality, kept) of every row of ``docs``, by a scorer fitted on ``docs`` itself.
 
-    A null or wordless text has quality 0 and is not kept; one of under VOTING words is.  Repeated rows and null doc_ids keep
-    their rows (a null doc_id is never sampled); extra columns are not read; an empty table gives an empty one.
+    A null or wordless text has quality 0 and is not kept.  Repeated rows and null doc_ids keep
+    their rows; extra columns are not read; an empty table gives an empty one.
     """
     return score(docs, fit(docs, sample))
 
@@ -217,7 +220,7 @@ def kept_by_classifier(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 w = hashes[a:b]
                 if len(w):
                     p, v = features(t, w, stop)
-                    keep.append(bool(weights[p] @ v + weights[-1] >= 0) or len(w) < VOTING)
+                    keep.append(bool(weights[p] @ v + weights[-1] >= 0))
                 else:
                     keep.append(False)
             yield batch.filter(pa.array(keep, pa.bool_()))

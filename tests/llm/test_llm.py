@@ -488,6 +488,60 @@ def test_media_tables():
         assert all(media[a:b] == payload[i * 192 * 64 : i * 192 * 64 + 192] for i, (a, b) in enumerate(seen["keyframes"]))
 
 
+def a_track(number, kind, codec, tables, duration=0):
+    from paperloom.llm.media_columns import box, full
+
+    head = full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0))
+    media = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, duration, 0, 0)), full(b"hdlr", bytes(4), kind, bytes(12)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), *tables)))
+    return box(b"trak", head, media)
+
+
+def test_media_of_other_writers():
+    """Hand-built files: sound before pictures, 32-bit offsets, half-byte sizes, fragments; and hostile ones."""
+    from paperloom.llm.media_columns import box, describe, full
+
+    def sound(at):
+        return a_track(1, b"soun", b"mp4a", [full(b"stts", struct.pack(">III", 1, 2, 10)), full(b"stsc", struct.pack(">IIII", 1, 1, 2, 1)), full(b"stz2", struct.pack(">IIB", 4, 2, 0x35)), full(b"stco", struct.pack(">II", 1, at))], 20)
+
+    def pictures(at):
+        tables = [
+            full(b"stts", struct.pack(">IIIII", 2, 2, 40, 1, 20)), full(b"stsc", struct.pack(">IIIIIII", 2, 1, 1, 1, 2, 2, 1)), full(b"stsz", struct.pack(">IIIII", 0, 3, 7, 5, 4)),
+            full(b"stco", struct.pack(">III", 2, at, at + 10)), full(b"stss", struct.pack(">II", 1, 2)),
+        ]
+        return a_track(2, b"vide", b"avc1", tables, 100)
+
+    def movie(at):
+        return box(b"ftyp", b"isom", bytes(4)) + box(b"moov", sound(at), pictures(at + 8))
+
+    at = len(movie(0)) + 8
+    got = describe(movie(at) + box(b"mdat", bytes(40)))
+    assert got == {"codec": "avc1", "kind": "vide", "tracks": 2, "timescale": 1000, "duration": 100, "ticks": 100, "samples": 3, "ranges": [(at + 8, at + 15), (at + 18, at + 27)], "keyframes": [(at + 18, at + 23)]}
+    none = [full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4))]
+    head = box(b"moov", a_track(7, b"vide", b"hvc1", none), box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 30, 4, 0x10000))))
+
+    def fragment(offset, *fields):
+        return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"trun", struct.pack(">IiI", 3, offset, 0), struct.pack(">3I", *fields), flags=0x205)))
+
+    moof = fragment(len(fragment(0, 1, 2, 3)) + 8, 6, 4, 5)
+    a = len(head) + len(moof) + 8
+    got = describe(head + moof + box(b"mdat", bytes(15)))
+    assert (got["samples"], got["duration"], got["ranges"], got["keyframes"]) == (3, 90, [(a, a + 15)], [(a, a + 6)])
+    good = media_columns.write_media(b"x" * 384)
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    sync0 = a_track(1, b"vide", b"avc1", [full(b"stts", struct.pack(">III", 1, 1, 1)), full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), full(b"stsz", struct.pack(">II", 1, 1)), full(b"stco", struct.pack(">II", 1, 0)), full(b"stss", struct.pack(">II", 1, 0))])
+    huge = a_track(1, b"vide", b"avc1", [full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF))])
+    for bad in (deep, box(b"moov", sync0), box(b"moov", huge), box(b"moov"), b"", head + moof, good[:-1]):
+        assert set(describe(bad)) == {"error"}
+    r = random.Random(4)
+    for _ in range(3000):
+        broken = bytearray(r.choice([good, movie(at) + box(b"mdat", bytes(40)), head + moof + box(b"mdat", bytes(15))]))
+        for _ in range(r.randint(1, 4)):
+            broken[r.randrange(min(len(broken), 700))] = r.choice([0, 1, 255, r.randrange(256)])
+        describe(bytes(broken))
+
+
 def test_quality_classifier(spark, docs, empty):
     d = spark.read.parquet(f"{LABELLED}/documents.parquet")
     labels = spark.read.parquet(f"{LABELLED}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
@@ -496,6 +550,39 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.quality_classifier(docs).count() == docs.count()
     assert quality_classifier.quality_classifier(empty).count() == 0
     assert quality_classifier.kept_by_classifier(docs).columns == docs.columns
+    rows = {r.doc_id: r for r in quality_classifier.quality_classifier(docs).where("doc_id is not null").collect()}
+    assert rows[0].quality == rows[1].quality == rows[2].quality == 0 and not rows[0].kept and all(r.kept == (r.quality >= 0.5) for r in rows.values())
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in quality_classifier.quality_classifier(docs).where("kept").collect())
+    assert kept == sorted((r.doc_id is None, r.doc_id or 0) for r in quality_classifier.kept_by_classifier(docs).collect())
+
+
+def test_estimate_against_plain_loops():
+    """One pattern at a time, in plain floats, EM comes to the same accuracies and posteriors."""
+    r = random.Random(6)
+    patterns = collections.Counter("".join(r.choices("bg-", weights=(1, 3, 2), k=9)) for _ in range(500))
+    got, table = quality_classifier.estimate(patterns, rounds=7)
+    good = {k: (k.count("g") + 1) / (k.count("g") + 6 * k.count("b") + 2) for k in patterns}
+    for _ in range(7):
+        share = lambda k, c: good[k] if c else 1 - good[k]  # noqa: B023, E731
+        said = {(j, c, v): 1 + sum(n * share(k, c) for k, n in patterns.items() if k[j] == v) for j in range(9) for c in (0, 1) for v in "bg"}
+        prior = [1 + sum(n * share(k, c) for k, n in patterns.items()) for c in (0, 1)]
+        now = {}
+        for k in patterns:
+            like = [prior[c] * math.prod(said[j, c, v] / (said[j, c, "b"] + said[j, c, "g"]) for j, v in enumerate(k) if v != "-") for c in (0, 1)]
+            now[k] = like[1] / sum(like)
+        good = now
+    assert all(abs(got[k] - good[k]) < 1e-9 for k in patterns)
+
+
+def test_scorer_learns_a_plain_rule():
+    """A hashed linear scorer trained on soft labels comes close to the rule behind them, on rows that it has not seen."""
+    r = np.random.default_rng(1)
+    truth = np.where(r.random(200) < 0.5, -3.0, 3.0)
+    rows = [(np.sort(r.choice(200, 11, replace=False)), np.ones(11)) for _ in range(3000)]
+    target = np.array([1 / (1 + np.exp(-truth[p].sum() / 4)) for p, _ in rows])
+    w = quality_classifier.train(rows[:2000], target[:2000])
+    found = np.array([w[p] @ v + w[-1] for p, v in rows[2000:]])
+    assert ((found > 0) == (target[2000:] > 0.5)).mean() > 0.9
 
 
 def test_estimate_finds_accuracies():
