@@ -40,29 +40,29 @@ def pretoken_pattern(pattern: str):
 
 #: A worker's encoders live as long as it does, so tasks that follow find words known.
 _encoders: dict[str, SpacedEncoder] = {}
-_ENDS = ".,;:!?"
+#: Pieces that the library gets at once.
+ROW = 1000
+_LETTERS = "a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e"
 #: Letters that are composed already and whose lower case is one such letter, and ASCII: here lower-casing before the library's normal form changes nothing.
 _STABLE = regex.compile("[\x21-\x7e\xc0-\u012f\u0131-\u0148\u014a-\u017e]+")
-_LETTER = regex.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]")
+# What the library takes for one piece, for lower-case stretches of such characters.
+_PIECES = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
-def learned_as(stretch: str) -> tuple[str, str]:
-    """What the library gets for a stretch, and a mark that follows it.
+def learned_as(stretch: str) -> list[str]:
+    """What the library gets for a stretch, one after another.
 
     Only a stretch of _STABLE characters without the beginning of a special token is lower-cased
-    and parted from one mark behind a letter (there the library parts them too); any other goes as it is.
+    and parted, as the library parts it; any other goes whole and as it is.
     """
-    if not _STABLE.fullmatch(stretch) or "<|" in stretch:
-        return stretch, ""
-    low = stretch.lower()
-    return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in _ENDS and _LETTER.match(low[-2]) else (low, "")
+    return _PIECES.findall(stretch.lower()) if _STABLE.fullmatch(stretch) and "<|" not in stretch else [stretch]
 
 
 class SpacedEncoder:
     """Encodes texts by a tokenizer that lower-cases and whose pieces never cross or hold white space.
 
-    Each distinct stretch is learned once, as :func:`learned_as` has it.  At most ``remembered``
-    stretches and a batch's more are known at a time.
+    Each distinct stretch is learned once, and each distinct piece of one (:func:`learned_as`).  At
+    most ``remembered`` stretches and a batch's more are known at a time.
     """
 
     def __init__(self, path: str, remembered: int = 1_000_000):
@@ -70,6 +70,9 @@ class SpacedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._fresh()
 
     @classmethod
@@ -79,29 +82,69 @@ class SpacedEncoder:
         return _encoders[path]
 
     def _fresh(self) -> None:
-        self.numbers, self.flat, self.starts, self.counts, self.used = _Numbers(), np.zeros(1 << 20, np.uint16), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 0
+        self.numbers, self.pieces = _Numbers(), _Numbers()
+        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+        #: Starts and counts of the ids of each stretch, and of each piece.
+        self.stretch, self.piece = np.zeros((2, 1 << 18), np.int32), np.zeros((2, 1 << 18), np.int32)
+
+    def _append(self, found: list[list[int]], counts: np.ndarray) -> np.ndarray:
+        """Puts ids at the end of the store; starts and counts of what ``counts`` parts them into."""
+        total = int(counts.sum())
+        while len(self.flat) < self.used + total:
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint16, total)
+        starts = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        self.used += total
+        return np.stack([starts, counts]).astype(np.int32)
+
+    def _encoded(self, todo: list[str]) -> np.ndarray:
+        """Starts and counts of the ids of each text.
+
+        Those that are one piece to the library go to it in rows, a space between; a piece ends with
+        the id of a token that ends a word.  A row with another number of ends goes piece by piece.
+        """
+        out = np.zeros((2, len(todo)), np.int32)
+        alone = np.fromiter((_PIECES.fullmatch(p) is None or "<|" in p for p in todo), bool, len(todo))
+        single = np.flatnonzero(~alone)
+        rows = [single[at : at + ROW] for at in range(0, len(single), ROW)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([" ".join(map(todo.__getitem__, row.tolist())) for row in rows], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(row) and ends[-1] == len(ids) - 1:
+                out[:, row] = self._append([ids], np.diff(ends, prepend=-1))
+            else:
+                alone[row] = True
+        whole = np.flatnonzero(alone)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(todo.__getitem__, whole.tolist())), add_special_tokens=False)]
+        out[:, whole] = self._append(ids, np.fromiter(map(len, ids), np.int64, len(ids)))
+        return out
+
+    @staticmethod
+    def _put(table: np.ndarray, places: np.ndarray, at: int) -> np.ndarray:
+        while table.shape[1] < at + places.shape[1]:
+            table = np.concatenate([table, np.zeros_like(table)], 1)
+        table[:, at : at + places.shape[1]] = places
+        return table
 
     def _learn(self) -> None:
-        """Encodes what is new; a plain word that is known already lends its ids."""
+        """Encodes the pieces that are new; a stretch of one piece shares its ids, others get their own."""
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        plain = list(map(learned_as, new))
-        todo = [p for p in dict.fromkeys(p for p, _ in plain)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]
-        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _ENDS}
-        by_word = dict(zip(todo, ids, strict=True))
-        found = [by_word[p] + marks[m] if m else by_word[p] for p, m in plain]
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        total, done, now = int(counts.sum()), len(self.numbers) - len(new), len(self.numbers)
-        while len(self.flat) < self.used + total:
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while len(self.starts) < now:
-            self.starts, self.counts = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.counts, np.zeros_like(self.counts)]
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint16, total)
-        self.starts[done:now] = self.used + np.cumsum(counts) - counts
-        self.counts[done:now] = counts
-        self.used += total
+        parted = [[w.lower()] if w.isascii() and w.isalpha() else learned_as(w) for w in new]
+        several = [i for i, parts in enumerate(parted) if len(parts) > 1]
+        number = self.pieces.__getitem__
+        first = np.fromiter((number(parts[0]) for parts in parted), np.int64, len(parted))
+        rest = [[number(p) for p in parted[i]] for i in several]
+        todo, self.pieces.new = self.pieces.new, []
+        if todo:
+            self.piece = self._put(self.piece, self._encoded(todo), len(self.pieces) - len(todo))
+        places = self.piece[:, first]
+        if several:
+            starts, counts = self.piece.tolist() if len(several) > len(self.pieces) else self.piece
+            ids = [[x for p in parts for x in self.flat[starts[p] : starts[p] + counts[p]].tolist()] for parts in rest]
+            places[:, several] = self._append(ids, np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.stretch = self._put(self.stretch, places, len(self.numbers) - len(new))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts, without added special tokens."""
@@ -112,7 +155,8 @@ class SpacedEncoder:
             parts = [p for p in _GAPS.split(text) if p] if any(c in text for c in _EXTRA) else text.split()
             ats.append(np.fromiter(map(self.numbers.__getitem__, parts), np.int32, len(parts)))
         self._learn()
-        return [ragged(self.flat, self.starts[at], self.counts[at].astype(np.int64)) for at in ats]
+        starts, counts = self.stretch
+        return [ragged(self.flat, starts[at], counts[at].astype(np.int64)) for at in ats]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
