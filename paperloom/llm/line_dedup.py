@@ -2,10 +2,10 @@
 
 Equal lines (trimmed, lower-cased) are one key.  One pass over the texts signs each distinct line of
 a block (:mod:`line_signatures`) and deals its band buckets, packed, over parts of the bucket space; a
-bucket of one key goes no further.  Members of the others are compared with members that are elected
-by hash; the elected, compared with all, leave, and those not yet connected elect once more.  Lines that
-are then still apart in some bucket are joined exactly, by their rarest shingles: of two sets that
-link, the first n - ceil(3n/4) + 1 of either meet.  An exact Jaccard of 3/4 of 5-character shingles
+bucket of one key goes no further.  Members of the others are compared with the most typical ones (whose
+shingles other candidates have, too); those elected, compared with all, leave, and what is not yet
+connected elects once more.  Lines that are then still apart in some bucket are joined exactly, by their
+rarest shingles: of two sets that link, the first n - ceil(3n/4) + 1 of either meet, in any fixed order.  An exact Jaccard of 3/4 of 5-character shingles
 links, and distributed union-find makes components.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.line_signatures import alike, banded, set_sizes, shingle_hashes
-from paperloom.llm.shared import ROW, arrow_map, blocks, materialize, numbered, parts
+from paperloom.llm.line_signatures import alike, banded, shingle_hashes
+from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered, parts
 from paperloom.llm.word_blocks import pack, unpack
 
 #: Members of a bucket that are elected at a time, and how often.
@@ -123,30 +123,68 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "na", "nb"), check, "a long, b long")
 
 
+def _sketch(texts: DataFrame, bits: int) -> np.ndarray:
+    """In how many lines each shingle is, up to 255, counted by the lowest bits of its hash: 2 ** bits bytes whatever the data."""
+    size, step = 1 << bits, 1 << 18
+    schema = pa.schema([("range", pa.int32()), ("counts", pa.binary())])
+
+    def count(batches):
+        seen = np.zeros(size, np.uint8)
+        for b in batches:
+            for s in shingle_hashes(b.column(0).to_pylist()):
+                at = s & (size - 1)
+                seen[at] += seen[at] < 255
+        yield arrow_rows(schema, [(i, pack(part.tobytes())) for i in range(size // step) if (part := seen[i * step : (i + 1) * step]).any()])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(unpack(b)[0], np.uint8).astype(np.uint32) for b in table["counts"].to_pylist())
+        return pa.Table.from_batches([arrow_rows(schema, [(table["range"][0].as_py(), pack(np.minimum(total, 255).astype(np.uint8).tobytes()))])])
+
+    out = np.zeros(size, np.uint8)
+    for r in arrow_map(texts.select("norm"), count, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary").toLocalIterator():
+        out[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(unpack(r["counts"])[0], np.uint8)
+    return out
+
+
 def line_links(rows: DataFrame) -> DataFrame:
     """(a, b): keys of fuzzy copies among the lines of :func:`signed`; of pairs that others connect, not all."""
     members = materialize(rows.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(_shared, "bucket long, key long"), "members")
     wanted = materialize(members.select("key").distinct(), "wanted")
-    near = materialize(_probably(rows.where("key is not null").select("key", "norm"), wanted, wanted.count()), "near")
-    one = near.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi")
+    count = wanted.count()
+    near = materialize(_probably(rows.where("key is not null").select("key", "norm"), wanted, count), "near")
+    one = materialize(near.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "one")
+    sketch = rows.sparkSession.sparkContext.broadcast(_sketch(one, min(24, max(20, (64 * count).bit_length()))))
 
     def sized(batches):
         for b in batches:
-            yield b.append_column("n", pa.array(set_sizes(b.column(1).to_pylist())))
+            sets = shingle_hashes(b.column(1).to_pylist())
+            often = [float(np.log2(np.maximum(sketch.value[s & (len(sketch.value) - 1)], 1)).mean()) for s in sets]
+            yield b.append_column("n", pa.array(list(map(len, sets)), pa.int64())).append_column("typical", pa.array(often, pa.float64()))
 
-    texts = materialize(arrow_map(one, sized, "key long, norm string, n long"), "texts")
-    apart = members.join(texts.select("key", "n"), "key").withColumn("component", F.col("key"))
+    def rarest(batches):
+        for b in batches:
+            sets = []
+            for s in shingle_hashes(b.column(1).to_pylist()):
+                often = sketch.value[s & (len(sketch.value) - 1)]
+                first = np.lexsort((s, often))[: len(s) - (3 * len(s) + 3) // 4 + 1]
+                sets.append(s[first][often[first] > 1])
+            sizes = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes), pa.int64())), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64())], names=["key", "shingle"])
+
+    texts = materialize(arrow_map(one, sized, "key long, norm string, n long, typical double"), "texts")
+    apart = members.join(texts.select("key", "n", "typical"), "key").withColumn("component", F.col("key"))
     links = None
     for _ in range(ELECTIONS):
-        apart = materialize(apart.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key"))), "apart")
+        order = Window.partitionBy("bucket").orderBy(F.col("typical").desc(), F.xxhash64("key"), "key")
+        apart = materialize(apart.withColumn("rank", F.row_number().over(order)), "apart")
         heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
         links = _linked(apart.join(heads, "bucket"), texts, links)
         linked = materialize(connected_components(links), "linked")
-        rest = apart.where(F.col("rank") > ELECTED).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
+        rest = apart.where(F.col("rank") > ELECTED).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
         split = rest.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
         apart = rest.join(split, "bucket")
     left = materialize(apart.select("key", "n", "component").distinct(), "left")
-    rare = materialize(_rarest(texts.join(left.select("key"), "key", "left_semi")), "rare").join(left, "key")
+    rare = materialize(arrow_map(texts.join(left.select("key"), "key", "left_semi").select("key", "norm"), rarest, "key long, shingle long"), "rare").join(left, "key")
     return _linked(rare.join(rare.select("shingle", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "shingle").where("key < head"), texts, links)
 
 
@@ -158,22 +196,6 @@ def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) ->
     return found if links is None else links.union(found)
 
 
-def _rarest(texts: DataFrame) -> DataFrame:
-    """(key, shingle): the first n - ceil(3n/4) + 1 shingles of each line, the rarest among ``texts`` first."""
-
-    def cut(batches):
-        for b in batches:
-            lines = b.column(1).to_pylist()
-            sets = shingle_hashes(lines)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())], names=["key", "shingle"])
-
-    found = materialize(arrow_map(texts.select("key", "norm"), cut, "key long, shingle long"), "shingles")
-    often = found.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("key").orderBy("df", "shingle")
-    placed = found.join(often.where("df > 1"), "shingle", "left").select("key", "shingle", F.coalesce("df", F.lit(1)).alias("df")).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return placed.where("r <= n - ceil(3 * n / 4) + 1 and df > 1").select("key", "shingle")
-
-
 def line_verdicts(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line_no, component, kept) of every line of every row of a stored table with row numbers."""
     rows = signed(docs)

@@ -118,14 +118,6 @@ def _parts(lines: list[str], step: int):
         at = end
 
 
-def set_sizes(lines: list[str]) -> np.ndarray:
-    """The number of each line's distinct shingles."""
-    out = np.zeros(len(lines), np.int64)
-    for at, end in _parts(lines, 1):
-        out[at:end] = np.bincount((_sets(lines[at:end]) >> np.uint64(48)).astype(np.int64), minlength=end - at)
-    return out
-
-
 def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
     """Each line's distinct shingles, as 64-bit hashes."""
     hashes, counts = windows(*characters(lines), SHINGLE)

@@ -192,6 +192,21 @@ def test_line_twins_among_strangers(spark):
     assert sum(got[2 * i] != got[2 * i + 1] for i in range(300)) <= 1
 
 
+def test_copies_of_a_line_that_are_apart_from_each_other(spark):
+    """Hundreds of copies that only the common original links: it is found among them, and they are one component."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(60)]
+    data = [(0, " ".join(words))]
+    for i in range(1, 400):
+        own = list(words)
+        for j in r.sample(range(60), 3):
+            own[j] = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+        data.append((i, " ".join(own)))
+    r.shuffle(data)
+    got = {x.doc_id: x.component for x in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(c != got[0] for c in got.values()) <= 4
+
+
 def near_lines():
     """Pairs of lines that differ in one to three words."""
     r = random.Random(4)
@@ -247,7 +262,7 @@ def test_line_signatures():
 
     r = random.Random(2)
     lines = ["".join(r.choices("abé日🎉 ", k=r.choice([1, 2, 4, 5, 6, 30, 300]))) for _ in range(900)] + ["x" * 70000, "y"]
-    assert signatures.set_sizes(lines).tolist() == [len(plain_shingles(x)) for x in lines]
+    assert list(map(len, signatures.shingle_hashes(lines))) == [len(plain_shingles(x)) for x in lines]
     others = [x[: -r.randint(1, 3)] + "q" if len(x) > 3 else x for x in lines]
     want = [4 * len(plain_shingles(a) & plain_shingles(b)) >= 3 * len(plain_shingles(a) | plain_shingles(b)) for a, b in zip(lines, others, strict=True)]
     assert signatures.alike(lines, others).tolist() == want and 100 < sum(want) < 900
