@@ -4,8 +4,9 @@ Equal lines (trimmed, lower-cased) are one key.  One pass over the texts signs e
 a block (:mod:`line_signatures`) and deals its band buckets, packed, over parts of the bucket space; a
 bucket of one key goes no further.  Members of the others are compared with the most typical ones (whose
 shingles other candidates have, too); those elected, compared with all, leave, and what is not yet
-connected elects once more.  Lines that are then still apart in some bucket are joined exactly, by their
-rarest shingles: of two sets that link, the first n - ceil(3n/4) + 1 of either meet, in any fixed order.  An exact Jaccard of 3/4 of 5-character shingles
+connected elects once more.  Lines that are then still apart in some bucket (a passage that strangers
+share fills it) are banded anew, by shingles and with more rows, and elect in those buckets; whatever
+stays apart there is compared, each with each.  An exact Jaccard of 3/4 of 5-character shingles
 links, and distributed union-find makes components.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.line_signatures import alike, banded, shingle_hashes
+from paperloom.llm.line_signatures import alike, banded, crowded, shingle_hashes
 from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered, parts
 from paperloom.llm.word_blocks import pack, unpack
 
@@ -161,31 +162,40 @@ def line_links(rows: DataFrame) -> DataFrame:
             often = [float(np.log2(np.maximum(sketch.value[s & (len(sketch.value) - 1)], 1)).mean()) for s in sets]
             yield b.append_column("n", pa.array(list(map(len, sets)), pa.int64())).append_column("typical", pa.array(often, pa.float64()))
 
-    def rarest(batches):
+    def again(batches):
         for b in batches:
-            sets = []
-            for s in shingle_hashes(b.column(1).to_pylist()):
-                often = sketch.value[s & (len(sketch.value) - 1)]
-                first = np.lexsort((s, often))[: len(s) - (3 * len(s) + 3) // 4 + 1]
-                sets.append(s[first][often[first] > 1])
-            sizes = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes), pa.int64())), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64())], names=["key", "shingle"])
+            found = crowded(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(found)), found.shape[1])))], names=["bucket", "key"])
 
     texts = materialize(arrow_map(one, sized, "key long, norm string, n long, typical double"), "texts")
-    apart = members.join(texts.select("key", "n", "typical"), "key").withColumn("component", F.col("key"))
-    links = None
+    links, apart = _elected(members, texts, None)
+    left = materialize(apart.select("key").distinct(), "left")
+    finer = materialize(arrow_map(texts.join(left, "key", "left_semi").select("key", "norm"), again, "bucket long, key long"), "finer")
+    several = finer.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    links, apart = _elected(finer.join(several, "bucket"), texts, links)
+    return _linked(apart.join(apart.select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "bucket").where("key < head"), texts, links)
+
+
+def _elected(members: DataFrame, texts: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """Links between members (bucket, key) and the elected of their buckets, with those before; and who is left in buckets that are not one component."""
+    linked = None if links is None else materialize(connected_components(links), "linked")
+    apart = members.join(texts.select("key", "n", "typical"), "key")
     for _ in range(ELECTIONS):
+        if linked is None:
+            apart = apart.withColumn("component", F.col("key"))
+        else:
+            apart = apart.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
+            split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
+            apart = apart.join(split, "bucket")
         order = Window.partitionBy("bucket").orderBy(F.col("typical").desc(), F.xxhash64("key"), "key")
         apart = materialize(apart.withColumn("rank", F.row_number().over(order)), "apart")
         heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
         links = _linked(apart.join(heads, "bucket"), texts, links)
         linked = materialize(connected_components(links), "linked")
-        rest = apart.where(F.col("rank") > ELECTED).drop("component", "rank").join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
-        split = rest.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
-        apart = rest.join(split, "bucket")
-    left = materialize(apart.select("key", "n", "component").distinct(), "left")
-    rare = materialize(arrow_map(texts.join(left.select("key"), "key", "left_semi").select("key", "norm"), rarest, "key long, shingle long"), "rare").join(left, "key")
-    return _linked(rare.join(rare.select("shingle", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "shingle").where("key < head"), texts, links)
+        apart = apart.where(F.col("rank") > ELECTED).drop("component", "rank")
+    apart = apart.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
+    split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
+    return links, materialize(apart.join(split, "bucket"), "apart")
 
 
 def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:

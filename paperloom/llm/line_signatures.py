@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 
-SHINGLE, WINDOW, BANDS, ROWS = 5, 8, 16, 3
+SHINGLE, WINDOW, BANDS, ROWS = 5, 8, 20, 3
+#: Bands of lines that crowd into buckets of the first ones: by shingles, and with more rows.
+CROWDED_BANDS, CROWDED_ROWS = 48, 8
 #: Lines with FEW distinct shingles or less among the first SEEN are banded by shingles too.
 SEEN, FEW = 24, 16
 CHUNK = 1 << 16
 _BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(_BASE, j, 1 << 64) for j in range(WINDOW + 1)], np.uint64)
 _draw = np.random.default_rng(20240817)
-_XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_ODD = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_TURN = _draw.integers(1, 1 << 63, (2, BANDS), dtype=np.uint64)
+_XOR = _draw.integers(0, 1 << 32, CROWDED_BANDS * CROWDED_ROWS, dtype=np.uint32)
+_ODD = _draw.integers(0, 1 << 31, CROWDED_BANDS * CROWDED_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_TURN = _draw.integers(1, 1 << 63, (3, CROWDED_BANDS), dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,13 +53,13 @@ def windows(chars: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndar
     return h[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)], counts
 
 
-def buckets(hashes: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarray:
-    """The buckets of each line, (lines, BANDS): hashes of ROWS minima each."""
+def buckets(hashes: np.ndarray, counts: np.ndarray, kind: int, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The buckets of each line, (lines, bands): hashes of ``rows`` minima each."""
     small, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
-    out = np.empty((len(counts), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.empty((len(counts), bands), np.uint64)
+    for b in range(bands):
         h = np.full(len(counts), _TURN[kind, b])
-        for j in range(b * ROWS, b * ROWS + ROWS):
+        for j in range(b * rows, b * rows + rows):
             h = _mixed(h ^ np.minimum.reduceat((small ^ _XOR[j]) * _ODD[j], starts))
         out[:, b] = h
     return out
@@ -92,6 +94,15 @@ def banded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def crowded(lines: list[str]) -> np.ndarray:
+    """The buckets of each line in the bands for crowds, (lines, CROWDED_BANDS)."""
+    out = [np.zeros((0, CROWDED_BANDS), np.uint64)]
+    for at, end in _parts(lines, 1):
+        hashes, counts = windows(*characters(lines[at:end]), SHINGLE)
+        out.append(buckets(hashes ^ _TURN[2, 0], counts, 2, CROWDED_BANDS, CROWDED_ROWS))
+    return np.concatenate(out)
+
+
 def _few_buckets(hashes: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
     if not len(some):
         return np.zeros((0, BANDS), np.uint64)
