@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps until the edges no longer change.  Edges with a
     null end are ignored, loops and repeated edges do no harm, an empty table gives an empty one.
     Each round is written to the shared folder, so lineage stays short and lost executors are
-    made up for; minima are pre-aggregated before their shuffle.
+    made up for; the last one is what is returned; minima are pre-aggregated before their shuffle.
     """
     clean = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     loops = clean.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == seen:
             break
         seen = now
-    return loops.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+    named = materialize(loops.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component")), "components")
+    forget(e)
+    return named

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.line_signatures import alike, banded, crowded, shingle_hashes
-from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, materialize, numbered, parts
+from paperloom.llm.shared import ROW, arrow_map, arrow_rows, blocks, forget, materialize, materialize_kinds, numbered, parts
 from paperloom.llm.word_blocks import pack, unpack
 
 #: Members of a bucket that are elected at a time, and how often.
@@ -65,18 +65,19 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(bucket[keep].view(np.int64)), "key": pa.array(key[keep])})
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """One stored table of three kinds of rows: lines of a text (row, doc_id, keys), a block's buckets (part, packed), its distinct lines (key, norm).
+def signed(docs: DataFrame) -> list[DataFrame]:
+    """Three stored tables from one pass: lines of a text (row, doc_id, keys), a block's buckets (part, packed), its distinct lines (key, norm).
 
     ``keys`` has a null for each blank line.
     """
     n = parts(docs)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("row", pa.int64()), ("doc_id", {"int": pa.int32(), "string": pa.string()}.get(doc_type, pa.int64())), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("packed", pa.binary()), ("key", pa.int64()), ("norm", pa.string())])
+    schema = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", {"int": pa.int32(), "string": pa.string()}.get(doc_type, pa.int64())), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("packed", pa.binary()), ("key", pa.int64()), ("norm", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(columns: dict[str, list]) -> pa.RecordBatch:
+        def rows(kind: int, columns: dict[str, list]) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
+            columns["kind"] = [kind] * size
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
         for ids, texts in blocks(pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["row", "doc_id"]), b.column(2)], names=["id", "text"]) for b in batches):
@@ -89,15 +90,16 @@ def signed(docs: DataFrame) -> DataFrame:
                         known[line] = _key(line)
                     here.append(known.get(line))
                 found.append(here)
-            yield rows({"row": [i["row"] for i in ids], "doc_id": [i["doc_id"] for i in ids], "keys": found})
+            yield rows(0, {"row": [i["row"] for i in ids], "doc_id": [i["doc_id"] for i in ids], "keys": found})
             lines, keys = list(known), np.fromiter(known.values(), np.int64, len(known))
             packed = _packed(*banded(lines), keys, n)
-            yield rows({"part": [p for p, _ in packed], "packed": [b for _, b in packed]})
+            yield rows(1, {"part": [p for p, _ in packed], "packed": [b for _, b in packed]})
             for at in range(0, len(lines), 5000):
-                yield rows({"key": keys[at : at + 5000].tolist(), "norm": lines[at : at + 5000]})
+                yield rows(2, {"key": keys[at : at + 5000].tolist(), "norm": lines[at : at + 5000]})
 
-    ddl = f"row long, doc_id {doc_type}, keys array<long>, part int, packed binary, key long, norm string"
-    return materialize(arrow_map(docs.select(ROW, "doc_id", "text"), run, ddl), "signed")
+    ddl = f"kind int, row long, doc_id {doc_type}, keys array<long>, part int, packed binary, key long, norm string"
+    lines, packed, texts = materialize_kinds(arrow_map(docs.select(ROW, "doc_id", "text"), run, ddl), "signed", 3)
+    return [lines.select("row", "doc_id", "keys"), packed.select("part", "packed"), texts.select("key", "norm")]
 
 
 def _probably(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
@@ -147,14 +149,17 @@ def _sketch(texts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def line_links(rows: DataFrame) -> DataFrame:
-    """(a, b): keys of fuzzy copies among the lines of :func:`signed`; of pairs that others connect, not all."""
-    members = materialize(rows.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(_shared, "bucket long, key long"), "members")
+def line_links(packed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): keys of fuzzy copies among the lines of :func:`signed`, whose tables are forgotten here; of pairs that others connect, not all."""
+    members = materialize(packed.groupBy("part").applyInArrow(_shared, "bucket long, key long"), "members")
+    forget(packed)
     wanted = materialize(members.select("key").distinct(), "wanted")
     count = wanted.count()
-    near = materialize(_probably(rows.where("key is not null").select("key", "norm"), wanted, count), "near")
+    near = materialize(_probably(lines, wanted, count), "near")
+    forget(lines)
     one = materialize(near.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "one")
-    sketch = rows.sparkSession.sparkContext.broadcast(_sketch(one, min(24, max(20, (64 * count).bit_length()))))
+    forget(near, wanted)
+    sketch = packed.sparkSession.sparkContext.broadcast(_sketch(one, min(24, max(20, (64 * count).bit_length()))))
 
     def sized(batches):
         for b in batches:
@@ -168,34 +173,40 @@ def line_links(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(found)), found.shape[1])))], names=["bucket", "key"])
 
     texts = materialize(arrow_map(one, sized, "key long, norm string, n long, typical double"), "texts")
+    forget(one)
     links, apart = _elected(members, texts, None)
+    forget(members)
     left = materialize(apart.select("key").distinct(), "left")
+    forget(apart)
     finer = materialize(arrow_map(texts.join(left, "key", "left_semi").select("key", "norm"), again, "bucket long, key long"), "finer")
     several = finer.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     links, apart = _elected(finer.join(several, "bucket"), texts, links)
+    forget(finer, left)
     return _linked(apart.join(apart.select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "bucket").where("key < head"), texts, links)
 
 
 def _elected(members: DataFrame, texts: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
     """Links between members (bucket, key) and the elected of their buckets, with those before; and who is left in buckets that are not one component."""
-    linked = None if links is None else materialize(connected_components(links), "linked")
-    apart = members.join(texts.select("key", "n", "typical"), "key")
-    for _ in range(ELECTIONS):
+    linked = None if links is None else connected_components(links)
+    apart, done = members.join(texts.select("key", "n", "typical"), "key"), [] if linked is None else [linked]
+    for turn in range(ELECTIONS + 1):
         if linked is None:
             apart = apart.withColumn("component", F.col("key"))
         else:
             apart = apart.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
             split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
             apart = apart.join(split, "bucket")
-        order = Window.partitionBy("bucket").orderBy(F.col("typical").desc(), F.xxhash64("key"), "key")
-        apart = materialize(apart.withColumn("rank", F.row_number().over(order)), "apart")
-        heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
-        links = _linked(apart.join(heads, "bucket"), texts, links)
-        linked = materialize(connected_components(links), "linked")
-        apart = apart.where(F.col("rank") > ELECTED).drop("component", "rank")
-    apart = apart.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", "typical", F.coalesce("component", "key").alias("component"))
-    split = apart.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
-    return links, materialize(apart.join(split, "bucket"), "apart")
+        if turn < ELECTIONS:
+            apart = apart.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("typical").desc(), F.xxhash64("key"), "key")))
+        apart = materialize(apart, "apart")
+        forget(*done)
+        if turn < ELECTIONS:
+            heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
+            links = _linked(apart.join(heads, "bucket"), texts, links)
+            linked = connected_components(links)
+            done = [apart, linked]
+            apart = apart.where(F.col("rank") > ELECTED).drop("component", "rank")
+    return links, apart
 
 
 def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -203,14 +214,15 @@ def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) ->
     pairs = candidates.where("component <> other and 4 * n >= 3 * m and 4 * m >= 3 * n")
     pairs = materialize(pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
     found = materialize(_verified(pairs, texts), "links")
+    forget(pairs)
     return found if links is None else links.union(found)
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line_no, component, kept) of every line of every row of a stored table with row numbers."""
-    rows = signed(docs)
-    found = rows.where("row is not null").select("row", "doc_id", F.posexplode("keys").alias("line_no", "key"))
-    linked = connected_components(materialize(line_links(rows), "links"))
+    rows, packed, texts = signed(docs)
+    found = rows.select("row", "doc_id", F.posexplode("keys").alias("line_no", "key"))
+    linked = connected_components(line_links(packed, texts))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
     firsts = found.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
     named = materialize(firsts.join(linked, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component")), "named")

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
@@ -74,6 +75,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_kinds(df: DataFrame, name: str, kinds: int) -> list[DataFrame]:
+    """Writes ``df`` by its column ``kind`` in one pass; a DataFrame for each kind, which can be forgotten apart."""
+    spark = df.sparkSession
+    path, writers = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, "0")
+    spark.conf.set(writers, str(kinds + 1))
+    try:
+        df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+    schema = StructType([f for f in df.schema.fields if f.name != "kind"])
+    empty = spark.createDataFrame([], schema)
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f"{path}/kind={k}" for k in range(kinds)]
+    return [spark.read.schema(schema).parquet(f) if there.exists(jvm.org.apache.hadoop.fs.Path(f)) else empty for f in folders]
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables written by :func:`materialize` that nothing reads any more."""
     for df in tables:
