@@ -27,6 +27,8 @@ from paperloom.llm.word_blocks import pack, unpack
 
 #: Members of a bucket that are elected at a time, and how often.
 ELECTED, ELECTIONS = 4, 2
+#: Texts that are signed at once, so a worker stays small.
+BLOCK_BYTES = 3_000_000
 #: Pairs of one line that are verified in one place.
 CROWD = 1000
 
@@ -80,7 +82,7 @@ def signed(docs: DataFrame) -> list[DataFrame]:
             columns["kind"] = [kind] * size
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-        for ids, texts in blocks(pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["row", "doc_id"]), b.column(2)], names=["id", "text"]) for b in batches):
+        for ids, texts in blocks((pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["row", "doc_id"]), b.column(2)], names=["id", "text"]) for b in batches), BLOCK_BYTES):
             known: dict[str, int] = {}
             found = []
             for t in texts:
