@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.llm.byte_bpe import round_trip
 from paperloom.llm.chat_format import chat_format
 from paperloom.llm.chat_format import oracle_sql as chat_format_sql
+from paperloom.llm.interval_join import oracle_sql as session_overlaps_sql
+from paperloom.llm.interval_join import session_overlaps
 from paperloom.llm.line_dedup import line_dedup
 from paperloom.llm.lm_scoring import lm_scores
 from paperloom.llm.media_columns import media_digest
@@ -65,6 +67,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_overlaps(*(table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
@@ -76,8 +82,10 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_interval_join": op12_interval_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat_format_sql(),
     "op7_quality_rules": quality_rules_sql(),
+    "op12_interval_join": session_overlaps_sql(),
 }
