@@ -19,6 +19,8 @@ from paperloom.llm.quality_classifier import quality_classifier
 from paperloom.llm.quality_rules import oracle_sql as quality_rules_sql
 from paperloom.llm.quality_rules import quality_rules
 from paperloom.llm.shared import prepare
+from paperloom.llm.source_audit import oracle_sql as source_divergence_sql
+from paperloom.llm.source_audit import source_divergence
 from paperloom.llm.token_counts import token_counts
 
 
@@ -67,6 +69,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_overlaps(*(table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines")))
 
@@ -82,10 +88,12 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
     "op12_interval_join": op12_interval_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat_format_sql(),
     "op7_quality_rules": quality_rules_sql(),
+    "op11_source_divergence": source_divergence_sql(),
     "op12_interval_join": session_overlaps_sql(),
 }
