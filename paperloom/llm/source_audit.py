@@ -42,7 +42,7 @@ PARTIAL = "part string, lang string, source string, item string, value decimal(3
 @cache
 def _db() -> duckdb.DuckDBPyConnection:
     """This worker's connection: one thread, bounded memory, spilling into the task's own scratch folder."""
-    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir(), "preserve_insertion_order": False})
 
 
 def _sql(query: str, **tables: pa.Table) -> pa.Table:
@@ -125,15 +125,17 @@ def _divergence(p: str, q: str) -> str:
 
 
 def _partial(top: int):
-    """Of one shard's kept terms and the sources: sums for each two sources (once), and each source's first terms."""
+    """Of one shard, its kept terms and (rows without a term) all sources: sums for each two sources (once), and each source's first terms."""
 
-    def run(kept: pa.Table, sources: pa.Table) -> pa.Table:
-        if not kept.num_rows:
-            return _PARTIAL.empty_table()
-        return _shaped(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        found = _shaped(
             _sql(
                 f"""
-                WITH langs AS (SELECT lang, any_value(terms) AS terms, sum(tokens)::HUGEINT AS tokens FROM sources GROUP BY lang),
+                WITH kept AS (SELECT lang, source, term, n FROM shard WHERE term IS NOT NULL),
+                sources AS (SELECT lang, source, tokens, terms FROM shard WHERE term IS NULL),
+                langs AS (SELECT lang, any_value(terms) AS terms, sum(tokens)::HUGEINT AS tokens FROM sources GROUP BY lang),
                 terms AS (SELECT lang, term, {_probability("sum(n)::HUGEINT", "any_value(tokens)", "any_value(terms)")} AS q FROM kept JOIN langs USING (lang) GROUP BY lang, term),
                 dense AS (SELECT lang, term, source, coalesce(n, 0) AS n, {_probability("coalesce(n, 0)", "tokens", "s.terms")} AS p, q
                   FROM terms JOIN sources s USING (lang) LEFT JOIN kept USING (lang, term, source)),
@@ -143,11 +145,11 @@ def _partial(top: int):
                 SELECT 'pair' AS part, lang, source, item, value::DECIMAL(38, 0) AS value FROM pairs
                 UNION ALL SELECT 'term', lang, source, item, value::DECIMAL(38, 0) FROM firsts
                 """,
-                kept=kept,
-                sources=sources,
+                shard=pa.Table.from_batches(held),
             ),
             _PARTIAL,
         )
+        yield from found.to_batches()
 
     return run
 
@@ -175,10 +177,10 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     sources = groups.join(tokens, ["lang", "source"], "left").join(terms, "lang", "left").select("lang", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("terms", F.lit(0)).alias("terms"))
     sources = materialize(sources, "sources")
     n = parts(docs)
-    shard = F.expr(f"cast(pmod(xxhash64(lang, term), {n}) as int)").alias("shard")
-    everywhere = sources.where("terms > 0").withColumn("shard", F.explode(F.expr(f"sequence(0, {n} - 1)")))
-    partial = kept.groupBy(shard).cogroup(everywhere.groupBy("shard")).applyInArrow(_partial(top), PARTIAL)
-    partial = materialize(partial, "partial")
+    none = F.lit(None).cast("long")
+    held = kept.select(F.expr(f"cast(pmod(xxhash64(lang, term), {n}) as int)").alias("shard"), "lang", "source", "term", "n", none.alias("tokens"), none.alias("terms"))
+    everywhere = sources.where("terms > 0").select(F.explode(F.expr(f"sequence(0, {n} - 1)")).alias("shard"), "lang", "source", F.lit(None).cast("string").alias("term"), none.alias("n"), "tokens", "terms")
+    partial = materialize(arrow_map(held.unionByName(everywhere).repartitionById(n, "shard"), _partial(top), PARTIAL), "partial")
     half = partial.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     sums = half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     both = sources.select("lang", "source").join(sources.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
