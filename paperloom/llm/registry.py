@@ -19,6 +19,7 @@ from paperloom.llm.quality_classifier import quality_classifier
 from paperloom.llm.quality_rules import oracle_sql as quality_rules_sql
 from paperloom.llm.quality_rules import quality_rules
 from paperloom.llm.shared import prepare
+from paperloom.llm.simhash import simhash_components
 from paperloom.llm.source_audit import oracle_sql as source_divergence_sql
 from paperloom.llm.source_audit import source_divergence
 from paperloom.llm.token_counts import token_counts
@@ -77,6 +78,10 @@ def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_overlaps(*(table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines")))
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_source_divergence": op11_source_divergence,
     "op12_interval_join": op12_interval_join,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat_format_sql(),
