@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.boxes import CORNERS, met
+
 
 def in_rectangle(x0: Column, y0: Column, x1: Column, y1: Column, box: tuple[float, float, float, float]) -> Column:
     """Glyphs whose centre lies in the box."""
@@ -149,28 +151,28 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     return _each_page(blocks, page, run, f"{kinds}, block long, rank long")
 
 
+#: How far to the left and above a label is looked for (fixed values).
+REACH, RISE = 250.0, 24.0
+
+
 def field_labels(boxes: DataFrame, words: DataFrame) -> DataFrame:
-    """(page, box, label): words on the box's line to its left (within 250, gaps up to 24), else the line above (under 24)."""
-    w = words.select(F.col("page").alias("__p"), "text", *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")))
-    near = boxes.join(w, F.col("page") == F.col("__p"))
+    """(page, box, label): words on the box's line to its left (within 250, gaps up to 24), else the line above (under 24).
+
+    Words meet the area around a box by cells of the page, not all of its words.
+    """
+    around = boxes.select("page", "box", *(F.col(c).alias("b" + c) for c in CORNERS), (F.col("x0") - REACH - 1).alias("x0"), (F.col("y0") - RISE - 1).alias("y0"), (F.greatest("x1", F.col("x0") + 1) + 1).alias("x1"), (F.col("y1") + RISE).alias("y1"))
+    near = met(around, words.select("page", "text", *CORNERS), ["page"]).select("page", "box", F.col("r_text").alias("text"), *(F.col("b" + c).alias(c) for c in CORNERS), *(F.col("r_" + c).alias("w" + c) for c in CORNERS))
     middle = (F.col("wy0") + F.col("wy1")) / 2
-    left = near.where(middle.between(F.col("y0"), F.col("y1")) & (F.col("wx1") <= F.col("x0") + 1) & (F.col("x0") - F.col("wx0") <= 250))
+    left = near.where(middle.between(F.col("y0"), F.col("y1")) & (F.col("wx1") <= F.col("x0") + 1) & (F.col("x0") - F.col("wx0") <= REACH))
     order = Window.partitionBy("page", "box").orderBy(F.col("wx1").desc())
     gap = F.coalesce(F.lag("wx0").over(order), F.col("x0")) - F.col("wx1")
-    chain = left.withColumn("far", (gap > 24).cast("int")).withColumn("off", F.sum("far").over(order)).where("off = 0")
+    chain = left.withColumn("far", (gap > RISE).cast("int")).withColumn("off", F.sum("far").over(order)).where("off = 0")
     by_left = chain.groupBy("page", "box").agg(F.array_join(F.array_sort(F.collect_list(F.struct("wx0", "text")))["text"], " ").alias("left"))
-    above = near.where((F.col("wy1") <= F.col("y0")) & (F.col("y0") - F.col("wy1") < 24) & (F.col("wx0") < F.col("x1")) & (F.col("wx1") > F.col("x0")))
+    above = near.where((F.col("wy1") <= F.col("y0")) & (F.col("y0") - F.col("wy1") < RISE) & (F.col("wx0") < F.col("x1")) & (F.col("wx1") > F.col("x0")))
     by_above = above.groupBy("page", "box").agg(F.array_join(F.array_sort(F.collect_list(F.struct("wy0", "wx0", "text")))["text"], " ").alias("above"))
     return boxes.select("page", "box").join(by_left, ["page", "box"], "left").join(by_above, ["page", "box"], "left").select("page", "box", F.coalesce("left", "above").alias("label"))
 
 
-def without_overlaps(candidates: DataFrame, taken: DataFrame) -> DataFrame:
-    """Candidates that overlap no box already on their page."""
-    t = taken.select(F.col("page").alias("__p"), *(F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")))
-    over = (F.col("page") == F.col("__p")) & (F.col("x0") < F.col("tx1")) & (F.col("x1") > F.col("tx0")) & (F.col("y0") < F.col("ty1")) & (F.col("y1") > F.col("ty0"))
-    return candidates.join(t, over, "left_anti")
-
-
 def words(glyphs: DataFrame, *line: str) -> DataFrame:
     """(line…, word, text, x0, y0, x1, y1) of glyphs with ``space_before``; runs of underscores are words of their own."""
     w = Window.partitionBy(*line).orderBy("i")
@@ -181,8 +183,9 @@ def words(glyphs: DataFrame, *line: str) -> DataFrame:
     return numbered.groupBy(*line, "word").agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def nearest_glyph(glyphs: DataFrame, points: DataFrame) -> DataFrame:
-    """(page, point, i): the glyph whose box is nearest to each of a few points (page, point, x, y); the first of equals."""
-    near = glyphs.join(F.broadcast(points), "page")
+def nearest_glyph(glyphs: DataFrame, points: DataFrame, page: list[str] | None = None) -> DataFrame:
+    """(page…, point, i): the glyph whose box is nearest to each point (page…, point, x, y); the first of equals."""
+    page = page or ["page"]
+    near = glyphs.join(points, page)
     away = F.hypot(F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0)))
-    return near.groupBy("page", "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))
+    return near.groupBy(*page, "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))

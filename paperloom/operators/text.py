@@ -70,3 +70,12 @@ def unlinked(hits: DataFrame, links: DataFrame, key: str = "doc_id") -> DataFram
     """Hits (key, start, end) that overlap no span already under a link."""
     taken = links.select(F.col(key).alias("__k"), F.col("start").alias("__a"), F.col("end").alias("__b"))
     return hits.join(taken, (F.col(key) == F.col("__k")) & (F.col("start") < F.col("__b")) & (F.col("end") > F.col("__a")), "left_anti")
+
+
+def pattern_spans(docs: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:
+    """(key, start, end) of every match of a pattern in (key, text) rows; ``key`` is unique, matches are not empty."""
+    between, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    cut = docs.select(key, between.alias("b"), found.alias("f")).where(F.size("f") > 0).select(key, F.posexplode(F.arrays_zip("b", "f")).alias("i", "z"))
+    long = F.coalesce(F.length("z.f"), F.lit(0))
+    ends = F.sum(F.length("z.b") + long).over(Window.partitionBy(key).orderBy("i"))
+    return cut.withColumn("end", ends.cast("long")).where("z.f is not null").select(key, (F.col("end") - long).alias("start"), "end")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.plans import queries_cases, queries_data, queries_more, queries_text
+from paperloom.plans import queries_cases, queries_data, queries_layout, queries_more, queries_redact, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES, **queries_data.QUERIES, **queries_more.QUERIES, **queries_cases.QUERIES}
-ORACLE_SQL: dict = {**queries_text.ORACLE_SQL, **queries_data.ORACLE_SQL, **queries_more.ORACLE_SQL, **queries_cases.ORACLE_SQL}
+_PARTS = (queries_text, queries_data, queries_more, queries_cases, queries_layout, queries_redact)
+QUERIES: dict = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}

@@ -1,17 +1,12 @@
-"""Queries of single functions over whole tables, and of page operators over small tables of cases."""
+"""Queries of single functions over whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import formcalc as fc
 from paperloom.functions.coerce import num_text
-from paperloom.operators import layout
-from paperloom.operators.compare import dedupe_references
-from paperloom.operators.text import pii_hits, unlinked
+from paperloom.operators.text import pii_hits
 from paperloom.plans.formula import compile_formula
 from paperloom.plans.register import Register
 from paperloom.sources.filters import decoded
@@ -142,112 +137,21 @@ def _filter_hex(t):
     return t("documents").select("doc_id", F.decode(decoded(coded, F.array(F.lit("ASCIIHexDecode"))), "utf-8").alias("text"))
 
 
-# -- page operators over tables of cases: (rows, schema) in, what must come out as SQL
-
-
-def cases(name: str, want: str):
-    """Registers an operator over literal rows; the oracle is the table that must come out."""
-
-    def add(fn: Callable) -> Callable:
-        query(want, name)(lambda t: fn(t("region").sparkSession))
-        return fn
-
-    return add
-
-
-_BOX = "page int, i int, text string, x0 double, y0 double, x1 double, y1 double"
-
-
-def _glyphs(spark) -> DataFrame:
-    boxes = [(0, 0, 5, 10), (5.5, 0, 10, 10), (20, 1, 25, 11), (0, 20, 5, 30), (6, 20, 10, 30)]
-    return spark.createDataFrame([(1, i, c, *map(float, b)) for i, (c, b) in enumerate(zip("abcde", boxes, strict=True))], _BOX)
-
-
-@cases("line_segments", "SELECT * FROM (VALUES (0, 0), (1, 0), (2, 0), (3, 1), (4, 1)) v(i, line)")
-def line_segments(spark):
-    return layout.line_segments(_glyphs(spark), "page").select("i", "line")
-
-
-@cases("words_of_glyphs", "SELECT * FROM (VALUES (0, 'ab', 0.0, 10.0), (0, 'c', 20.0, 25.0), (1, 'de', 0.0, 10.0)) v(line, text, x0, x1)")
-def words_of_glyphs(spark):
-    lines = layout.word_breaks(layout.line_segments(_glyphs(spark), "page"), "page", "line")
-    return layout.words(lines, "page", "line").select("line", "text", "x0", "x1")
-
-
-@cases("glyphs_inside", "SELECT * FROM (VALUES (0), (1), (3), (4)) v(i)")
-def glyphs_inside(spark):
-    return _glyphs(spark).where(layout.in_rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), (0.0, 0.0, 15.0, 40.0))).select("i")
-
-
-@cases("paragraphs", "SELECT * FROM (VALUES (0, 'one paragraph here'), (1, 'another'), (2, 'bold')) v(para, text)")
-def paragraphs(spark):
-    rows = [(1, 0, "one para-", 0.0, 0.0, 10.0, "r"), (1, 1, "graph here", 0.0, 12.0, 10.0, "r"), (1, 2, "another", 0.0, 40.0, 10.0, "r"), (1, 3, "bold", 0.0, 52.0, 10.0, "b")]
-    return layout.paragraphs(spark.createDataFrame(rows, "page int, line int, text string, x0 double, y0 double, size double, style string"), ["page"]).select("para", "text")
-
-
-@cases("table_cells", "SELECT 0 AS tbl, r AS row, c AS col, CAST(r AS VARCHAR) || c AS text FROM (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1]) AS c)")
-def table_cells(spark):
-    rows = [(1, f"{r}{c}", 50.0 * c, 20.0 * r, 50.0 * c + 20, 20.0 * r + 10) for r in range(3) for c in range(2)]
-    return layout.table_cells(spark.createDataFrame([*rows, (1, "text", 0.0, 80.0, 200.0, 90.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double"), ["page"]).select("tbl", "row", "col", "text")
-
-
-_NAMED = "page int, name string, x0 double, y0 double, x1 double, y1 double"
-_THREE = [(1, "b", 100.0, 1.0, 120.0, 11.0), (1, "a", 0.0, 0.0, 20.0, 10.0), (1, "c", 0.0, 30.0, 20.0, 40.0)]
-
-
-@cases("tab_order", "SELECT * FROM (VALUES ('row', 0, 'a'), ('row', 1, 'b'), ('row', 2, 'c'), ('column', 0, 'a'), ('column', 1, 'c'), ('column', 2, 'b')) v(mode, rank, name)")
-def tab_order(spark):
-    fields = spark.createDataFrame(_THREE, _NAMED)
-    one = lambda mode: layout.tab_order(fields, ["page"], mode).select(F.lit(mode).alias("mode"), "rank", "name")
-    return one("row").unionByName(one("column"))
-
-
-@cases("reading_order", "SELECT * FROM (VALUES (0, 97), (1, 98), (2, 99)) v(rank, block)")
-def reading_order(spark):
-    return layout.reading_order(spark.createDataFrame(_THREE, _NAMED).withColumn("block", F.expr("cast(ascii(name) as long)")), ["page"]).select("rank", "block")
-
-
-@cases("field_labels", "SELECT * FROM (VALUES (7, 'First name')) v(box, label)")
-def field_labels(spark):
-    fields = spark.createDataFrame([(1, 7, 100.0, 0.0, 150.0, 10.0)], "page int, box int, x0 double, y0 double, x1 double, y1 double")
-    found = spark.createDataFrame([(1, "First", 40.0, 0.0, 60.0, 10.0), (1, "name", 65.0, 0.0, 95.0, 10.0), (1, "far", 0.0, 0.0, 5.0, 10.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
-    return layout.field_labels(fields, found).select("box", "label")
-
-
-@cases("free_boxes", "SELECT * FROM (VALUES ('b'), ('c')) v(name)")
-def free_boxes(spark):
-    boxes = spark.createDataFrame(_THREE, _NAMED)
-    return layout.without_overlaps(boxes, spark.createDataFrame([(1, "t", 10.0, 5.0, 30.0, 8.0)], _NAMED)).select("name")
-
-
-@cases("nearest_glyph", "SELECT * FROM (VALUES (7, 1), (8, 2)) v(point, i)")
-def nearest_glyph(spark):
-    return layout.nearest_glyph(_glyphs(spark), spark.createDataFrame([(1, 7, 8.0, 12.0), (1, 8, 99.0, 0.0)], "page int, point int, x double, y double")).select("point", "i")
-
-
-@cases("unlinked_hits", 'SELECT * FROM (VALUES (1, 10, 20), (2, 0, 5)) v(doc_id, "start", "end")')
-def unlinked_hits(spark):
-    hits = spark.createDataFrame([(1, 0, 5), (1, 10, 20), (2, 0, 5)], "doc_id int, start int, end int")
-    return unlinked(hits, spark.createDataFrame([(1, 4, 6)], "doc_id int, start int, end int"))
-
-
-@cases("reference_duplicates", "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 3), (4, 3), (5, 5)) v(id, keeper)")
-def reference_duplicates(spark):
-    rows = [(1, "font", []), (2, "font", []), (3, "page", [1]), (4, "page", [2]), (5, "page", [9])]
-    return dedupe_references(spark.createDataFrame(rows, "id int, content string, refs array<int>"))
+# -- formulas over a table: each must come to the text beside it, in which § is the supplier's name
 
 
 _FORMULAS = {
-    "1 + 2 * 3": "7", "(1 + 2) * 3": "9", '"12" + 3': "15", 'Concat("a", 1.50, null, "b")': "a1.5b", "Round(2.675, 2)": "2.68", "Mod(-7, 3)": "-1", 'Substr("hello", 0, 2)': "he", 'Stuff("abcdef", 2, 3, "X")': "aXef",
-    "Str(123456, 3)": "***", "WordNum(1234)": "One Thousand Two Hundred Thirty-Four", 'Decode("a%20b+c%zz", "url")': "a b+c%zz", 'Num2Date(35138, "DD/MM/YYYY")': "15/03/1996", 'Format("$9,999.99", 1234.5)': "$1,234.50",
-    'Parse("$9,999.99", "$1,234.50")': "1234.5", 'UnitType("3 pica")': "pc", "Choose(2, 4, 5, 6)": "5", "Oneof(3, 1, 3)": "1", "Within(5, 1, 9)": "1", "Exists(null)": "0", 'HasValue("x")': "1", "DateFmt(1)": "MM/DD/YY",
-    "Len(Space(3))": "3", 'Len(Ltrim("  ab"))': "2", 'Len(Rtrim("ab  "))': "2", 'Lower("ABC")': "abc", 'Replace("aXbX", "X", "-")': "a-b-", 'At("hello", "l")': "3", "NPV(0.1, 110, 121)": "200", 'Time2Num("01:00:00")': "3600000",
+    'Concat(s, 1 + 2 * 3)': "§7", "Concat((1 + 2) * 3, s)": "9§", 'Concat("12" + 3, s)': "15§", 'Concat("a", 1.50, null, s)': "a1.5§", "Concat(s, Round(2.675, 2))": "§2.68", "Concat(s, Mod(-7, 3))": "§-1", 'Stuff("abcdef", 2, 3, s)': "a§ef",
+    "Substr(Concat(s, s), 1, Len(s))": "§", "Concat(s, Str(123456, 3))": "§***", "Concat(WordNum(1234), s)": "One Thousand Two Hundred Thirty-Four§", 'Decode(Concat("a%20b+c%zz", s), "url")': "a b+c%zz§", 'Concat(s, Num2Date(35138, "DD/MM/YYYY"))': "§15/03/1996",
+    'Concat(Format("$9,999.99", 1234.5), s)': "$1,234.50§", 'Concat(Parse("$9,999.99", "$1,234.50"), s)': "1234.5§", 'Concat(s, UnitType("3 pica"))': "§pc", "Choose(2, 4, s, 6)": "§", "Concat(Oneof(s, 1, s), s)": "1§", "Concat(Within(5, 1, 9), s)": "1§",
+    "Concat(Exists(null), s)": "0§", "HasValue(s)": "1", "Concat(DateFmt(1), s)": "MM/DD/YY§", "Concat(s, Len(Space(3)))": "§3", 'Ltrim(Concat("  ", s))': "§", 'Rtrim(Concat(s, "  "))': "§", 'Concat(Lower("ABC"), s)': "abc§", 'Replace("aXbX", "X", s)': "a§b§",
+    'At(Concat("hello", s), "l")': "3", "Concat(NPV(0.1, 110, 121), s)": "200§", 'Concat(s, Time2Num("01:00:00"))': "§3600000",
 }
 
 
-@cases("formula_cases", "SELECT * FROM (VALUES " + ", ".join("('" + k.replace("'", "''") + "', '" + v + "')" for k, v in _FORMULAS.items()) + ") v(formula, value)")
-def formula_cases(spark):
-    one = spark.range(1)
-    rows = [F.struct(F.lit(k).alias("formula"), (num_text(c) if dict(one.select(c.alias("c")).dtypes)["c"] == "double" else c.cast("string")).alias("value")) for k, c in ((k, compile_formula(k, {})) for k in _FORMULAS)]
-    return one.select(F.inline(F.array(*rows)))
-
+@query("SELECT s_suppkey, formula, replace(want, '§', s_name) AS value FROM supplier, (VALUES " + ", ".join("('" + k.replace("'", "''") + "', '" + v + "')" for k, v in _FORMULAS.items()) + ") v(formula, want)", name="formula_cases")
+def _formula_cases(t):
+    named = t("supplier").select("s_suppkey", F.col("s_name").alias("s"))
+    compiled = ((k, compile_formula(k, {"s": "string"})) for k in _FORMULAS)
+    rows = [F.struct(F.lit(k).alias("formula"), (num_text(c) if dict(named.select(c.alias("c")).dtypes)["c"] == "double" else c.cast("string")).alias("value")) for k, c in compiled]
+    return named.select("s_suppkey", F.inline(F.array(*rows)))

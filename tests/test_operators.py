@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from paperloom.operators import boxes as boxes_of
 from paperloom.operators import compare, layout, threads
 from paperloom.operators.forms import column_order, form_merge
 from paperloom.operators.pages import combine
@@ -47,7 +48,8 @@ def test_orders_and_labels(spark):
     fields = spark.createDataFrame([(1, 7, 100.0, 0.0, 150.0, 10.0)], "page int, box int, x0 double, y0 double, x1 double, y1 double")
     words = spark.createDataFrame([(1, "First", 40.0, 0.0, 60.0, 10.0), (1, "name", 65.0, 0.0, 95.0, 10.0), (1, "far", 0.0, 0.0, 5.0, 10.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
     assert rows(layout.field_labels(fields, words), "box") == [(1, 7, "First name")]
-    assert layout.without_overlaps(fields, fields).count() == 0
+    numbered = fields.withColumnRenamed("box", "id")
+    assert boxes_of.without_overlaps(numbered, numbered, ["page"]).count() == 0
 
 
 def test_threads(spark):
