@@ -1,10 +1,15 @@
-"""Lines, words, paragraphs, tables and fields from positioned text (y grows downwards)."""
+"""Lines, words, paragraphs, orders and fields from positioned text (y grows downwards)."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from paperloom.operators.boxes import CORNERS, met
 
@@ -36,72 +41,63 @@ def word_breaks(glyphs: DataFrame, *line: str) -> DataFrame:
     return joined.withColumn("space_before", F.coalesce(wide, F.lit(False))).drop("__g", "__t")
 
 
-def _each_page(df: DataFrame, page: list[str], fn, schema: str) -> DataFrame:
-    """One page at a time: what follows depends on the page's order, and a page is small."""
-    return df.groupBy(*page).applyInPandas(fn, schema)
+def _each_page(df: DataFrame, page: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """(page…, schema) of ``fn`` over the rows of one page after the other: what it tells depends on the page's order.
+
+    Pages come sorted in Arrow batches, so a task holds one page at a time, whatever their number.
+    """
+    types = StructType([*(df.schema[p] for p in page), *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[dict]) -> list[tuple]:
+            head = tuple(rows[0][p] for p in page)
+            return [(*head, *r) for r in fn(rows)]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        held: list[dict] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and any(row[p] != held[0][p] for p in page):
+                    out += told(held)
+                    held = []
+                held.append(row)
+            yield packed(out)
+        if held:
+            yield packed(told(held))
+
+    return df.repartition(*page).sortWithinPartitions(*page).mapInArrow(run, types)
 
 
 def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
     """(page…, para, text): lines (line, text, x0, y0, size, style) of one look go on while left-aligned, with a leading of 0.8 to 2.5 sizes that stays within a fifth of the first; a hyphen at a line's end goes."""
-    kinds = ", ".join(f"{p} {lines.schema[p].dataType.simpleString()}" for p in page)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[tuple]:
         out, first_gap, last = [], None, None
-        for r in f.sort_values("line").itertuples(index=False):
-            gap = r.y0 - last.y0 if last is not None else None
+        for r in sorted(rows, key=itemgetter("line")):
+            gap = r["y0"] - last["y0"] if last else None
             goes_on = (
                 last is not None
-                and (r.size, r.style) == (last.size, last.style)
-                and abs(r.x0 - last.x0) <= r.size
-                and 0.8 * r.size <= gap <= 2.5 * r.size
+                and (r["size"], r["style"]) == (last["size"], last["style"])
+                and abs(r["x0"] - last["x0"]) <= r["size"]
+                and 0.8 * r["size"] <= gap <= 2.5 * r["size"]
                 and (first_gap is None or abs(gap - first_gap) <= 0.2 * first_gap)
             )
             if goes_on:
                 first_gap = first_gap or gap
                 text = out[-1]
-                out[-1] = text[:-1] + r.text if text.endswith("-") and len(text) > 1 and text[-2].isalpha() else text + " " + r.text
+                out[-1] = text[:-1] + r["text"] if text.endswith("-") and len(text) > 1 and text[-2].isalpha() else text + " " + r["text"]
             else:
-                out.append(r.text)
+                out.append(r["text"])
                 first_gap = None
             last = r
-        heads = {p: [f[p].iloc[0]] * len(out) for p in page}
-        return pd.DataFrame({**heads, "para": range(len(out)), "text": out})
-
-    return _each_page(lines, page, run, f"{kinds}, para long, text string")
-
+        return list(enumerate(out))
 
-def table_cells(blocks: DataFrame, page: list[str], snap: float = 4.0, most: int = 63) -> DataFrame:
-    """(page…, tbl, row, col, text): runs of rows with two starts or more; a table has three columns, or two and three rows."""
-    kinds = ", ".join(f"{p} {blocks.schema[p].dataType.simpleString()}" for p in page)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for r in f.sort_values(["y0", "x0"]).itertuples(index=False):
-            if rows and abs(rows[-1][0].y0 - r.y0) <= (r.y1 - r.y0) / 2:
-                rows[-1].append(r)
-            else:
-                rows.append([r])
-        out, run_, n = [], [], 0
-        for row in [*rows, []]:
-            if len(row) >= 2:
-                run_.append(sorted(row, key=lambda r: r.x0))
-                continue
-            starts: list[float] = []
-            for x in sorted(r.x0 for line in run_ for r in line):
-                if not starts or x - starts[-1] > snap:
-                    starts.append(x)
-            if len(starts) <= most and (len(starts) >= 3 or (len(starts) == 2 and len(run_) >= 3)):
-                for i, line in enumerate(run_):
-                    for cell in line:
-                        out.append((n, i, max(k for k, x in enumerate(starts) if x <= cell.x0), cell.text))
-                n += 1
-            run_ = []
-        frame = pd.DataFrame(out, columns=["tbl", "row", "col", "text"])
-        for p in reversed(page):
-            frame.insert(0, p, f[p].iloc[0])
-        return frame
-
-    return _each_page(blocks, page, run, f"{kinds}, tbl long, row long, col long, text string")
+    return _each_page(lines, page, run, "para long, text string")
 
 
 def headings(lines: DataFrame, body: DataFrame, key: str) -> DataFrame:
@@ -114,41 +110,35 @@ def headings(lines: DataFrame, body: DataFrame, key: str) -> DataFrame:
 
 def tab_order(fields: DataFrame, page: list[str], mode: str = "row") -> DataFrame:
     """(page…, name, rank): rows group by the top edge within half the height of their first member (2 points at least), columns by the left edge."""
-    kinds = ", ".join(f"{p} {fields.schema[p].dataType.simpleString()}" for p in page)
     major, minor, far = ("y0", "x0", "y1") if mode == "row" else ("x0", "y0", "x1")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[tuple]:
         groups: list[list] = []
-        for r in f.sort_values([major, minor]).to_dict("records"):
+        for r in sorted(rows, key=itemgetter(major, minor)):
             lead = groups[-1][0] if groups else None
             if lead is not None and r[major] - lead[major] <= max(2.0, (lead[far] - lead[major]) / 2):
                 groups[-1].append(r)
             else:
                 groups.append([r])
-        names = [r["name"] for g in groups for r in sorted(g, key=lambda r: r[minor])]
-        return pd.DataFrame({**{p: [f[p].iloc[0]] * len(names) for p in page}, "name": names, "rank": range(len(names))})
+        return [(r["name"], i) for i, r in enumerate(r for g in groups for r in sorted(g, key=itemgetter(minor)))]
 
-    return _each_page(fields, page, run, f"{kinds}, name string, rank long")
+    return _each_page(fields, page, run, "name string, rank long")
 
 
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     """(page…, block, rank): the topmost block left, or a left neighbour that overlaps it by over half its height."""
-    kinds = ", ".join(f"{p} {blocks.schema[p].dataType.simpleString()}" for p in page)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        left, order = f.to_dict("records"), []
+    def run(rows: list[dict]) -> list[tuple]:
+        left, order = sorted(rows, key=itemgetter("y0", "x0")), []
         while left:
-            pick = min(left, key=lambda r: (r["y0"], r["x0"]))
-            while True:
-                beside = [r for r in left if r["x1"] <= pick["x0"] and min(r["y1"], pick["y1"]) - max(r["y0"], pick["y0"]) > 0.5 * min(r["y1"] - r["y0"], pick["y1"] - pick["y0"])]
-                if not beside:
-                    break
-                pick = min(beside, key=lambda r: (r["x0"], r["y0"]))
+            pick = left[0]
+            while beside := [r for r in left if r["x1"] <= pick["x0"] and min(r["y1"], pick["y1"]) - max(r["y0"], pick["y0"]) > 0.5 * min(r["y1"] - r["y0"], pick["y1"] - pick["y0"])]:
+                pick = min(beside, key=itemgetter("x0", "y0"))
             order.append(pick["block"])
             left.remove(pick)
-        return pd.DataFrame({**{p: [f[p].iloc[0]] * len(order) for p in page}, "block": order, "rank": range(len(order))})
+        return [(b, i) for i, b in enumerate(order)]
 
-    return _each_page(blocks, page, run, f"{kinds}, block long, rank long")
+    return _each_page(blocks, page, run, "block long, rank long")
 
 
 #: How far to the left and above a label is looked for (fixed values).

@@ -116,9 +116,9 @@ def _cells(t) -> DataFrame:
 _CELLS = "c AS (SELECT l_orderkey AS page, r, col, CASE col WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 1 THEN l_returnflag ELSE l_linestatus END AS text, count(*) OVER (PARTITION BY l_orderkey) // 3 AS n FROM r, (SELECT unnest([0, 1, 2]) AS col))"
 
 
-@query(f"WITH {_ROWS}, {_CELLS} SELECT page, CAST(0 AS BIGINT) AS tbl, r AS row, CAST(col AS BIGINT) AS col, text FROM c", name="table_cells")
+@query(f"WITH {_ROWS}, {_CELLS} SELECT page, CAST(0 AS BIGINT) AS tbl, r AS row, CAST(col AS BIGINT) AS col, text FROM c WHERE n > 1", name="table_cells")
 def _table_cells(t):
-    return layout.table_cells(_cells(t), ["page"])
+    return tables.spanning_tables(_cells(t), ["page"]).drop("span")
 
 
 @query(

@@ -18,7 +18,7 @@ _PHONE = rf"""regexp_matches(ltrim(h, '+'), '[^0-9]') AND CASE WHEN h[1] = '+' T
 #: Context before, pattern and context behind, as RE2 has no look-around; and what a pattern cannot say.
 _KINDS = {
     "email": (r"(^|[^\p{L}\p{N}._%+-])", r"([\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]|\.[\p{L}\p{N}])*\.\p{L}{2,})", "()", "true"),
-    "card": ("(^|[^0-9])", "([0-9](?:[ -]?[0-9]){12,18})", "([^0-9]|$)", _LUHN),
+    "card": (r"(\b|[^0-9])", "([0-9](?:[ -]?[0-9]){12,18})", "([^0-9]|$)", _LUHN),
     "ssn": ("(^|[^0-9])", "([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})", "([^0-9]|$)", "h[1:3] NOT IN ('000', '666') AND h[1] <> '9'"),
     "phone": (r"(^|[^\p{L}\p{N}+])", r"((?:\+[0-9]|\([0-9]|[0-9])[0-9 .()-]*[0-9])", "()", _PHONE),
     "date": (

@@ -31,13 +31,6 @@ def test_paragraphs(spark):
     assert rows(layout.paragraphs(df, ["page"]), "para") == [(1, 0, "one paragraph here"), (1, 1, "another"), (1, 2, "bold")]
 
 
-def test_tables(spark):
-    cells = [(1, f"{r}{c}", 50.0 * c, 20.0 * r, 50.0 * c + 20, 20.0 * r + 10) for r in range(3) for c in range(2)]
-    df = spark.createDataFrame([*cells, (1, "text", 0.0, 80.0, 200.0, 90.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
-    got = rows(layout.table_cells(df, ["page"]), "row", "col")
-    assert got == [(1, 0, r, c, f"{r}{c}") for r in range(3) for c in range(2)]
-
-
 def test_orders_and_labels(spark):
     boxes = [("b", 100.0, 1.0, 120.0, 11.0), ("a", 0.0, 0.0, 20.0, 10.0), ("c", 0.0, 30.0, 20.0, 40.0)]
     df = spark.createDataFrame([(1, *b) for b in boxes], "page int, name string, x0 double, y0 double, x1 double, y1 double")
