@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from array import array
-from bisect import bisect_left
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,110 +40,112 @@ def dedupe_references(objects: DataFrame, rounds: int = 16) -> DataFrame:
     return keeper
 
 
-#: Words of both sides together that one edit script takes; longer stretches are parted first (fixed values: the limit and the levels of parting).
-DIRECT, LEVELS = 3000, 9
+#: Places of a word from which its bit mask is kept, not made anew for each use.
+OFTEN = 64
 
 
-def _script(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Places of the words that a greedy shortest edit script keeps.
+class _Rows:
+    """Rows of the longest-common-subsequence table of ``x`` against growing parts of ``y``, a row as the bits of one integer.
 
-    Of every round only the furthest places on its own diagonals are kept for the way back, in one flat array each.
+    Bit ``i`` is clear where the length grows at ``x[i]``, so one addition advances a whole row.
     """
-    n, m = len(x), len(y)
-    if not n or not m:
-        return []
-    reach, rounds = {1: 0}, []
-    for d in range(n + m + 1):
-        ends = array("i")
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            ends.append(i)
-            if i >= n and i - k >= m:
-                break
-        rounds.append(ends)
-        if reach[k] >= n and reach[k] - k >= m:
-            break
-    kept, i, j = [], n, m
-    for d in range(len(rounds) - 1, 0, -1):
-        seen, k = rounds[d - 1], i - j
-        furthest = lambda q: seen[(q + d - 1) // 2] if -d < q < d and (q + d - 1) // 2 < len(seen) else -1  # noqa: B023, E731
-        down = k == -d or (k != d and furthest(k - 1) < furthest(k + 1))
-        p = furthest(k + 1) if down else furthest(k - 1)
-        q = p - (k + 1 if down else k - 1)
-        while i > p + (not down) and j > q + down:
-            i, j = i - 1, j - 1
-            kept.append((i, j))
-        i, j = p, q
-    kept += [(i - t, j - t) for t in range(1, min(i, j) + 1)]
-    return kept[::-1]
-
-
-def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """The longest row of words that both sides have exactly once, in one order on both."""
-    once = lambda words: {w: i for i, w in enumerate(words) if count[w] == 1}
-    count = Counter(x)
-    left = once(x)
-    count = Counter(y)
-    pairs = sorted((left[w], j) for w, j in once(y).items() if w in left)
-    ends: list[int] = []
-    chain: list[tuple] = []
-    for i, j in pairs:
-        at = bisect_left(ends, j)
-        link = (i, j, chain[at - 1] if at else None)
-        ends[at : at + 1], chain[at : at + 1] = [j], [link]
-    out, link = [], chain[-1] if chain else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
-    return out[::-1]
+
+    def __init__(self, x: list[str]):
+        self.full = (1 << len(x)) - 1
+        self.n = len(x)
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(x):
+            self.places.setdefault(w, []).append(i)
+        self.often = {w: self._mask(p) for w, p in self.places.items() if len(p) >= OFTEN}
+
+    @staticmethod
+    def _mask(places: list[int]) -> int:
+        mask = 0
+        for i in places:
+            mask |= 1 << i
+        return mask
+
+    def lengths(self, y: list[str]) -> np.ndarray:
+        """The longest common subsequence of every beginning of ``x`` with the whole of ``y``."""
+        row = self.full
+        for w in y:
+            places = self.places.get(w)
+            if places is not None:
+                met = row & (self.often[w] if len(places) >= OFTEN else self._mask(places))
+                if met:
+                    row = ((row + met) | (row - met)) & self.full
+        bits = np.unpackbits(np.frombuffer(row.to_bytes(self.n // 8 + 1, "little"), np.uint8), count=self.n, bitorder="little")
+        return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def _kept(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of the words that stay, in order.  A long stretch without anchors keeps none."""
-    out, todo = [], [(0, len(a), 0, len(b), 0)]
+    """Places of the words of a longest common subsequence, in order, at any length and in linear space.
+
+    The second text is halved; where the first one parts best between the halves is told by the last
+    rows of either half's table, one read from the front and one from the back.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
-        i, i_end, j, j_end, level = todo.pop()
-        while i < i_end and j < j_end and a[i] == b[j]:
+        i, i_end, j, j_end = todo.pop()
+        if i == i_end or j == j_end:
+            continue
+        if a[i] == b[j]:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
-            i_end, j_end = i_end - 1, j_end - 1
-            out.append((i_end, j_end))
-        if i_end - i + j_end - j <= DIRECT:
-            out += [(i + p, j + q) for p, q in _script(a[i:i_end], b[j:j_end])]
-        elif level < LEVELS:
-            fixed = [(i + p, j + q) for p, q in _anchors(a[i:i_end], b[j:j_end])]
-            out += fixed
-            for (p, q), (r, s) in zip([(i - 1, j - 1), *fixed], [*fixed, (i_end, j_end)]) if fixed else ():
-                todo.append((p + 1, r, q + 1, s, level + 1))
+            todo.append((i + 1, i_end, j + 1, j_end))
+        elif a[i_end - 1] == b[j_end - 1]:
+            out.append((i_end - 1, j_end - 1))
+            todo.append((i, i_end - 1, j, j_end - 1))
+        elif j_end - j == 1:
+            out += [(i + a[i:i_end].index(b[j]), j)] if b[j] in a[i:i_end] else []
+        else:
+            x, half = a[i:i_end], (j + j_end) // 2
+            total = _Rows(x).lengths(b[j:half]) + _Rows(x[::-1]).lengths(b[half:j_end][::-1])[::-1]
+            cut = i + int(total.argmax())
+            todo += [(i, cut, j, half), (cut, i_end, half, j_end)]
     return sorted(out)
 
 
-def _runs(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
-    """Changes between two word lists: what lies between words that stay, as one change each."""
+def _runs(a: list[str], b: list[str]) -> list[tuple[str, str, str, int, int]]:
+    """Changes between two word lists, with their places: what lies between words that stay, as one change each."""
     out, i, j = [], 0, 0
     for p, q in [*_kept(a, b), (len(a), len(b))]:
         if p > i or q > j:
-            out.append(("Replaced" if p > i and q > j else "Deleted" if p > i else "Inserted", " ".join(a[i:p]), " ".join(b[j:q])))
+            out.append(("Replaced" if p > i and q > j else "Deleted" if p > i else "Inserted", " ".join(a[i:p]), " ".join(b[j:q]), i, j))
         i, j = p + 1, q + 1
     return out
 
 
-def word_diff(pairs: DataFrame) -> DataFrame:
-    """(pair, seq, kind, old, new) of (pair, old, new) texts: Inserted, Deleted or Replaced runs of words.
+def word_changes(pairs: DataFrame) -> DataFrame:
+    """(pair, seq, kind, old, new, old_at, new_at) of (pair, old, new) texts: :func:`word_diff` with the words before each change on either side.
 
-    An edit script is sequential, so each pair is one Arrow-batched row; pairs spread over tasks.
+    Fewest words change, whatever the lengths.  A null text has no words.  An edit script is sequential, so each
+    pair is one Arrow-batched row; pairs spread over tasks.
     """
 
     def run(frames):
         for f in frames:
             rows = [(p, s, *c) for p, o, n in zip(f["pair"], f["old"], f["new"], strict=True) for s, c in enumerate(_runs((o or "").split(), (n or "").split()))]
-            yield pd.DataFrame(rows, columns=["pair", "seq", "kind", "old", "new"])
+            yield pd.DataFrame(rows, columns=["pair", "seq", "kind", "old", "new", "old_at", "new_at"])
+
+    return pairs.select("pair", "old", "new").mapInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, seq long, kind string, old string, new string, old_at long, new_at long")
 
-    return pairs.select("pair", "old", "new").mapInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, seq long, kind string, old string, new string")
+
+def word_diff(pairs: DataFrame) -> DataFrame:
+    """(pair, seq, kind, old, new) of (pair, old, new) texts: Inserted, Deleted or Replaced runs of words."""
+    return word_changes(pairs).drop("old_at", "new_at")
+
+
+def patched(texts: DataFrame, changes: DataFrame, back: bool = False) -> DataFrame:
+    """(pair, text): the words of (pair, text) with their changes made, or from the new words ``back`` to the old; runs of white space become one space."""
+    old, new, at = ("new", "old", "new_at") if back else ("old", "new", "old_at")
+    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"), lambda w: w != "")
+    step = F.struct(F.col(at).cast("int").alias("at"), F.size(words(old)).alias("gone"), words(new).alias("put"))
+    listed = changes.groupBy("pair").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    both = texts.select("pair", words("text").alias("w")).join(listed, "pair", "left")
+    kept = F.expr("""aggregate(coalesce(steps, array()), named_struct('at', 0, 'parts', cast(array() as array<array<string>>)),
+        (s, c) -> named_struct('at', c.at + c.gone, 'parts', concat(s.parts, array(slice(w, s.at + 1, c.at - s.at), c.put))),
+        s -> flatten(array_append(s.parts, slice(w, s.at + 1, greatest(size(w) - s.at, 0)))))""")
+    return both.select("pair", F.array_join(kept, " ").alias("text"))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

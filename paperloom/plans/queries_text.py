@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import allowed_url, file_name, fold, host_display, html_escape, masked, urls
 from paperloom.operators.aggregates import body_size, f1_summary, lowest, space_audit, word_f1
-from paperloom.operators.compare import change_counts, dedupe, word_diff
+from paperloom.operators.compare import change_counts, dedupe, patched, word_changes, word_diff
 from paperloom.operators.rules import Rule, category_counts, findings, rule_report, shown_findings, status_counts
 from paperloom.operators.text import catalog_search, phrase_counts as count_phrases, pii_hits, text_extract, text_find, text_find_limit, word_list
 from paperloom.plans.register import Register
+from paperloom.sources.storage import written
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.oracles
@@ -243,6 +245,25 @@ def _word_diff(t):
     return word_diff(_edited_pairs(t))
 
 
+def _neighbours(t):
+    """Each document and the one before it from the same source, by id: whole texts."""
+    before = Window.partitionBy("source").orderBy("doc_id")
+    return t("documents").select(F.col("doc_id").alias("pair"), F.lag("text").over(before).alias("old"), F.col("text").alias("new"))
+
+
+_WORDS = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda w: w <> ''), ' ')"
+
+
+@query(f"SELECT doc_id AS pair, {_WORDS} AS forth, lag({_WORDS}, 1, '') OVER (PARTITION BY source ORDER BY doc_id) AS back FROM documents", name="word_diff_rebuilt")
+def _word_diff_rebuilt(t):
+    """The changes between long texts make either side out of the other."""
+    pairs = _neighbours(t)
+    changes = written(word_changes(pairs), "changes")
+    forth = patched(pairs.select("pair", F.col("old").alias("text")), changes)
+    back = patched(pairs.select("pair", F.col("new").alias("text")), changes, back=True)
+    return forth.withColumnRenamed("text", "forth").join(back.withColumnRenamed("text", "back"), "pair")
+
+
 @query(name="word_diff_pairs")
 def _word_diff_pairs(t):
     return word_diff(_benchmark_pairs(t, "old", "new"))

@@ -85,6 +85,43 @@ def test_long_texts_compare():
             assert len(kept) >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_most_words_stay():
+    """The words kept are as many as can be, with rare and with frequent words; long texts without a unique word keep theirs."""
+    r = random.Random(9)
+    for n, m, words in ((0, 5, 3), (1, 1, 1), (40, 60, 2), (200, 150, 5), (300, 300, 100), (130, 129, 1)):
+        a, b = ([f"w{r.randrange(words)}" for _ in range(k)] for k in (n, m))
+        kept = compare._kept(a, b)
+        assert all(a[i] == b[j] for i, j in kept) and all(p < i and q < j for (p, q), (i, j) in zip(kept, kept[1:]))
+        assert len(kept) == longest(a, b)
+    old = [f"w{r.randrange(50)}" for _ in range(30_000)]
+    new = list(old)
+    for i in r.sample(range(30_000), 33):
+        new[i] = f"w{r.randrange(50)}"
+    assert len(compare._kept(old, new)) >= 30_000 - 33
+    old = [w for w in (f"v{i % 800}" for i in range(1600))]
+    new = [("x" if i % 50 == 7 else w) for i, w in enumerate(old)]
+    assert len(compare._kept(old, new)) > 1500
+
+
+def test_patches(spark):
+    r = random.Random(2)
+    pairs = [(i, *(None if r.random() < 0.1 else r.choice([" ", "\n", "\u2003"]).join(r.choices("abcde", k=r.choice([0, 3, 30]))) for _ in range(2))) for i in range(80)]
+    df = spark.createDataFrame(pairs, "pair int, old string, new string")
+    changes = compare.word_changes(df)
+    plain = lambda t: " ".join((t or "").split())
+    assert {r[0]: r[1] for r in compare.patched(df.selectExpr("pair", "old as text"), changes).collect()} == {i: plain(n) for i, _, n in pairs}
+    assert {r[0]: r[1] for r in compare.patched(df.selectExpr("pair", "new as text"), changes, back=True).collect()} == {i: plain(o) for i, o, _ in pairs}
+
+
 def test_reference_duplicates(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     df = spark.createDataFrame([(1, "leaf", []), (2, "leaf", []), (3, "node", [1]), (4, "node", [2]), (5, "node", [3])], "id int, content string, refs array<int>")
