@@ -179,3 +179,15 @@ def nearest_glyph(glyphs: DataFrame, points: DataFrame, page: list[str] | None =
     near = glyphs.join(points, page)
     away = F.hypot(F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0)))
     return near.groupBy(*page, "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))
+
+
+def around_glyph(words_of: DataFrame, picks: DataFrame, page: list[str]) -> DataFrame:
+    """(page…, pick, word_first, word_last, line_first, line_last): the word and the line around picked glyphs (page…, pick, i), as first and last glyph.
+
+    ``words_of`` has page…, i, line and space_before of every glyph.
+    """
+    order = Window.partitionBy(*page, "line").orderBy("i")
+    numbered = words_of.select(*page, "i", "line", F.sum(F.col("space_before").cast("int")).over(order).alias("word"))
+    line, word = Window.partitionBy(*page, "line"), Window.partitionBy(*page, "line", "word")
+    told = numbered.select(*page, "i", *(f("i").over(w).alias(f"{n}_{e}") for n, w in (("word", word), ("line", line)) for e, f in (("first", F.min), ("last", F.max))))
+    return picks.select(*page, "pick", "i").join(told, [*page, "i"]).drop("i")

@@ -79,3 +79,27 @@ def pattern_spans(docs: DataFrame, pattern: str, key: str = "doc_id") -> DataFra
     long = F.coalesce(F.length("z.f"), F.lit(0))
     ends = F.sum(F.length("z.b") + long).over(Window.partitionBy(key).orderBy("i"))
     return cut.withColumn("end", ends.cast("long")).where("z.f is not null").select(key, (F.col("end") - long).alias("start"), "end")
+
+
+#: Characters of a stretch in which offsets and lines meet.
+STRETCH = 1024
+
+
+def text_at(docs: DataFrame, picks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pick, line, first, last, word, word_first, word_last) of offsets (key, pick, at) into texts (key, text), all in characters, ends exclusive.
+
+    ``line`` counts from 0; an offset at a line's end belongs to that line.  ``word`` is the run of what is not white
+    space around the offset, null on white space and at a line's end.  Offsets outside of the text, and of null texts,
+    have no row.  Lines know their places by prefix sums, and meet offsets by equal stretches of the text.
+    """
+    lines = docs.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    order = Window.partitionBy(key).orderBy("line")
+    placed = lines.withColumn("last", (F.sum(F.length("l")).over(order) + F.col("line")).cast("long")).withColumn("first", F.col("last") - F.length("l"))
+    cut = placed.withColumn("__s", F.explode(F.sequence(F.expr(f"first div {STRETCH}"), F.expr(f"last div {STRETCH}"))))
+    asked = picks.where("at >= 0").select(key, "pick", "at", F.expr(f"at div {STRETCH}").alias("__s"))
+    met = cut.join(asked, [key, "__s"]).where(F.col("at").between(F.col("first"), F.col("last")))
+    inside = (F.col("at") - F.col("first")).cast("int")
+    head, tail = F.regexp_extract(F.substr("l", F.lit(1), inside), r"(\S*)$", 1), F.regexp_extract(F.substr("l", inside + 1), r"^(\S*)", 1)
+    word = F.when(tail != "", F.concat(head, tail))
+    begin = F.when(tail != "", F.col("at") - F.length(head))
+    return met.select(key, "pick", F.col("line").cast("long").alias("line"), "first", "last", word.alias("word"), begin.alias("word_first"), (begin + F.length(word)).alias("word_last"))

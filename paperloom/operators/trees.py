@@ -94,3 +94,19 @@ def som_pattern(expression: str, here: str = "") -> str:
 def som_resolve(nodes: DataFrame, expression: str, here: str = "") -> DataFrame:
     """Nodes whose path an expression names."""
     return nodes.where(path_text(F.col("path")).rlike(som_pattern(expression, here)))
+
+
+def combined_bookmarks(bookmarks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, title, pos) of page sets that follow each other: one bookmark a source at its first page, the source's own below it.
+
+    ``bookmarks`` has source_no, path (places from 1), title and pos (a page of the source, from 0), ``sources`` source_no,
+    title and pages, in order of source_no.  A source without pages has no bookmark, and its places close up; a bookmark of a page
+    that its source does not have points nowhere (null).
+    """
+    order = Window.orderBy("source_no")
+    real = sources.where("pages > 0")
+    placed = real.select("source_no", "title", "pages", F.row_number().over(order).alias("place"), (F.sum("pages").over(order) - F.col("pages")).cast("long").alias("before"))
+    tops = placed.select(F.array("place").alias("path"), "title", F.col("before").alias("pos"))
+    there = F.col("pos").between(0, F.col("pages") - 1)
+    below = bookmarks.join(placed.select("source_no", "pages", "place", "before"), "source_no").select(F.concat(F.array("place"), "path").alias("path"), "title", F.when(there, F.col("pos") + F.col("before")).cast("long").alias("pos"))
+    return tops.unionByName(below)

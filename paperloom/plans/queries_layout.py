@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import boxes, glyphs, layout, tables
+from paperloom.operators import boxes, glyphs, layout, tables, trees
 from paperloom.operators.compare import dedupe_references
-from paperloom.operators.text import pattern_spans, unlinked
+from paperloom.operators.text import pattern_spans, text_at, unlinked
 from paperloom.plans.register import Register
 
 query = Register()
@@ -231,3 +231,48 @@ def _reference_duplicates(t):
     lines = _rows(t).select((10_000_000 + F.col("l_orderkey") * 100 + F.col("r")).alias("id"), F.col("l_returnflag").alias("content"), F.array("l_partkey").alias("refs"))
     orders = t("orders").select((10_000_000_000 + F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("content"), F.array(10_000_000 + F.col("o_orderkey") * 100).alias("refs"))
     return dedupe_references(parts.unionByName(lines).unionByName(orders))
+
+
+# -- what stands at a place
+
+
+@query(
+    """WITH p AS (SELECT doc_id, k AS pick, (doc_id * 131 + k * 977) % (length(text) + 40) AS o FROM documents, (SELECT unnest(range(0, 5)) AS k)),
+    l AS (SELECT doc_id, i - 1 AS line, w[i] AS l, CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS first FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))),
+    m AS (SELECT doc_id, pick, line, first, first + length(l) AS last, o, regexp_extract(l[1:o - first], '([^\\t\\n\\x0b\\f\\r ]*)$', 1) AS h, regexp_extract(l[o - first + 1:], '^([^\\t\\n\\x0b\\f\\r ]*)', 1) AS t FROM p JOIN l USING (doc_id) WHERE o BETWEEN first AND first + length(l))
+    SELECT doc_id, pick, line, first, last, CASE WHEN t <> '' THEN CASE WHEN o = first THEN t ELSE h || t END END AS word, CASE WHEN t <> '' THEN CASE WHEN o = first THEN o ELSE o - length(h) END END AS word_first, CASE WHEN t <> '' THEN o + length(t) END AS word_last FROM m""",
+    name="text_at",
+)
+def _text_at(t):
+    picks = t("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pick"), F.length("text").alias("n"))
+    return text_at(t("documents"), picks.withColumn("at", (F.col("doc_id") * 131 + F.col("pick") * 977) % (F.col("n") + 40)).drop("n"))
+
+
+@query(
+    f"""WITH {glyphs.sql()}, {_SEGMENTS}, {_BREAKS}, w AS (SELECT *, sum(space_before::INT) OVER (PARTITION BY doc_id, page, line ORDER BY i) AS word FROM brk),
+    p AS (SELECT doc_id, page, min(i) AS i, 0 AS pick FROM gs GROUP BY ALL UNION ALL SELECT doc_id, page, max(i), 1 FROM gs WHERE i % 7 = 3 GROUP BY ALL)
+    SELECT doc_id, page, p.pick, a.word_first, a.word_last, a.line_first, a.line_last FROM p JOIN (SELECT doc_id, page, i, min(i) OVER v AS word_first, max(i) OVER v AS word_last, min(i) OVER u AS line_first, max(i) OVER u AS line_last FROM w
+      WINDOW v AS (PARTITION BY doc_id, page, line, word), u AS (PARTITION BY doc_id, page, line)) a USING (doc_id, page, i)""",
+    name="around_glyph",
+)
+def _around_glyph(t):
+    broken = _broken(t)
+    first = broken.groupBy(*PAGE).agg(F.min("i").alias("i")).withColumn("pick", F.lit(0))
+    seventh = broken.where("i % 7 = 3").groupBy(*PAGE).agg(F.max("i").alias("i")).withColumn("pick", F.lit(1))
+    return layout.around_glyph(broken, first.unionByName(seventh), PAGE)
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), b AS (SELECT conv_id % 7 AS s, dense_rank() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id) AS k, turn, conv_id FROM c),
+    s AS (SELECT s, count(*) AS n, sum(count(*)) OVER (ORDER BY s) - count(*) AS before, row_number() OVER (ORDER BY s) AS place FROM b GROUP BY s)
+    SELECT CAST(place AS VARCHAR) AS path, 'part ' || s AS title, CAST(before AS BIGINT) AS pos FROM s
+    UNION ALL SELECT place || '.' || k || '.' || (turn + 1), 'turn ' || conv_id || '/' || turn, CASE WHEN k + turn <= n THEN CAST(before + k + turn - 1 AS BIGINT) END FROM b JOIN s USING (s)""",
+    name="combined_bookmarks",
+)
+def _combined_bookmarks(t):
+    """Seven page sets, a bookmark for each turn below its conversation."""
+    turns = t("conversations").select("conv_id", "turn").distinct().withColumn("source_no", F.col("conv_id") % 7)
+    rank = F.dense_rank().over(Window.partitionBy("source_no").orderBy("conv_id"))
+    marks = turns.withColumn("k", rank).select("source_no", F.array(F.col("k").cast("int"), (F.col("turn") + 1).cast("int")).alias("path"), F.format_string("turn %d/%d", "conv_id", "turn").alias("title"), (F.col("k") + F.col("turn") - 1).alias("pos"))
+    sources = turns.groupBy("source_no").agg(F.count("*").alias("pages")).select("source_no", F.format_string("part %d", "source_no").alias("title"), "pages")
+    return trees.combined_bookmarks(marks, sources).withColumn("path", F.array_join("path", "."))

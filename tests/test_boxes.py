@@ -128,3 +128,35 @@ def test_masked_keeps_the_rest(spark):
 def test_pattern_spans(spark):
     df = spark.createDataFrame([(1, "the end. The"), (2, None), (3, ""), (4, "x"), (5, "thethe")], "doc_id int, text string")
     assert sorted(map(tuple, pattern_spans(df, "(?i)the").collect())) == [(1, 0, 3), (1, 9, 12), (5, 0, 3), (5, 3, 6)]
+
+
+def test_text_at(spark):
+    from paperloom.operators.text import text_at
+
+    text = "ab  cd\n\n é日 x" + "\n" + "w" * 3000 + " z"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    picks = [(1, k, at) for k, at in enumerate([0, 1, 2, 5, 6, 7, 9, 12, 13, 2000, len(text) - 1, len(text), len(text) + 1, -1])] + [(2, 0, 0), (3, 0, 0), (4, 0, 0)]
+    got = {(r["doc_id"], r["pick"]): tuple(r)[2:] for r in text_at(docs, spark.createDataFrame(picks, "doc_id int, pick int, at long")).collect()}
+    starts = [0, 7, 8, 14]
+    want = {}
+    for k, (_, _, at) in enumerate(picks[:14]):
+        if 0 <= at <= len(text):
+            n = max(i for i, s in enumerate(starts) if s <= at)
+            end = (text + "\n").index("\n", starts[n])
+            a = z = at
+            while a > starts[n] and not text[a - 1].isspace():
+                a -= 1
+            while z < end and not text[z].isspace():
+                z += 1
+            want[1, k] = (n, starts[n], end, *((text[a:z], a, z) if z > at else (None, None, None)))
+    want[3, 0] = (0, 0, 0, None, None, None)
+    assert got == want
+
+
+def test_combined_bookmarks(spark):
+    from paperloom.operators.trees import combined_bookmarks
+
+    marks = spark.createDataFrame([(1, [1], "a", 0), (1, [1, 2], "b", 4), (2, [1], "none", 0), (3, [2], "c", 1)], "source_no int, path array<int>, title string, pos long")
+    sources = spark.createDataFrame([(3, "third", 2), (1, "first", 4), (2, "empty", 0)], "source_no int, title string, pages long")
+    got = sorted((tuple(r["path"]), r["title"], r["pos"]) for r in combined_bookmarks(marks, sources).collect())
+    assert got == [((1,), "first", 0), ((1, 1), "a", 0), ((1, 1, 2), "b", None), ((2,), "third", 4), ((2, 2), "c", 5)]
