@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.sources.storage import written
+
 from paperloom.functions.text import truth
 
 
@@ -35,7 +37,7 @@ def group_lookup(fields: DataFrame, groups: DataFrame) -> DataFrame:
     parts = F.split("name", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     offered = fields.select("doc", "name", "value", F.explode(above).alias("wanted"))
-    return offered.join(F.broadcast(groups.select("wanted").distinct()), "wanted").select("doc", "wanted", "name", "value")
+    return offered.join(groups.select("wanted").distinct(), "wanted").select("doc", "wanted", "name", "value")
 
 
 def exportable(kind: Column) -> Column:
@@ -69,3 +71,28 @@ def form_merge(long: DataFrame, file: str = "file", names: list[str] | None = No
 
 def tsv_text(text: Column) -> Column:
     return F.regexp_replace(text, r"[\t\r\n]", " ")
+
+
+def calculation_levels(fields: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, name, level) of fields (doc, name, uses: names): those of level 0 use no field, others come after the last of theirs.
+
+    A field in a cycle, or that needs one that is, has no level.  Names that are no field of the document, and a null
+    ``uses``, count for nothing.  Levels are peeled off one after the other, each written, so there are as many rounds as
+    levels and a plan holds two joins.
+    """
+    left = written(fields.select(doc, "name").distinct(), "fields")
+    known = left.withColumnRenamed("name", "use")
+    needs = written(fields.select(doc, "name", F.explode("uses").alias("use")).distinct().join(known, [doc, "use"]), "needs")
+    out, level = None, 0
+    while True:
+        waiting = needs.select(doc, "name").distinct()
+        free = written(left.join(waiting, [doc, "name"], "left_anti"), "free")
+        if free.isEmpty():
+            break
+        told = free.withColumn("level", F.lit(level).cast("long"))
+        out = told if out is None else out.unionByName(told)
+        left = written(waiting, "fields")
+        needs = written(needs.join(free.withColumnRenamed("name", "use"), [doc, "use"], "left_anti").select(doc, "name", "use"), "needs")
+        level += 1
+    none = left.withColumn("level", F.lit(None).cast("long"))
+    return none if out is None else out.unionByName(none)

@@ -35,7 +35,7 @@ def scale_lookup(points: DataFrame, viewports: DataFrame, default: float = 1.0)
     v = viewports.select(F.col("page").alias("__p"), "ord", "x0", "y0", "x1", "y1", F.col("scale").alias("__s"))
     inside = (F.col("page") == F.col("__p")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     keys = points.columns
-    best = points.join(F.broadcast(v), inside, "left").groupBy(*keys).agg(F.max_by("__s", "ord").alias("__s"))
+    best = points.join(v, inside, "left").groupBy(*keys).agg(F.max_by("__s", "ord").alias("__s"))
     return best.select(*keys, F.coalesce("__s", F.lit(default)).alias("scale"))
 
 

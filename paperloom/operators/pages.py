@@ -13,7 +13,7 @@ def extract(pages: DataFrame, chosen: list[int]) -> DataFrame:
     """The pages at the given positions, in that order, repeats and all; ``pos`` is the new place.  The list is a user's, the pages may be many."""
     spark = pages.sparkSession
     wanted = spark.createDataFrame([(i, p) for i, p in enumerate(chosen)], "new long, pos long")
-    return pages.join(F.broadcast(wanted), "pos").drop("pos").withColumnRenamed("new", "pos")
+    return pages.join(wanted, "pos").drop("pos").withColumnRenamed("new", "pos")
 
 
 def page_select(pages: DataFrame, text: str, subset: str = "all", reverse: bool = False, labels: list[str] | None = None) -> DataFrame:

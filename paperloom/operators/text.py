@@ -25,19 +25,19 @@ def text_find_limit(docs: DataFrame, needle: str, limit: int = 500, key: str = "
 def phrase_counts(docs: DataFrame, phrases: DataFrame, by: str, most: int = 1000) -> DataFrame:
     """(phrase, by, docs): texts that hold each phrase; phrases are distinct, folded and at most ``most`` (the feature's limit).
 
-    A phrase of three words or more has its longest inner word in any text that holds it, so those
-    phrases meet texts by a join on words and only then are looked for; shorter ones are looked for in every text.
+    All phrases are one row beside each text.  A phrase of three words or more has its longest inner word in any text
+    that holds it, so only those whose word is among the text's are looked for; shorter ones are looked for in every text.
+    No text is copied.
     """
     folded = phrases.select(F.btrim(collapsed(fold(F.col("phrase")))).alias("phrase")).where("phrase <> ''").distinct().orderBy("phrase").limit(most)
-    seen = docs.select(by, collapsed(fold(F.col("text"))).alias("t"))
     inner = folded.withColumn("words", F.split("phrase", " ")).withColumn("inner", F.expr("slice(words, 2, greatest(size(words) - 2, 0))"))
-    rare = inner.select("phrase", F.expr("element_at(array_sort(inner, (x, y) -> case when length(x) <> length(y) then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end), 1)").alias("word"))
-    long, short = rare.where("word is not null"), rare.where("word is null").select("phrase")
-    worded = seen.select(by, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    hits = worded.join(F.broadcast(long), "word").where(F.col("t").contains(F.col("phrase"))).select("phrase", by)
-    if not short.isEmpty():
-        hits = hits.unionByName(seen.join(F.broadcast(short), F.col("t").contains(F.col("phrase"))).select("phrase", by))
-    return hits.groupBy("phrase", by).agg(F.count("*").alias("docs"))
+    rare = inner.select("phrase", F.expr("try_element_at(array_sort(inner, (x, y) -> case when length(x) <> length(y) then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end), 1)").alias("word"))
+    by_word = rare.groupBy("word").agg(F.collect_list("phrase").alias("phrases"))
+    wanted = by_word.agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "phrases")))).alias("long"), F.flatten(F.collect_list(F.when(F.col("word").isNull(), F.col("phrases")))).alias("short"))
+    seen = docs.select(by, collapsed(fold(F.col("text"))).alias("t")).crossJoin(F.broadcast(wanted))
+    likely = F.flatten(F.transform(F.array_intersect(F.array_distinct(F.split("t", " ")), F.map_keys("long")), lambda w: F.element_at("long", w)))
+    hits = F.filter(F.concat(likely, "short"), lambda p: F.col("t").contains(p))
+    return seen.select(by, F.explode(hits).alias("phrase")).groupBy("phrase", by).agg(F.count("*").alias("docs"))
 
 
 def pii_hits(docs: DataFrame, kind: str, key: str = "doc_id") -> DataFrame:

@@ -183,3 +183,30 @@ def with_formulas(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
     for name, source in formulas.items():
         df = df.withColumn(name, compile_formula(source, dict(df.dtypes)))
     return df
+
+
+def uses(source: str) -> list[str]:
+    """Names that a formula reads: those that are not called."""
+    found = tokens(source)
+    return list(dict.fromkeys(word for (kind, word), (_, after) in zip(found, [*found[1:], ("", "")], strict=True) if kind == "name" and after != "(" and word.lower() not in ("null", "if", "then", "else", "endif", *_WORDS)))
+
+
+def levels(formulas: dict[str, str]) -> list[list[str]]:
+    """Formulas in the order of calculation: each level uses only fields and levels before it.  A cycle raises with its names."""
+    left = {name: {u for u in uses(source) if u in formulas} for name, source in formulas.items()}
+    out = []
+    while left:
+        free = [n for n, needs in left.items() if not needs & left.keys()]
+        if not free:
+            raise FormulaError("formulas use each other: " + ", ".join(sorted(left)))
+        out.append(free)
+        left = {n: needs for n, needs in left.items() if n not in free}
+    return out
+
+
+def recalculated(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
+    """Adds one column a formula in whatever order they are given: a projection a level, so what several formulas use is computed once."""
+    for level in levels(formulas):
+        types = dict(df.dtypes)
+        df = df.withColumns({name: compile_formula(formulas[name], types) for name in level})
+    return df

@@ -10,10 +10,10 @@ from paperloom.functions.coerce import compare, make_number, num_text, round_hal
 from paperloom.functions.text import csv_safe, number_format, numeral, percent_format, range_error, special_format
 from paperloom.operators import aggregates as agg
 from paperloom.operators import pages as pg
-from paperloom.operators.forms import export_values, flag, form_apply, form_merge, from_json, group_lookup
+from paperloom.operators.forms import calculation_levels, export_values, flag, form_apply, form_merge, from_json, group_lookup
 from paperloom.operators.measure import area, path_length, scale_lookup
 from paperloom.operators.threads import comment_number, comment_summary, reply_parents, summary_text, thread_status, thread_tree, upsert
-from paperloom.plans.formula import with_formulas
+from paperloom.plans.formula import recalculated, with_formulas
 from paperloom.plans.register import Register
 
 query = Register()
@@ -384,3 +384,32 @@ def event_sessions(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     late = F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours")
     return t("events").withColumn("b", F.coalesce(late, F.lit(True)).cast("int")).withColumn("session", F.sum("b").over(w)).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+_USES = """r AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_partkey, l_suppkey FROM lineitem),
+e AS (SELECT doc, n, n - 1 AS u FROM r WHERE l_partkey % 3 > 0 AND n > 1 UNION ALL SELECT r.doc, r.n, r.n + 1 FROM r JOIN (SELECT doc, max(n) AS last FROM r GROUP BY doc) m USING (doc) WHERE l_suppkey % 7 = 0 AND r.n < last)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_USES}, w AS (SELECT doc, n, n AS cur, 0 AS steps FROM r UNION SELECT w.doc, w.n, e.u, steps + 1 FROM w JOIN e ON e.doc = w.doc AND e.n = w.cur WHERE steps < 60)
+    SELECT doc, 'f' || n AS name, CASE WHEN max(steps) < 60 THEN CAST(max(steps) AS BIGINT) END AS level FROM w GROUP BY doc, n""",
+    name="calculation_levels",
+)
+def _calculation_levels(t):
+    """A line of an order uses the one before it, or the one behind it, or both."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    r = t("lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(order).alias("n"), "l_partkey", "l_suppkey")
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    return calculation_levels(r.select("doc", name(F.col("n")).alias("name"), F.array_compact(F.array(F.when(F.col("l_partkey") % 3 > 0, name(F.col("n") - 1)), F.when(F.col("l_suppkey") % 7 == 0, name(F.col("n") + 1)))).alias("uses")))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * l_tax AS tax, l_extendedprice * (1 - l_discount) + l_extendedprice * (1 - l_discount) * l_tax AS gross,
+    CASE WHEN l_extendedprice * (1 - l_discount) + l_extendedprice * (1 - l_discount) * l_tax > 50000 THEN 'big' ELSE 'small' END AS size FROM lineitem""",
+    name="recalculated",
+)
+def _recalculated(t):
+    """Formulas given in the wrong order."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    done = recalculated(rows, {"size": 'if(gross > 50000, "big", "small")', "gross": "net + tax", "tax": "net * l_tax", "net": "l_extendedprice * (1 - l_discount)"})
+    return done.select("l_orderkey", "l_linenumber", "net", "tax", "gross", "size")
