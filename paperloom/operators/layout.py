@@ -100,6 +100,26 @@ def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
     return _each_page(lines, page, run, "para long, text string")
 
 
+#: How many characters back a redrawn one is looked for, and how far it may be off, in heights (fixed values).
+BACK, OFF = 4, 0.2
+
+
+def without_doubles(glyphs: DataFrame, page: list[str]) -> DataFrame:
+    """(page…, i, text, x0, y0, x1, y1) of the glyphs that are not drawn a second time to look bold: the same text, close to one of the last four before it that stays."""
+
+    def run(rows: list[dict]) -> list[tuple]:
+        kept, last = [], []
+        for r in sorted(rows, key=itemgetter("i")):
+            near = max(r["y1"] - r["y0"], 0.1) * OFF
+            again = any(stays and p["text"] == r["text"] and abs(p["x0"] - r["x0"]) < near and abs(p["y0"] - r["y0"]) < near for p, stays in last[-BACK:])
+            last = [*last[-BACK:], (r, not again)]
+            if not again:
+                kept.append((r["i"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"]))
+        return kept
+
+    return _each_page(glyphs, page, run, "i long, text string, x0 double, y0 double, x1 double, y1 double")
+
+
 def headings(lines: DataFrame, body: DataFrame, key: str) -> DataFrame:
     """Adds ``level``: 1 from 1.6 times the body size, 2 from 1.25 or for a short bold line, else null."""
     joined = lines.join(body.withColumnRenamed("size", "__body"), key)

@@ -47,6 +47,15 @@ def _words_of_glyphs(t):
     return layout.words(_broken(t), *PAGE, "line")
 
 
+@query(f"WITH {glyphs.sql()} SELECT doc_id, page, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM gs GROUP BY doc_id, page", name="without_doubles")
+def _without_doubles(t):
+    """Every third character is drawn twice, half a point aside, right behind it."""
+    single = glyphs.typeset(t("documents"))
+    twice = single.where("i % 3 = 0").withColumn("x0", F.col("x0") + 0.5).withColumn("x1", F.col("x1") + 0.5)
+    drawn = single.withColumn("i", F.col("i") * 2).unionByName(twice.withColumn("i", F.col("i") * 2 + 1))
+    return layout.without_doubles(drawn, PAGE).groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum(F.expr("i div 2")).alias("places"))
+
+
 @query(f"WITH {glyphs.sql()} SELECT doc_id, page, count(*) AS n, min(i) AS first FROM gs WHERE (x0 + x1) / 2 BETWEEN 100 AND 380 AND (y0 + y1) / 2 BETWEEN 60 AND 200 GROUP BY doc_id, page", name="glyphs_inside")
 def _glyphs_inside(t):
     inside = glyphs.typeset(t("documents")).where(layout.in_rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), (100.0, 60.0, 380.0, 200.0)))

@@ -64,3 +64,35 @@ def test_command_list(spark):
     df = spark.createDataFrame([("a.b", "Save As", True), ("c", "save", False)], "id string, title string, enabled boolean")
     assert [r["id"] for r in commands.command_list(df, " SAVE ").orderBy("id").collect()] == ["a.b", "c"]
     assert commands.command_list(df, "", enabled_only=True).count() == 1 and commands.command_list(df, "save zz").count() == 0
+
+
+OBJECT = "doc int, type string, subtype string, keys array<string>, flags int, rect array<double>, filters array<string>, claims string, page int"
+
+
+def test_archive_rules(spark):
+    from paperloom.operators.archive import FORBIDDEN_ACTIONS, FORBIDDEN_ANNOTATIONS, archive_findings, archive_status
+
+    good = [(1, "Catalog", None, ["Metadata"], None, None, None, "2B", None), (1, "Annot", "Text", ["AP"], 4, [0.0] * 4, None, None, 0), (1, "Annot", "Popup", None, None, None, None, None, 0), (1, "Annot", "Stamp", [], 4, [3.0] * 4, None, None, 1), (1, None, None, None, None, None, None, None, None), (1, "Stream", "Image", [], None, None, ["FlateDecode"], None, None)]
+    bad = [(2, "Catalog", None, None, None, None, None, None, None), (2, "Annot", "Text", ["AP"], 6, None, None, None, 3), (2, "Annot", "Text", ["AP"], 6, None, None, None, 3), (2, "Annot", "Text", ["AP"], 6, None, None, None, 4), (3, "Filespec", None, ["EF", "AFRelationship"], None, None, None, None, None)]
+    actions = [(4, "Action", s, [], None, None, None, None, None) for s in (*FORBIDDEN_ACTIONS, "GoTo", "URI")] + [(4, "Annot", s, ["AP", "AA"], 4, None, None, None, 1) for s in FORBIDDEN_ANNOTATIONS]
+    df = spark.createDataFrame([*good, *bad, *actions], OBJECT)
+    found = archive_findings(df, 2)
+    rows = [tuple(r) for r in found.collect()]
+    assert {r[0] for r in rows} == {2, 3, 4}
+    assert sorted(r[1:] for r in rows if r[0] == 2) == [("6.3.2", "not printed or hidden: Text", 3, True), ("6.3.2", "not printed or hidden: Text", 4, True), ("6.6.2.1", "no metadata", None, True)]
+    assert len([r for r in rows if r[0] == 4]) == len(FORBIDDEN_ACTIONS) + len(FORBIDDEN_ANNOTATIONS)
+    status = {r["doc"]: r["status"] for r in archive_status(df, found).collect()}
+    assert status == {1: "conforms", 2: "can be converted", 3: "fails", 4: "can be converted"}
+    assert archive_findings(df, 3).where("doc = 3").count() == 0 and archive_findings(df.where("false"), 2).count() == 0
+    with pytest.raises(ValueError):
+        archive_findings(df, 1)
+
+
+def test_without_doubles(spark):
+    from paperloom.operators.layout import without_doubles
+
+    glyph = "page int, i long, text string, x0 double, y0 double, x1 double, y1 double"
+    put = lambda i, c, x, y=0.0, page=1: (page, i, c, x, y, x + 5.0, y + 10.0)
+    rows = [put(0, "a", 0.0), put(1, "a", 1.9), put(2, "a", 3.5), put(3, "b", 3.5), put(4, "c", 9.0), put(5, "d", 15.0), put(6, "e", 20.0), put(7, "a", 0.1), put(8, "e", 20.0, 1.0), put(9, "e", 20.0, 2.5), put(0, "a", 0.0, page=2)]
+    got = sorted((r["page"], r["i"]) for r in without_doubles(spark.createDataFrame(rows, glyph).repartition(3), ["page"]).collect())
+    assert got == [(1, 0), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 9), (2, 0)]
