@@ -346,7 +346,7 @@ def test_chat_format_with_ties(spark):
 
 
 def test_lm_scoring(spark, docs, rows, empty):
-    got = lm_scoring.lm_scores(docs).collect()
+    got = lm_scoring.lm_scores(docs, lm_scoring.NEUTRAL).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     words = lambda t: [*brute.WORDS.findall(brute.lowered(t)), ""]
     counts = collections.Counter(w for d, t in rows if not held(d) for w in words(t))
@@ -410,6 +410,32 @@ def plain_lm(train):
     return scored
 
 
+def test_lm_starting_weights(spark):
+    """Weights fitted in the job on training texts, as if they had not been learned from, do better on held-out texts than neutral ones."""
+    d = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    fitted, neutral = (lm_scoring.lm_scores(d, w).where("held_out").agg(F.sum("score")).first()[0] for w in (None, lm_scoring.NEUTRAL))
+    assert fitted > neutral
+
+
+def test_lm_own_counts_left_out():
+    """A text's chances without its own counts are those of counts taken from the other texts."""
+    r = random.Random(6)
+    texts = [" ".join(r.choices("abcdefg", k=r.randint(0, 40))).encode() for _ in range(12)]
+    count = lambda of: [collections.Counter(h[p].tolist()) for b in [lm_scoring.Block(of)] for h, p in zip(b.hashes(), b.places())]
+    block, every, rates = lm_scoring.Block(texts), count(texts), np.full(5, 0.3)
+    numbers = lambda b, c: tuple(np.array([k[h] for h in x.tolist()]) for k, x in zip(c, b.hashes()))
+    whole = lm_scoring.Chances(block, 0, len(texts), numbers(block, every), sum(every[0].values()), len(texts), rates, np.full(len(block.words), 0.01), left_out=True)
+    for i, t in enumerate(texts):
+        alone = lm_scoring.Block([t])
+        rest = count(texts[:i] + texts[i + 1 :])
+        spelled = np.where(numbers(alone, rest)[0] > 0, 0, 0.01)
+        one = lm_scoring.Chances(alone, 0, 1, numbers(alone, rest), sum(rest[0].values()), len(texts) - 1, rates, spelled)
+        here = slice(int(whole.starts[i]), int(whole.starts[i] + whole.lengths[i]))
+        for name in ("p", "known", "start"):
+            assert np.allclose(getattr(whole, name)[:, here], getattr(one, name)), name
+        assert np.allclose(whole.spelled[here], one.spelled)
+
+
 def test_lm_spelling_sums_to_one():
     """Over all continuations of every prefix the bits leave no more than one unit."""
     r = np.random.default_rng(0)
