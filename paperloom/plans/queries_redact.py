@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import redact
 from paperloom.plans.queries_cases import _MONTHS
 from paperloom.plans.register import Register
+from paperloom.sources.storage import written
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.oracles
@@ -57,12 +58,12 @@ def _redact_spans(t):
 
 @query(f"WITH {_SPANS}, {_MARKS}, {_COUNTS} SELECT * FROM r", name="redact_report")
 def _redact_report(t):
-    return redact.redaction_report(redact.spans(t("documents")))
+    return redact.redaction_report(written(redact.spans(t("documents")), "spans"))
 
 
 @query(f"WITH {_SPANS}, {_MARKS}, {_COUNTS} SELECT count(*) AS texts, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in ('marks', 'chars', *_KINDS))} FROM r", name="redact_totals")
 def _redact_totals(t):
-    return redact.redaction_totals(redact.redaction_report(redact.spans(t("documents"))))
+    return redact.redaction_totals(redact.redaction_report(written(redact.spans(t("documents")), "spans")))
 
 
 @query(
