@@ -34,24 +34,45 @@ FEW = 64
 REOPENED = 8
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
-    """The most valuable multiset of items that fits; sizes ascend.  Returns item -> count."""
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
+def _by_items(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for i, (size, value) in enumerate(zip(sizes.tolist(), values.tolist(), strict=True)):
+        # rooms with the same rest, down the columns: each row has room for one item more
+        rows = -(-(capacity + 1) // size)
+        grid = np.full(rows * size, -np.inf)
+        grid[: capacity + 1] = best
+        rise = np.arange(rows)[:, None] * value
+        found = (np.maximum.accumulate(grid.reshape(rows, size) - rise) + rise).ravel()[: capacity + 1]
+        better = found > best * (1 + 1e-12)
+        best[better], taken[better] = found[better], i
+    return taken
+
+
+def _by_rooms(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        k = np.searchsorted(sizes, c, "right")
-        if k:
+        if k := fitting[c]:
             gains = best[c - sizes[:k]] + values[:k]
             i = int(gains.argmax())
             if gains[i] > best[c]:
                 best[c], taken[c] = gains[i], i
+    return taken
+
+
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
+    """The most valuable multiset of items that fits; sizes ascend, values are positive.  Returns item -> count.
+
+    Item by item for all rooms at once, or, where there are many items, room by room for all items.
+    """
+    taken = (_by_items if 4 * len(sizes) < capacity else _by_rooms)(sizes, values, capacity)
     out, c = Counter(), capacity
     while c > 0:
-        if (i := taken[c]) < 0:
+        if (i := int(taken[c])) < 0:
             c -= 1
         else:
-            out[int(i)] += 1
+            out[i] += 1
             c -= int(sizes[i])
     return out
 
