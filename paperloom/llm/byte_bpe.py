@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Each block of texts deals its distinct pre-tokens over buckets; a bucket encodes each distinct
-one once for all blocks; ids come back to the block, where positions put them in order again.
-Decoding joins ids with the token-byte table.
+Each block of texts deals its distinct pre-tokens over buckets; a bucket's requests stream past one
+worker, which encodes each distinct one once for all blocks; ids come back to the block, where
+positions put them in order again.  Decoding joins ids with the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,26 @@ from paperloom.llm.encoding import _Numbers, pretoken_pattern, ragged
 from paperloom.llm.shared import arrow_map, arrow_rows, blocks, partitions
 from paperloom.llm.word_blocks import ANSWER, ANSWER_DDL, BLOCK_BYTES, PAYLOAD, PAYLOAD_DDL, REQUEST, REQUEST_DDL, block_id, dealt, from_payload, pack, pack_words, payload, split_words, unpack
 
+#: Encoded words that a worker remembers at a time; whatever comes again later is encoded again.
+MEMO = 1_000_000
+#: Bytes of one batch of answers.
+ANSWER_BYTES = 16 << 20
 
+
+@cache
 def load_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a file, read once a worker."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def piece_encoder(ranks: dict[bytes, int], pattern: str):
+@cache
+def piece_encoder(path: str):
+    """The ids of one pre-token, which the library takes whole; built once a worker."""
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    whole = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+    return lambda word: whole(word.decode())
 
 
 class TokenBytes:
@@ -45,6 +56,11 @@ class TokenBytes:
         return ragged(self.flat, self.starts[ids], self.lengths[ids]).tobytes()
 
 
+@cache
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(load_ranks(path))
+
+
 def _answer(words: list[bytes], encode) -> tuple[np.ndarray, np.ndarray]:
     ids = [encode(w) for w in words]
     return np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter((x for e in ids for x in e), np.uint32)
@@ -62,18 +78,26 @@ def encode_blocks(docs: DataFrame, ranks_path: str, pattern: str, finish, schema
             here = block_id(ids, texts)
             yield arrow_rows(REQUEST, [(b, here, pack_words(part)) for b, part in dealt([w.encode() for w in words], n)])
 
-    def encode_bucket(table: pa.Table) -> pa.Table:
-        encode = piece_encoder(load_ranks(ranks_path), pattern)
+    def answer(batches):
+        encode = piece_encoder(ranks_path)
         seen: dict[bytes, list[int]] = {}
-        rows = []
-        for bucket, block, blob in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            words = split_words(*unpack(blob))
-            for w in words:
-                if w not in seen:
-                    seen[w] = encode(w)
-            ids = [seen[w] for w in words]
-            rows.append((block, bucket, pack(np.fromiter(map(len, ids), np.uint32, len(ids)).tobytes(), np.fromiter((x for e in ids for x in e), np.uint32).tobytes())))
-        return pa.Table.from_batches([arrow_rows(ANSWER, rows)])
+        rows, size = [], 0
+        for batch in batches:
+            for bucket, block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = []
+                for w in split_words(*unpack(blob)):
+                    if (found := seen.get(w)) is None:
+                        if len(seen) >= MEMO:
+                            seen.clear()
+                        found = seen[w] = encode(w)
+                    ids.append(found)
+                rows.append((block, bucket, pack(np.fromiter(map(len, ids), np.uint32, len(ids)).tobytes(), np.fromiter((x for e in ids for x in e), np.uint32).tobytes())))
+                size += len(rows[-1][2])
+                if size >= ANSWER_BYTES:
+                    yield arrow_rows(ANSWER, rows)
+                    rows, size = [], 0
+        if rows:
+            yield arrow_rows(ANSWER, rows)
 
     def hold(batches):
         for ids, texts in blocks(batches, BLOCK_BYTES):
@@ -97,7 +121,7 @@ def encode_blocks(docs: DataFrame, ranks_path: str, pattern: str, finish, schema
                 done += len(words)
                 c, f = (np.frombuffer(x, np.uint32) for x in unpack(got[bucket])) if bucket in got else (np.zeros(0, np.uint32),) * 2
                 if len(c) != len(words):  # rows in another order than when the block asked
-                    c, f = _answer(words, piece_encoder(load_ranks(ranks_path), pattern))
+                    c, f = _answer(words, piece_encoder(ranks_path))
                 counts.append(c)
                 flat.append(f)
             counts = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
@@ -106,7 +130,7 @@ def encode_blocks(docs: DataFrame, ranks_path: str, pattern: str, finish, schema
             out.append(finish(ids, [ragged(flat, starts[place[a]], counts[place[a]]) for a in at]))
         return pa.Table.from_batches(out)
 
-    asked = arrow_map(rows, ask, REQUEST_DDL).groupBy("bucket").applyInArrow(encode_bucket, ANSWER_DDL)
+    asked = arrow_map(arrow_map(rows, ask, REQUEST_DDL).repartition("bucket"), answer, ANSWER_DDL)
     held = arrow_map(rows, hold, PAYLOAD_DDL)
     return held.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(assemble, schema)
 
@@ -131,7 +155,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     kind, _ = _doc_type(encoded)
 
     def run(batches):
-        table = TokenBytes(load_ranks(ranks_path))
+        table = token_bytes(ranks_path)
         for batch in batches:
             texts = [None if x is None else table.decode(np.array(x, np.int64)).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -144,7 +168,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     kind, arrow = _doc_type(docs)
 
     def finish(ids, tokens):
-        table = TokenBytes(load_ranks(ranks_path))
+        table = token_bytes(ranks_path)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, arrow),

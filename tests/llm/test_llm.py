@@ -281,7 +281,7 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.token_counts(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
-def test_byte_bpe(docs, rows, empty):
+def test_byte_bpe(docs, rows, empty, monkeypatch):
     import tiktoken
 
     path = P.path("byte_bpe_50k.tiktoken")
@@ -292,6 +292,20 @@ def test_byte_bpe(docs, rows, empty):
     assert byte_bpe.round_trip(empty, path, P.PATTERN).count() == 0
     back = byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path)
     same(back.collect(), [(i, t or "") for i, t in rows])
+    monkeypatch.setattr(byte_bpe, "MEMO", 3)
+    monkeypatch.setattr(byte_bpe, "ANSWER_BYTES", 100)
+    same(byte_bpe.round_trip(docs, path, P.PATTERN).collect(), want)
+
+
+def test_byte_bpe_takes_each_pretoken_whole():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    one = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    find, encode = byte_bpe.pretoken_pattern(P.PATTERN).findall, byte_bpe.piece_encoder(path)
+    rng = random.Random(4)
+    for text in ["  \n\n  a", "it's", "\x00\u2028\r\n\t", "z" * 5000, " " * 3000 + "x", *("".join(rng.choices("ab'lsé \n\t\u3000字1.-\U0001f600", k=rng.randrange(60))) for _ in range(3000))]:
+        assert [i for w in find(text) for i in encode(w.encode())] == one.encode_ordinary(text)
 
 
 def plain_chats(rows):
@@ -673,6 +687,21 @@ def test_plan_beats_best_fit_where_lengths_are_few(histogram):
     assert count <= math.ceil(sum(x * n for x, n in histogram.items()) / 4096) + 1
 
 
+def test_knapsack_by_items_and_by_rooms():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 9), replace=False))
+        values, capacity = rng.random(len(sizes)) * sizes, int(rng.integers(1, 200))
+        best = [0.0] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1]] + [best[c - s] + v for s, v in zip(sizes.tolist(), values.tolist(), strict=True) if s <= c])
+        chosen = packing.knapsack(sizes, values, capacity)
+        assert sum(sizes[i] * n for i, n in chosen.items()) <= capacity
+        assert math.isclose(sum(values[i] * n for i, n in chosen.items()), best[capacity])
+        for form in (packing._by_items, packing._by_rooms):
+            assert (form(sizes, values, capacity) >= 0).any() == (best[capacity] > 0)
+
+
 def test_plan_of_documents():
     """The program's own plan of the larger table needs the volume and no more."""
     import pyarrow.parquet as pq
