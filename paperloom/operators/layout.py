@@ -31,14 +31,59 @@ def line_segments(glyphs: DataFrame, *page: str) -> DataFrame:
     return glyphs.withColumn("__b", broken.cast("int")).withColumn("line", F.sum("__b").over(w).cast("long")).drop("__b")
 
 
+#: Scripts by code points (fixed values): written without spaces, with signs apart from their letters, from right to left.
+SPACELESS = r"[\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3134F}]"
+CLUSTERED = r"[\x{0300}-\x{036F}\x{0900}-\x{0DFF}\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]"
+RIGHT_TO_LEFT = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}]"
+#: In heights: a word's gap beyond the typical one, and below what no gap parts two spaceless characters or a cluster.
+WORD, TIGHT, CLUSTER = 0.15, 0.5, 0.6
+
+
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
+
+
+def _written(text: Column, script: str) -> Column:
+    return _beyond_ascii(text) & text.rlike(script)
+
+
+def _blank(text: Column) -> Column:
+    return (F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "") | (_beyond_ascii(text) & ~text.rlike(r"[^\s\p{Z}]"))
+
+
 def word_breaks(glyphs: DataFrame, *line: str) -> DataFrame:
-    """Adds ``space_before``: the gap exceeds the line's typical one (at a third of the sorted gaps) by 0.15 heights."""
-    w = Window.partitionBy(*line).orderBy("i")
-    gaps = glyphs.withColumn("__g", F.col("x0") - F.lag("x1").over(w))
+    """Adds ``space_before``: from left to right, the gap exceeds the line's typical one (at a third of the sorted gaps) by 0.15 heights.
+
+    Characters of scripts without spaces are parted from half a height only, signs of clusters from 0.6, blanks never.  The
+    space stands before the one of the two that is drawn later (by i), which in text from right to left is the left one.
+    """
+    w = Window.partitionBy(*line).orderBy("x0", "i")
+    text, height = F.col("text"), F.col("y1") - F.col("y0")
+    gap = F.col("x0") - F.lag("x1").over(w)
+    both = lambda c: c & F.lag(c).over(w)
+    either = lambda c: c | F.lag(c).over(w)
+    spaceless, clustered, blank = _written(text, SPACELESS), _written(text, CLUSTERED), _blank(text)
+    tight = (both(spaceless) & (gap < TIGHT * height)) | (either(clustered) & (gap < CLUSTER * height)) | either(blank)
+    gaps = glyphs.withColumn("__g", gap).withColumn("__c", tight)
     typical = gaps.groupBy(*line).agg(F.array_sort(F.collect_list("__g")).alias("g")).select(*line, F.coalesce(F.get("g", F.floor(F.size("g") / 3).cast("int")), F.lit(0.0)).alias("__t"))
-    joined = gaps.join(typical, list(line))
-    wide = F.col("__g") > F.greatest(F.col("__t"), F.lit(0.0)) + 0.15 * (F.col("y1") - F.col("y0"))
-    return joined.withColumn("space_before", F.coalesce(wide, F.lit(False))).drop("__g", "__t")
+    wide = (F.col("__g") > F.greatest(F.col("__t"), F.lit(0.0)) + WORD * height) & ~F.col("__c")
+    told = gaps.join(typical, list(line)).withColumn("__w", F.coalesce(wide, F.lit(False)))
+    own = F.col("__w") & (F.col("i") > F.lag("i").over(w))
+    left = F.lead("__w").over(w) & (F.col("i") > F.lead("i").over(w))
+    return told.withColumn("space_before", F.coalesce(own, F.lit(False)) | F.coalesce(left, F.lit(False))).drop("__g", "__c", "__t", "__w")
+
+
+def logical_order(glyphs: DataFrame, *line: str) -> DataFrame:
+    """Adds ``at``, a glyph's place in its line as it is read, from 0: from left to right, but runs of right-to-left script (single blanks inside included) turned around."""
+    w = Window.partitionBy(*line).orderBy("x0", "i")
+    strong = _written(F.col("text"), RIGHT_TO_LEFT)
+    placed = glyphs.withColumn("__n", F.row_number().over(w) - 1).withColumn("__s", strong)
+    inside = F.col("__s") | (_blank(F.col("text")) & F.coalesce(F.lag("__s").over(w) & F.lead("__s").over(w), F.lit(False)))
+    turned = placed.withColumn("__r", inside)
+    runs = turned.withColumn("__k", F.sum(F.coalesce((F.col("__r") != F.lag("__r").over(w)).cast("int"), F.lit(0))).over(w))
+    run = Window.partitionBy(*line, "__k")
+    at = F.when(F.col("__r"), F.min("__n").over(run) + F.max("__n").over(run) - F.col("__n")).otherwise(F.col("__n"))
+    return runs.withColumn("at", at.cast("long")).drop("__n", "__s", "__r", "__k")
 
 
 def _each_page(df: DataFrame, page: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
@@ -183,31 +228,54 @@ def field_labels(boxes: DataFrame, words: DataFrame) -> DataFrame:
     return boxes.select("page", "box").join(by_left, ["page", "box"], "left").join(by_above, ["page", "box"], "left").select("page", "box", F.coalesce("left", "above").alias("label"))
 
 
-def words(glyphs: DataFrame, *line: str) -> DataFrame:
+def words(glyphs: DataFrame, *line: str, order: str = "i") -> DataFrame:
     """(line…, word, text, x0, y0, x1, y1) of glyphs with ``space_before``; runs of underscores are words of their own."""
-    w = Window.partitionBy(*line).orderBy("i")
+    w = Window.partitionBy(*line).orderBy(order)
     rule = F.col("text") == "_"
     starts = F.col("space_before") | (rule != F.lag(rule).over(w))
     numbered = glyphs.withColumn("word", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w).cast("long"))
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct("i", "text")))["text"], "")
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct(order, "text")))["text"], "")
     return numbered.groupBy(*line, "word").agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+#: How many times more a distance up or down counts, so that a point's own line is preferred (fixed value).
+STEEP = 3.0
+
+
 def nearest_glyph(glyphs: DataFrame, points: DataFrame, page: list[str] | None = None) -> DataFrame:
-    """(page…, point, i): the glyph whose box is nearest to each point (page…, point, x, y); the first of equals."""
+    """(page…, point, i): the glyph whose box is nearest to each point (page…, point, x, y), across plus three times up or down; the first of equals."""
     page = page or ["page"]
     near = glyphs.join(points, page)
-    away = F.hypot(F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0)))
+    outside = lambda low, p, high: F.greatest(F.col(low) - F.col(p), F.col(p) - F.col(high), F.lit(0.0))
+    away = outside("x0", "x", "x1") + STEEP * outside("y0", "y", "y1")
     return near.groupBy(*page, "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))
 
 
 def around_glyph(words_of: DataFrame, picks: DataFrame, page: list[str]) -> DataFrame:
     """(page…, pick, word_first, word_last, line_first, line_last): the word and the line around picked glyphs (page…, pick, i), as first and last glyph.
 
-    ``words_of`` has page…, i, line and space_before of every glyph.
+    ``words_of`` has page…, i, text, line and space_before of every glyph.  A word stops at blanks, too; around a blank are the words that touch it.
     """
     order = Window.partitionBy(*page, "line").orderBy("i")
-    numbered = words_of.select(*page, "i", "line", F.sum(F.col("space_before").cast("int")).over(order).alias("word"))
+    blank, before = _blank(F.col("text")), F.lag(_blank(F.col("text"))).over(order)
+    parted = F.col("space_before") | F.coalesce(blank | before, F.lit(False))
+    numbered = words_of.select(*page, "i", "line", "space_before", blank.alias("blank"), F.sum(parted.cast("int")).over(order).alias("word"))
     line, word = Window.partitionBy(*page, "line"), Window.partitionBy(*page, "line", "word")
-    told = numbered.select(*page, "i", *(f("i").over(w).alias(f"{n}_{e}") for n, w in (("word", word), ("line", line)) for e, f in (("first", F.min), ("last", F.max))))
-    return picks.select(*page, "pick", "i").join(told, [*page, "i"]).drop("i")
+    told = numbered.select(*page, "i", "line", "space_before", "blank", *(f("i").over(w).alias(f"{n}_{e}") for n, w in (("word", word), ("line", line)) for e, f in (("first", F.min), ("last", F.max))))
+    joins_left = F.col("blank") & ~F.col("space_before") & ~F.lag("blank").over(order)
+    joins_right = F.col("blank") & ~F.lead("space_before").over(order) & ~F.lead("blank").over(order)
+    first = F.when(joins_left, F.lag("word_first").over(order)).otherwise(F.col("word_first")).alias("word_first")
+    last = F.when(joins_right, F.lead("word_last").over(order)).otherwise(F.col("word_last")).alias("word_last")
+    return picks.select(*page, "pick", "i").join(told.select(*page, "i", first, last, "line_first", "line_last"), [*page, "i"]).drop("i")
+
+
+def picked_boxes(glyphs: DataFrame, picks: DataFrame, page: list[str]) -> DataFrame:
+    """(page…, pick, line, first, last, x0, y0, x1, y1): one box for each run of picked glyphs (page…, pick, i) that follow one another on a line; a glyph picked twice counts once.
+
+    ``glyphs`` has page…, i, line and the corners; ``i`` counts without holes over those that a run goes over.
+    """
+    chosen = glyphs.select(*page, "i", "line", *CORNERS).join(picks.select(*page, "pick", "i").distinct(), [*page, "i"])
+    key = [*page, "pick", "line"]
+    run = (F.col("i") - F.row_number().over(Window.partitionBy(*key).orderBy("i"))).alias("run")
+    union = [F.min("i").alias("first"), F.max("i").alias("last"), *(f(c).alias(c) for c, f in zip(CORNERS, (F.min, F.min, F.max, F.max), strict=True))]
+    return chosen.select("*", run).groupBy(*key, "run").agg(*union).drop("run")

@@ -19,9 +19,11 @@ PAGE = ["doc_id", "page"]
 
 _SEGMENTS = """seg AS (SELECT *, CAST(sum(CASE WHEN li IS NOT NULL AND (abs((y0 + y1) / 2 - lm) >= (y1 - y0) / 2 OR x0 - lx >= 3 * (y1 - y0) OR x0 - lx < -2 * (y1 - y0)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i) AS BIGINT) AS line
   FROM (SELECT *, lag(i) OVER w AS li, lag(x1) OVER w AS lx, lag((y0 + y1) / 2) OVER w AS lm FROM gs WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)))"""
-_BREAKS = """gap AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY i) AS g FROM seg),
+_BREAKS = f"""gap AS (SELECT *, x0 - lag(x1) OVER v AS g, lag(text) OVER v AS b, lag(i) OVER v AS bi FROM seg WINDOW v AS (PARTITION BY doc_id, page, line ORDER BY x0, i)),
 typical AS (SELECT doc_id, page, line, coalesce(list_sort(list(g) FILTER (WHERE g IS NOT NULL))[CAST(count(g) // 3 + 1 AS INT)], 0) AS t FROM gap GROUP BY ALL),
-brk AS (SELECT gap.*, coalesce(g > greatest(t, 0) + 0.15 * (y1 - y0), false) AS space_before FROM gap JOIN typical USING (doc_id, page, line))"""
+wid AS (SELECT gap.*, coalesce(g > greatest(t, 0) + 0.15 * (y1 - y0) AND regexp_matches(text, '[^\\s\\p{{Z}}]') AND regexp_matches(b, '[^\\s\\p{{Z}}]')
+  AND NOT (regexp_matches(text, '{layout.SPACELESS}') AND regexp_matches(b, '{layout.SPACELESS}') AND g < 0.5 * (y1 - y0)) AND NOT (regexp_matches(text || b, '{layout.CLUSTERED}') AND g < 0.6 * (y1 - y0)), false) AS w FROM gap JOIN typical USING (doc_id, page, line)),
+brk AS (SELECT *, (w AND i > bi) OR coalesce(lead(w) OVER v AND i > lead(i) OVER v, false) AS space_before FROM wid WINDOW v AS (PARTITION BY doc_id, page, line ORDER BY x0, i))"""
 
 
 def _lines(t) -> DataFrame:
@@ -47,6 +49,47 @@ def _words_of_glyphs(t):
     return layout.words(_broken(t), *PAGE, "line")
 
 
+#: What the letters a to z become in three of four texts: ideographs, an alphabet with signs over its letters, one from right to left.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SCRIPTS = {k: "".join(chr(first + n) for n in range(26)) for k, first in ((1, 0x4E00), (2, 0x0E01), (3, 0x05D0))}
+
+
+@query(
+    f"""WITH told AS (SELECT doc_id, CASE doc_id % 4 {" ".join(f"WHEN {k} THEN translate(text, '{_LETTERS}', '{to}')" for k, to in _SCRIPTS.items())} ELSE text END AS text FROM documents), {glyphs.sql(table="told")},
+    seg AS (SELECT doc_id, page, i, text, y0, y1, i // {glyphs.WIDTH} AS line, CASE WHEN doc_id % 4 = 3 THEN 600 - x1 + i % 5 ELSE x0 END AS x0, CASE WHEN doc_id % 4 = 3 THEN 600 - x0 ELSE x1 - i % 5 END AS x1 FROM gs), {_BREAKS},
+    o AS (SELECT *, regexp_matches(text, '{layout.RIGHT_TO_LEFT}') AS s, NOT regexp_matches(text, '[^\\s\\p{{Z}}]') AS e, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x0, i) - 1 AS n FROM brk),
+    r AS (SELECT *, s OR (e AND coalesce(lag(s) OVER v AND lead(s) OVER v, false)) AS r FROM o WINDOW v AS (PARTITION BY doc_id, page, line ORDER BY n)),
+    k AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, page, line, r ORDER BY n) AS k FROM r),
+    a AS (SELECT *, CASE WHEN r THEN min(n) OVER u + max(n) OVER u - n ELSE n END AS "at" FROM k WINDOW u AS (PARTITION BY doc_id, page, line, r, k)),
+    w AS (SELECT *, CAST(sum(CASE WHEN space_before OR (text = '_') <> lt THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY "at") AS BIGINT) AS word FROM (SELECT *, lag(text = '_') OVER (PARTITION BY doc_id, page, line ORDER BY "at") AS lt FROM a))
+    SELECT doc_id, page, line, word, string_agg(text, '' ORDER BY "at") AS text, min(x0) AS x0, max(x1) AS x1 FROM w GROUP BY doc_id, page, line, word""",
+    name="script_words",
+)
+def _script_words(t):
+    """Words of texts in four scripts, set with uneven gaps, one of them drawn from right to left."""
+    script, right = F.col("doc_id") % 4, F.col("doc_id") % 4 == 3
+    text = F.col("text")
+    for k, to in _SCRIPTS.items():
+        text = F.when(script == k, F.translate("text", _LETTERS, to)).otherwise(text)
+    drawn = glyphs.typeset(t("documents").select("doc_id", text.alias("text")))
+    squeezed = F.col("x1") - F.col("i") % 5
+    put = drawn.select(*PAGE, "i", "text", F.expr(f"i div {glyphs.WIDTH}").alias("line"), F.when(right, 600 - squeezed).otherwise(F.col("x0")).alias("x0"), "y0", F.when(right, 600 - F.col("x0")).otherwise(squeezed).alias("x1"), "y1")
+    line = [*PAGE, "line"]
+    return layout.words(layout.logical_order(layout.word_breaks(put, *line), *line), *line, order="at").drop("y0", "y1")
+
+
+@query(
+    f"""WITH {glyphs.sql()}, {_SEGMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS n FROM seg)
+    SELECT doc_id, page, line, min(n) AS first, max(n) AS last, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM n WHERE n % 5 <> 0 GROUP BY doc_id, page, line, n // 5""",
+    name="picked_boxes",
+)
+def _picked_boxes(t):
+    """Boxes of all characters but every fifth of a page."""
+    placed = _lines(t).withColumn("i", F.row_number().over(Window.partitionBy(*PAGE).orderBy("i")))
+    picks = placed.where("i % 5 <> 0").select(*PAGE, F.lit(0).alias("pick"), "i")
+    return layout.picked_boxes(placed, picks, PAGE).drop("pick")
+
+
 @query(f"WITH {glyphs.sql()} SELECT doc_id, page, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM gs GROUP BY doc_id, page", name="without_doubles")
 def _without_doubles(t):
     """Every third character is drawn twice, half a point aside, right behind it."""
@@ -64,7 +107,7 @@ def _glyphs_inside(t):
 
 @query(
     f"""WITH {glyphs.sql()}, p AS (SELECT doc_id, page, point, 30.0 + (doc_id * 37 + point * 211) % 520 AS x, 30.0 + (doc_id * 13 + page * 7 + point * 97) % 320 AS y FROM (SELECT DISTINCT doc_id, page FROM ls), (SELECT unnest([0, 1]) AS point)),
-    d AS (SELECT doc_id, page, point, i, sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) AS d FROM gs JOIN p USING (doc_id, page))
+    d AS (SELECT doc_id, page, point, i, greatest(x0 - x, x - x1, 0) + 3 * greatest(y0 - y, y - y1, 0) AS d FROM gs JOIN p USING (doc_id, page))
     SELECT doc_id, page, point, i FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, page, point ORDER BY d, i) = 1""",
     name="nearest_glyph",
 )

@@ -259,6 +259,65 @@ def test_words_and_points(spark):
     assert rows(layout.nearest_glyph(g, p), "point") == [(1, 7, 2), (1, 8, 4)]
 
 
+def drawn(spark, *texts):
+    """Characters as (page, line 0, i, text, corners), each text given as (characters, x of each)."""
+    got = [(p, 0, i, c, float(x), 0.0, x + 6.0, 10.0) for p, (chars, xs) in enumerate(texts) for i, (c, x) in enumerate(zip(chars, xs, strict=True))]
+    return spark.createDataFrame(got, "page int, line int, i int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_nearest_prefers_its_own_line(spark):
+    g = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 5.0, 10.0), (1, 1, "b", 30.0, 12.0, 35.0, 22.0)], "page int, i int, text string, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame([(1, 0, 32.0, 8.0), (1, 1, 24.0, 8.0)], "page int, point int, x double, y double")
+    assert rows(layout.nearest_glyph(g, p), "point") == [(1, 0, 1), (1, 1, 1)]
+    low = spark.createDataFrame([(1, 0, 16.0, 6.0)], "page int, point int, x double, y double")
+    assert rows(layout.nearest_glyph(g, low), "point") == [(1, 0, 0)]
+
+
+def script_words(df):
+    line = ["page", "line"]
+    return [(r[0], r[3]) for r in rows(layout.words(layout.logical_order(layout.word_breaks(df, *line), *line), *line, order="at"), "page", "word")]
+
+
+def test_words_by_script(spark):
+    from itertools import accumulate
+
+    at = lambda *gaps: list(accumulate(gaps, lambda x, g: x + 6 + g, initial=0))
+    df = drawn(
+        spark,
+        ("abcd", at(0, 4, 0)),  # a gap of 0.4 heights parts letters
+        ("\u6bcf\u4e2a\u5b57\u6bcf", at(0, 4, 0)),  # but not ideographs
+        ("\u6bcf\u4e2a\u5b57\u6bcf", at(0, 5, 0)),  # from half a height on it does
+        ("\u6bcf\u4e2ab\u6bcf", at(0, 4, 0)),  # nor beside a letter
+        ("\u0e01\u0e34b\u0e02", at(0, 5, 0)),  # signs of a cluster may stand 0.6 apart
+        ("\u0e01\u0e34b\u0e02", at(0, 6, 0)),
+        ("ab cd", at(0, 4, 4, 0)),  # a blank parts nothing by itself
+        ("\u05dd\u05d5\u05dc\u05e9", at(0, 0, 0)),  # drawn by eye, read from right to left
+    )
+    assert script_words(df) == [(0, "ab"), (0, "cd"), (1, "\u6bcf\u4e2a\u5b57\u6bcf"), (2, "\u6bcf\u4e2a"), (2, "\u5b57\u6bcf"), (3, "\u6bcf\u4e2a"), (3, "b\u6bcf"), (4, "\u0e01\u0e34b\u0e02"), (5, "\u0e01\u0e34"), (5, "b\u0e02"), (6, "ab cd"), (7, "\u05e9\u05dc\u05d5\u05dd")]
+
+
+def test_right_to_left_words_in_drawing_order(spark):
+    """Two words drawn from the right; a blank between letters of one run; Latin before them, where the space stands before the glyph drawn later, the last one read."""
+    df = drawn(spark, ("\u05d0\u05d1\u05d2\u05d3", [60, 54, 40, 34]), ("\u05d0 \u05d1", [20, 14, 8]), ("ab\u05d0\u05d1", [0, 6, 60, 54]))
+    assert script_words(df) == [(0, "\u05d0\u05d1"), (0, "\u05d2\u05d3"), (1, "\u05d0 \u05d1"), (2, "ab\u05d0"), (2, "\u05d1")]
+
+
+def test_words_and_lines_around_glyphs(spark):
+    """Two lines, "ab cd" and "e fg": words stop at blanks, gaps and the ends of lines."""
+    g = [(0, i, c, int(i > 4), i == 6) for i, c in enumerate("ab cdefg")]
+    df = spark.createDataFrame(g, "page int, i int, text string, line int, space_before boolean")
+    picks = df.select("page", "i", F.col("i").alias("pick"))
+    got = rows(layout.around_glyph(df, picks, ["page"]), "pick")
+    assert [r[2:4] for r in got] == [(0, 1), (0, 1), (0, 4), (3, 4), (3, 4), (5, 5), (6, 7), (6, 7)]
+    assert [r[4:] for r in got] == [(0, 4)] * 5 + [(5, 7)] * 3
+
+
+def test_picked_boxes(spark):
+    df = drawn(spark, ("abcdef", [0, 6, 12, 18, 24, 30])).withColumn("line", (F.col("i") >= 4).cast("int"))
+    picks = spark.createDataFrame([(0, 9, i) for i in (0, 1, 1, 3, 4, 5)], "page int, pick int, i int")
+    assert rows(layout.picked_boxes(df, picks, ["page"]), "first") == [(0, 9, 0, 0, 1, 0.0, 0.0, 12.0, 10.0), (0, 9, 0, 3, 3, 18.0, 0.0, 24.0, 10.0), (0, 9, 1, 4, 5, 24.0, 0.0, 36.0, 10.0)]
+
+
 def test_unlinked(spark):
     from paperloom.operators.text import unlinked
 
