@@ -206,8 +206,9 @@ def number_format(v: Column, places: int, separators: int = 0, negative: int = 0
     return F.when((v < 0) & (size > 0), minus).otherwise(shown)
 
 
-def percent_format(v: Column, places: int, separators: int = 0) -> Column:
-    return F.concat(number_format(v * 100, places, separators), F.lit("%"))
+def percent_format(v: Column, places: int, separators: int = 0, whole: float = 1.0) -> Column:
+    """``v`` as a share of ``whole``; a percentage (of 100) is rounded as it stands, not on its way through a hundredth."""
+    return F.concat(number_format(v * (100 / whole), places, separators), F.lit("%"))
 
 
 def range_error(text: Column, low: float | None, high: float | None) -> Column:
