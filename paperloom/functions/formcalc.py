@@ -379,7 +379,15 @@ def ppmt(v: Column, r: Column, p: Column, first: Column, n: Column) -> Column:
 
 
 def apr(v: Column, p: Column, n: Column) -> Column:
-    """Yearly rate of a loan by bisection on the monthly one."""
+    """Yearly rate of a loan: Newton's steps down to the monthly one, by bisection below one payment.
+
+    What a rate costs is convex in it, and at p / v is more than p: from there each step stays above the rate that is
+    looked for, and eight are more than doubles can tell apart.  Rates go from 0 to 1 a month.
+    """
+    return _positive(F.when(n < 1, _halved(v, p, n)).otherwise(_stepped(v, p, n)) * 12, "Apr: arguments must be positive", v, p, n)
+
+
+def _halved(v: Column, p: Column, n: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
 
     def halve(s: Column, _) -> Column:
@@ -388,7 +396,24 @@ def apr(v: Column, p: Column, n: Column) -> Column:
         return F.struct(F.when(cost > p, s["low"]).otherwise(mid).alias("low"), F.when(cost > p, mid).otherwise(s["high"]).alias("high"))
 
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, halve)
-    return _positive((ends["low"] + ends["high"]) / 2 * 12, "Apr: arguments must be positive", v, p, n)
+    return (ends["low"] + ends["high"]) / 2
+
+
+#: Newton's steps: six are enough for payments of 1 to 50 times the loan (fixed value).
+STEPS = 8
+
+
+def _stepped(v: Column, p: Column, n: Column) -> Column:
+    once = lambda of, fn: F.get(F.transform(F.array(of), fn), F.lit(0))
+
+    def step(r: Column, _) -> Column:
+        def better(paid: Column) -> Column:
+            slope = paid - r * n * (1 - paid) / (1 + r)
+            return F.when((r > 0) & (slope > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - (r - p / v * paid) * paid / slope))).otherwise(r)
+
+        return once(-F.expm1(-n * F.log1p(r)), better)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.least(p / v, F.lit(1.0)), step)
 
 
 # -- units
