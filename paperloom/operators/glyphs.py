@@ -5,26 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.sources.storage import dealt
+
 #: Characters of a line, lines of a column, and columns of a page.
 WIDTH, LINES, COLUMNS = 44, 20, 2
 #: Points: the first line's corner, a character's pitch and width, a line's pitch and height, and the columns' distance.
 LEFT, TOP, PITCH, BROAD, LEADING, HIGH, APART = 36.0, 40.0, 6.0, 5.0, 14.0, 10.0, 280.0
 
 
+def _split(docs: DataFrame, key: str) -> DataFrame:
+    """(key, page, n, text): pieces of lines, and the page that each stands on."""
+    lines = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{WIDTH}}}"), F.lit(0))).alias("n", "text"))
+    return lines.select(key, F.floor(F.col("n") / (LINES * COLUMNS)).alias("page"), "n", "text")
+
+
+def _put(lines: DataFrame, key: str) -> DataFrame:
+    slot = F.col("n") % (LINES * COLUMNS)
+    x0, y0 = LEFT + F.floor(slot / LINES) * APART, TOP + (slot % LINES) * LEADING
+    return lines.select(key, "page", slot.cast("long").alias("line"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + (F.length("text") - 1) * PITCH + BROAD).alias("x1"), (y0 + HIGH).alias("y1"))
+
+
 def typeset_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page, line, text, x0, y0, x1, y1): lines that are not empty, broken after WIDTH characters, down the columns of each page.
 
     A null or empty text has no lines.  Everything is a projection: a text's lines know their places.
     """
-    lines = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{WIDTH}}}"), F.lit(0))).alias("n", "text"))
-    slot = F.col("n") % (LINES * COLUMNS)
-    x0, y0 = LEFT + F.floor(slot / LINES) * APART, TOP + (slot % LINES) * LEADING
-    return lines.select(key, F.floor(F.col("n") / (LINES * COLUMNS)).alias("page"), slot.cast("long").alias("line"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + (F.length("text") - 1) * PITCH + BROAD).alias("x1"), (y0 + HIGH).alias("y1"))
+    return _put(_split(docs, key), key)
 
 
 def typeset(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, page, i, text, x0, y0, x1, y1): the characters of :func:`typeset_lines` but blanks, ``i`` in reading order."""
-    chars = typeset_lines(docs, key).select(key, "page", "line", "x0", "y0", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "text"))
+    """(key, page, i, text, x0, y0, x1, y1): the characters of :func:`typeset_lines` but blanks, ``i`` in reading order.
+
+    Lines are dealt by page before they fall apart: one shuffle of the text, none of its characters.
+    """
+    # Parts by the stored size of the texts, of which a line's characters take a hundred times as much.
+    lines = _put(dealt(_split(docs, key), key, "page", size_of=docs), key)
+    chars = lines.select(key, "page", "line", "x0", "y0", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "text"))
     x0 = F.col("x0") + F.col("k") * PITCH
     return chars.where(~F.col("text").isin(" ", "\t", "\r")).select(key, "page", (F.col("line") * WIDTH + F.col("k")).alias("i"), "text", x0.alias("x0"), "y0", (x0 + BROAD).alias("x1"), (F.col("y0") + HIGH).alias("y1"))
 

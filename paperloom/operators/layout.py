@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,11 @@ def word_breaks(glyphs: DataFrame, *line: str) -> DataFrame:
     spaceless, clustered, blank = _written(text, SPACELESS), _written(text, CLUSTERED), _blank(text)
     tight = (both(spaceless) & (gap < TIGHT * height)) | (either(clustered) & (gap < CLUSTER * height)) | either(blank)
     gaps = glyphs.withColumn("__g", gap).withColumn("__c", tight)
-    typical = gaps.groupBy(*line).agg(F.array_sort(F.collect_list("__g")).alias("g")).select(*line, F.coalesce(F.get("g", F.floor(F.size("g") / 3).cast("int")), F.lit(0.0)).alias("__t"))
+    # A third and a little: the value at n // 3 of the n sorted gaps.
+    typical = F.expr("percentile_disc(0.3333334) WITHIN GROUP (ORDER BY __g)").over(Window.partitionBy(*line))
+    told = gaps.withColumn("__t", F.coalesce(typical, F.lit(0.0)))
     wide = (F.col("__g") > F.greatest(F.col("__t"), F.lit(0.0)) + WORD * height) & ~F.col("__c")
-    told = gaps.join(typical, list(line)).withColumn("__w", F.coalesce(wide, F.lit(False)))
+    told = told.withColumn("__w", F.coalesce(wide, F.lit(False)))
     own = F.col("__w") & (F.col("i") > F.lag("i").over(w))
     left = F.lead("__w").over(w) & (F.col("i") > F.lead("i").over(w))
     return told.withColumn("space_before", F.coalesce(own, F.lit(False)) | F.coalesce(left, F.lit(False))).drop("__g", "__c", "__t", "__w")
@@ -86,36 +89,51 @@ def logical_order(glyphs: DataFrame, *line: str) -> DataFrame:
     return runs.withColumn("at", at.cast("long")).drop("__n", "__s", "__r", "__k")
 
 
-def _each_page(df: DataFrame, page: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
-    """(page…, schema) of ``fn`` over the rows of one page after the other: what it tells depends on the page's order.
+def _page_tables(df: DataFrame, page: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """(page…, schema) of ``fn`` over whole pages in order, with the places where pages begin: what it tells depends on the page's order.
 
-    Pages come sorted in Arrow batches, so a task holds one page at a time, whatever their number.
+    A window sorts the pages where they are, so rows that are dealt by page are not shuffled; a task holds
+    a batch and what it has seen of one page.
     """
     types = StructType([*(df.schema[p] for p in page), *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(types)
+    marked = df.withColumn("__first", F.row_number().over(Window.partitionBy(*page).orderBy(*order)) == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[dict]) -> list[tuple]:
-            head = tuple(rows[0][p] for p in page)
-            return [(*head, *r) for r in fn(rows)]
-
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        held: list[dict] = []
+        def told(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            if not whole.num_rows:
+                return []
+            first = whole["__first"].to_numpy()
+            return fn(whole.drop_columns("__first"), np.flatnonzero(first)).select(arrow.names).cast(arrow).to_batches()
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                if held and any(row[p] != held[0][p] for p in page):
-                    out += told(held)
-                    held = []
-                held.append(row)
-            yield packed(out)
+            first = np.flatnonzero(batch.column(batch.schema.get_field_index("__first")).to_numpy(zero_copy_only=False))
+            if len(first):
+                yield from told([*held, batch.slice(0, int(first[-1]))])
+                held = [batch.slice(int(first[-1]))]
+            else:
+                held.append(batch)
         if held:
-            yield packed(told(held))
+            yield from told(held)
+
+    return marked.mapInArrow(run, types)
+
+
+def _each_page(df: DataFrame, page: list[str], order: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """:func:`_page_tables` of ``fn`` over the rows of one page after the other."""
+    types = to_arrow_schema(StructType([*(df.schema[p] for p in page), *_parse_datatype_string(schema).fields]))
 
-    return df.repartition(*page).sortWithinPartitions(*page).mapInArrow(run, types)
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        rows, out = table.to_pylist(), []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            head = tuple(rows[a][p] for p in page)
+            out += [(*head, *r) for r in fn(rows[a:b])]
+        columns = zip(*out, strict=True) if out else [()] * len(types)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+
+    return _page_tables(df, page, order, run, schema)
 
 
 def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
@@ -123,7 +141,7 @@ def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
 
     def run(rows: list[dict]) -> list[tuple]:
         out, first_gap, last = [], None, None
-        for r in sorted(rows, key=itemgetter("line")):
+        for r in rows:
             gap = r["y0"] - last["y0"] if last else None
             goes_on = (
                 last is not None
@@ -142,7 +160,7 @@ def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
             last = r
         return list(enumerate(out))
 
-    return _each_page(lines, page, run, "para long, text string")
+    return _each_page(lines, page, ["line"], run, "para long, text string")
 
 
 #: How many characters back a redrawn one is looked for, and how far it may be off, in heights (fixed values).
@@ -152,17 +170,29 @@ BACK, OFF = 4, 0.2
 def without_doubles(glyphs: DataFrame, page: list[str]) -> DataFrame:
     """(page…, i, text, x0, y0, x1, y1) of the glyphs that are not drawn a second time to look bold: the same text, close to one of the last four before it that stays."""
 
-    def run(rows: list[dict]) -> list[tuple]:
-        kept, last = [], []
-        for r in sorted(rows, key=itemgetter("i")):
-            near = max(r["y1"] - r["y0"], 0.1) * OFF
-            again = any(stays and p["text"] == r["text"] and abs(p["x0"] - r["x0"]) < near and abs(p["y0"] - r["y0"]) < near for p, stays in last[-BACK:])
-            last = [*last[-BACK:], (r, not again)]
-            if not again:
-                kept.append((r["i"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"]))
-        return kept
-
-    return _each_page(glyphs, page, run, "i long, text string, x0 double, y0 double, x1 double, y1 double")
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        here = np.arange(table.num_rows)
+        begun = np.repeat(starts, np.diff(np.r_[starts, table.num_rows]))
+        text = table["text"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        x0, y0, y1 = (table[c].to_numpy() for c in ("x0", "y0", "y1"))
+        near = np.maximum(y1 - y0, 0.1) * OFF
+        pairs = []
+        for back in range(1, BACK + 1):
+            at = np.flatnonzero(here - back >= begun)
+            was = at - back
+            at = at[(text[at] == text[was]) & (np.abs(x0[at] - x0[was]) < near[at]) & (np.abs(y0[at] - y0[was]) < near[at])]
+            pairs.append((at, at - back))
+        at, was = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        # What stays is told from the front: each turn settles those whose doubles are settled.
+        stays = np.ones(table.num_rows, bool)
+        while True:
+            now = np.ones(table.num_rows, bool)
+            now[at[stays[was]]] = False
+            if (now == stays).all():
+                return table.filter(pa.array(stays))
+            stays = now
+
+    return _page_tables(glyphs, page, ["i"], run, "i long, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def headings(lines: DataFrame, body: DataFrame, key: str) -> DataFrame:
@@ -177,24 +207,32 @@ def tab_order(fields: DataFrame, page: list[str], mode: str = "row") -> DataFram
     """(page…, name, rank): rows group by the top edge within half the height of their first member (2 points at least), columns by the left edge."""
     major, minor, far = ("y0", "x0", "y1") if mode == "row" else ("x0", "y0", "x1")
 
-    def run(rows: list[dict]) -> list[tuple]:
-        groups: list[list] = []
-        for r in sorted(rows, key=itemgetter(major, minor)):
-            lead = groups[-1][0] if groups else None
-            if lead is not None and r[major] - lead[major] <= max(2.0, (lead[far] - lead[major]) / 2):
-                groups[-1].append(r)
-            else:
-                groups.append([r])
-        return [(r["name"], i) for i, r in enumerate(r for g in groups for r in sorted(g, key=itemgetter(minor)))]
-
-    return _each_page(fields, page, run, "name string, rank long")
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        top, side, end = (table[c].to_numpy() for c in (major, minor, far))
+        sizes = np.diff(np.r_[starts, table.num_rows])
+        longest = np.argsort(-sizes, kind="stable")
+        starts, waiting = starts[longest], np.searchsorted(-sizes[longest], -np.arange(sizes.max()), side="left")
+        group, lead = np.zeros(table.num_rows, np.int64), starts.copy()
+        for k, n in enumerate(waiting.tolist()):  # the fields at one place of all pages that have so many
+            at, led = starts[:n] + k, lead[:n]
+            fresh = top[at] - top[led] > np.maximum(2.0, (end[led] - top[led]) / 2)
+            group[at] = fresh
+            led[fresh] = at[fresh]
+        first = np.zeros(table.num_rows, np.int64)
+        first[starts] = 1
+        group = np.cumsum(group | first)
+        order = np.lexsort((side, group))
+        rank = np.arange(table.num_rows) - np.maximum.accumulate(np.where(first == 1, np.arange(table.num_rows), 0))
+        return table.take(pa.array(order)).append_column("rank", pa.array(rank))
+
+    return _page_tables(fields, page, [major, minor], run, "name string, rank long")
 
 
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     """(page…, block, rank): the topmost block left, or a left neighbour that overlaps it by over half its height."""
 
     def run(rows: list[dict]) -> list[tuple]:
-        left, order = sorted(rows, key=itemgetter("y0", "x0")), []
+        left, order = rows, []
         while left:
             pick = left[0]
             while beside := [r for r in left if r["x1"] <= pick["x0"] and min(r["y1"], pick["y1"]) - max(r["y0"], pick["y0"]) > 0.5 * min(r["y1"] - r["y0"], pick["y1"] - pick["y0"])]:
@@ -203,7 +241,7 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
             left.remove(pick)
         return [(b, i) for i, b in enumerate(order)]
 
-    return _each_page(blocks, page, run, "block long, rank long")
+    return _each_page(blocks, page, ["y0", "x0"], run, "block long, rank long")
 
 
 #: How far to the left and above a label is looked for (fixed values).
@@ -225,7 +263,7 @@ def field_labels(boxes: DataFrame, words: DataFrame) -> DataFrame:
     by_left = chain.groupBy("page", "box").agg(F.array_join(F.array_sort(F.collect_list(F.struct("wx0", "text")))["text"], " ").alias("left"))
     above = near.where((F.col("wy1") <= F.col("y0")) & (F.col("y0") - F.col("wy1") < RISE) & (F.col("wx0") < F.col("x1")) & (F.col("wx1") > F.col("x0")))
     by_above = above.groupBy("page", "box").agg(F.array_join(F.array_sort(F.collect_list(F.struct("wy0", "wx0", "text")))["text"], " ").alias("above"))
-    return boxes.select("page", "box").join(by_left, ["page", "box"], "left").join(by_above, ["page", "box"], "left").select("page", "box", F.coalesce("left", "above").alias("label"))
+    return boxes.select("page", "box").join(by_left.hint("merge"), ["page", "box"], "left").join(by_above.hint("merge"), ["page", "box"], "left").select("page", "box", F.coalesce("left", "above").alias("label"))
 
 
 def words(glyphs: DataFrame, *line: str, order: str = "i") -> DataFrame:
@@ -245,7 +283,7 @@ STEEP = 3.0
 def nearest_glyph(glyphs: DataFrame, points: DataFrame, page: list[str] | None = None) -> DataFrame:
     """(page…, point, i): the glyph whose box is nearest to each point (page…, point, x, y), across plus three times up or down; the first of equals."""
     page = page or ["page"]
-    near = glyphs.join(points, page)
+    near = glyphs.join(points.hint("merge"), page)
     outside = lambda low, p, high: F.greatest(F.col(low) - F.col(p), F.col(p) - F.col(high), F.lit(0.0))
     away = outside("x0", "x", "x1") + STEEP * outside("y0", "y", "y1")
     return near.groupBy(*page, "point").agg(F.min_by("i", F.struct(away.alias("d"), F.col("i"))).alias("i"))
@@ -266,7 +304,7 @@ def around_glyph(words_of: DataFrame, picks: DataFrame, page: list[str]) -> Data
     joins_right = F.col("blank") & ~F.lead("space_before").over(order) & ~F.lead("blank").over(order)
     first = F.when(joins_left, F.lag("word_first").over(order)).otherwise(F.col("word_first")).alias("word_first")
     last = F.when(joins_right, F.lead("word_last").over(order)).otherwise(F.col("word_last")).alias("word_last")
-    return picks.select(*page, "pick", "i").join(told.select(*page, "i", first, last, "line_first", "line_last"), [*page, "i"]).drop("i")
+    return picks.select(*page, "pick", "i").hint("merge").join(told.select(*page, "i", first, last, "line_first", "line_last"), [*page, "i"]).drop("i")
 
 
 def picked_boxes(glyphs: DataFrame, picks: DataFrame, page: list[str]) -> DataFrame:
@@ -274,7 +312,7 @@ def picked_boxes(glyphs: DataFrame, picks: DataFrame, page: list[str]) -> DataFr
 
     ``glyphs`` has page…, i, line and the corners; ``i`` counts without holes over those that a run goes over.
     """
-    chosen = glyphs.select(*page, "i", "line", *CORNERS).join(picks.select(*page, "pick", "i").distinct(), [*page, "i"])
+    chosen = glyphs.select(*page, "i", "line", *CORNERS).join(picks.select(*page, "pick", "i").distinct().hint("merge"), [*page, "i"])
     key = [*page, "pick", "line"]
     run = (F.col("i") - F.row_number().over(Window.partitionBy(*key).orderBy("i"))).alias("run")
     union = [F.min("i").alias("first"), F.max("i").alias("last"), *(f(c).alias(c) for c, f in zip(CORNERS, (F.min, F.min, F.max, F.max), strict=True))]
