@@ -36,7 +36,8 @@ def met(left: DataFrame, right: DataFrame, page: list[str], slack: float = 0.0,
     """Rows of both sides whose boxes share more than ``slack`` either way; the right side's other columns get the prefix ``r_``."""
     a = _cells(_sound(left), side)
     b = _sound(right).select(*page, *(F.col(c).alias("r_" + c) for c in right.columns if c not in page))
-    both = a.join(_cells(b, side, "r_"), [*page, "__cx", "__cy"])
+    # What falls apart into cells is larger than its size check says, so neither side is sent whole.
+    both = a.hint("merge").join(_cells(b, side, "r_"), [*page, "__cx", "__cy"])
     low = {c: F.greatest(F.col(c), F.col("r_" + c)) for c in ("x0", "y0")}
     high = {c: F.least(F.col(c), F.col("r_" + c)) for c in ("x1", "y1")}
     shared = (high["x1"] - low["x0"] > slack) & (high["y1"] - low["y0"] > slack)
@@ -58,7 +59,7 @@ def centred_in(glyphs: DataFrame, boxes: DataFrame, page: list[str], side: float
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     placed = glyphs.withColumn("__cx", _cell(x, side)).withColumn("__cy", _cell(y, side))
     cells = _cells(_sound(boxes).select(*page, F.col("id").alias("box"), *(F.col(c).alias("b" + c) for c in CORNERS)), side, "b")
-    met = placed.join(cells, [*page, "__cx", "__cy"])
+    met = placed.join(cells.hint("merge"), [*page, "__cx", "__cy"])
     return met.where(x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))).select(*glyphs.columns, "box")
 
 
