@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 UNICODE_SPACE = r"[\s\x{85}\p{Z}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often it is used there: columns alone would repeat it at each use, and what is nested multiplies."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
@@ -27,10 +34,13 @@ def to_num(text: Column) -> Column:
 
 def num_text(number: Column) -> Column:
     """A number as printed: whole numbers without a fraction, else up to 12 decimals without trailing zeros."""
-    whole = (F.floor(number) == number) & (F.abs(number) < 1e15)
-    decimals = F.regexp_replace(F.format_string("%.12f", number), r"\.?0+$", "")
-    shown = F.when(decimals.isin("", "-0"), "0").otherwise(decimals)
-    return F.when(F.isnan(number), "NaN").when(F.abs(number) == float("inf"), F.when(number > 0, "Infinity").otherwise("-Infinity")).when(whole, number.cast("long").cast("string")).otherwise(shown)
+
+    def shown(n: Column) -> Column:
+        whole = (F.floor(n) == n) & (F.abs(n) < 1e15)
+        decimals = let(F.regexp_replace(F.format_string("%.12f", n), r"\.?0+$", ""), lambda d: F.when(d.isin("", "-0"), "0").otherwise(d))
+        return F.when(F.isnan(n), "NaN").when(F.abs(n) == float("inf"), F.when(n > 0, "Infinity").otherwise("-Infinity")).when(whole, n.cast("long").cast("string")).otherwise(decimals)
+
+    return let(number, shown)
 
 
 def is_blank(text: Column) -> Column:
@@ -75,19 +85,24 @@ def either(a: Column, b: Column) -> Column:
 
 def make_number(text: Column) -> Column:
     """A number from typed text, null for none: currency signs, spaces and % fall away, parentheses negate, a last comma may be the decimal sign."""
-    bare = F.regexp_replace(text, r"[\s\x{85}\p{Z}$€£¥'%]", "")
-    negative = bare.startswith("(") & bare.endswith(")")
-    inner = F.regexp_replace(bare, r"^\(+|\)+$", "")
-    comma = F.length(inner) - F.instr(F.reverse(inner), ",") + 1
-    point = F.length(inner) - F.instr(F.reverse(inner), ".") + 1
-    has_comma, has_point = F.instr(inner, ",") > 0, F.instr(inner, ".") > 0
-    plain = (
-        F.when(has_comma & has_point & (comma > point), F.translate(F.translate(inner, ".", ""), ",", "."))
-        .when(has_comma & ~has_point & (F.length(inner) - comma != 3), F.translate(inner, ",", "."))
-        .otherwise(F.translate(inner, ",", ""))
-    )
-    value = F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
-    return F.when(F.abs(value) == float("inf"), None).when(negative, -value).otherwise(value)
+
+    def plain(inner: Column) -> Column:
+        comma = F.length(inner) - F.instr(F.reverse(inner), ",") + 1
+        point = F.length(inner) - F.instr(F.reverse(inner), ".") + 1
+        has_comma, has_point = F.instr(inner, ",") > 0, F.instr(inner, ".") > 0
+        return (
+            F.when(has_comma & has_point & (comma > point), F.translate(F.translate(inner, ".", ""), ",", "."))
+            .when(has_comma & ~has_point & (F.length(inner) - comma != 3), F.translate(inner, ",", "."))
+            .otherwise(F.translate(inner, ",", ""))
+        )
+
+    def signed(bare: Column) -> Column:
+        negative = bare.startswith("(") & bare.endswith(")")
+        digits = let(F.regexp_replace(bare, r"^\(+|\)+$", ""), plain)
+        value = let(digits, lambda d: F.when(d.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), d.try_cast("double")))
+        return let(value, lambda v: F.when(F.abs(v) == float("inf"), None).when(negative, -v).otherwise(v))
+
+    return let(F.regexp_replace(text, r"[\s\x{85}\p{Z}$€£¥'%]", ""), signed)
 
 
 def round_half_away(number: Column, places: int | Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.coerce import make_number, num_text, strip
+from paperloom.functions.coerce import let, make_number, num_text, strip
 from paperloom.functions.formcalc import MONTHS
 
 # The numbered date and time presets, and the days' names.
@@ -27,35 +27,42 @@ def parse_date(text: Column, picture: str) -> Column:
 
     Null for blank text, numbers too many or missing, and days that do not exist.  Two-digit years turn at 50, a missing year is 2000.
     """
-    t = F.lower(strip(text))
-    numbers = F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))
-    names = F.filter(F.regexp_extract_all(t, F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.exists(F.array(*(F.lit(m.lower()) for m in MONTHS)), lambda m: F.startswith(m, w)))
-    named = F.get(names, F.lit(0))
-    month = F.array_position(F.transform(F.array(*(F.lit(m.lower()) for m in MONTHS)), lambda m: F.startswith(m, named)), True).cast("int")
+    months = F.array(*(F.lit(m.lower()) for m in MONTHS))
     kinds = list(dict.fromkeys(r[0].replace("h", "H") for r in _runs(picture) if r[0] in "ymdHhMs"))
-    at, found = F.lit(0), {}
-    needed = F.lit(True)
-    for k in kinds:
-        value = F.get(numbers, at).try_cast("int")
-        if k == "m":
-            found[k] = F.when(named.isNotNull(), month).otherwise(value)
-            at = at + F.when(named.isNotNull(), 0).otherwise(1)
-        else:
-            found[k] = value
-            at = at + 1
-        if k in "ymd":
-            needed &= found[k].isNotNull()
-    year = found.get("y", F.lit(2000))
-    year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    hour = F.coalesce(found.get("H", F.lit(0)), F.lit(0))
-    pm, am = t.contains("pm") | t.endswith("p"), t.contains("am")
-    hour = F.when(pm & (hour < 12), hour + 12).when(am & (hour == 12), 0).otherwise(hour)
-    shown = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, found.get("m", F.lit(1)), found.get("d", F.lit(1)), hour, F.coalesce(found.get("M", F.lit(0)), F.lit(0)), F.coalesce(found.get("s", F.lit(0)), F.lit(0)))
-    return F.when((t != "") & needed & (F.size(numbers) <= at), F.try_to_timestamp(shown, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    def parts(t: Column) -> Column:
+        names = F.filter(F.regexp_extract_all(t, F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.exists(months, lambda m: F.startswith(m, w)))
+        month = let(F.get(names, F.lit(0)), lambda named: F.when(named.isNotNull(), F.array_position(F.transform(months, lambda m: F.startswith(m, named)), True).cast("int")))
+        return F.struct(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)).alias("numbers"), month.alias("month"), t.alias("t"))
+
+    def read(p: Column) -> Column:
+        numbers, month, t = p["numbers"], p["month"], p["t"]
+        at, found, needed = F.lit(0), {}, F.lit(True)
+        for k in kinds:
+            value = F.get(numbers, at).try_cast("int")
+            if k == "m":
+                found[k] = F.coalesce(month, value)
+                at = at + F.when(month.isNotNull(), 0).otherwise(1)
+            else:
+                found[k] = value
+                at = at + 1
+            if k in "ymd":
+                needed &= found[k].isNotNull()
+        year = let(found.get("y", F.lit(2000)), lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y))
+        pm, am = t.contains("pm") | t.endswith("p"), t.contains("am")
+        hour = let(F.coalesce(found.get("H", F.lit(0)), F.lit(0)), lambda h: F.when(pm & (h < 12), h + 12).when(am & (h == 12), 0).otherwise(h))
+        shown = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, found.get("m", F.lit(1)), found.get("d", F.lit(1)), hour, F.coalesce(found.get("M", F.lit(0)), F.lit(0)), F.coalesce(found.get("s", F.lit(0)), F.lit(0)))
+        return F.when((t != "") & needed & (F.size(numbers) <= at), F.try_to_timestamp(shown, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    return let(F.lower(strip(text)), lambda t: let(parts(t), read))
 
 
 def format_date(ts: Column, picture: str) -> Column:
     """An instant by y, m, d, H, h, M, s and t runs; a backslash takes the next character as it is."""
+    return let(ts, lambda at: _shown(at, picture))
+
+
+def _shown(ts: Column, picture: str) -> Column:
     parts, i = [], 0
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     by_size = lambda c, n: two(c) if n == 2 else c.cast("string")
@@ -93,10 +100,11 @@ def reformat_date(text: Column, picture: str) -> Column:
 
 def keystroke(text: Column, kind: str, picture: str = "", field: str = "") -> Column:
     """struct(value, error): the value a field keeps, or why not; blank is always kept as empty."""
-    kept = {"number": num_text(make_number(text)), "percent": num_text(make_number(text)), "date": F.when(parse_date(text, picture).isNotNull(), strip(text))}.get(kind, text)
+    number = let(make_number(text), lambda n: F.when(n.isNotNull(), num_text(n)))
+    kept = {"number": number, "percent": number, "date": F.when(parse_date(text, picture).isNotNull(), strip(text))}.get(kind, text)
     blank = F.coalesce(strip(text) == "", F.lit(True))
-    value = F.when(blank, "").otherwise(kept)
-    return F.struct(value.alias("value"), F.when(value.isNull(), F.lit(f"the value does not fit the format of {field or 'the field'}")).alias("error"))
+    unfit = F.lit(f"the value does not fit the format of {field or 'the field'}")
+    return let(F.when(blank, "").otherwise(kept), lambda value: F.struct(value.alias("value"), F.when(value.isNull(), unfit).alias("error")))
 
 
 _PRINT = re.compile(r"%%|%(?:,(\d))?([+ 0#]*)(\d*)(?:\.(\d+))?([a-zA-Z])")
