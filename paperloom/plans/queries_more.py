@@ -20,8 +20,8 @@ QUERIES, ORACLE_SQL = query.queries, query.oracles
 @query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ts, strftime(o_orderdate, '%A %-d %B %Y') AS long, strftime(o_orderdate, '%-m/%-d/%y') AS short FROM orders")
 def field_dates(t):
     typed = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.concat(F.date_format("o_orderdate", "MMMM"), F.lit(" "), F.date_format("o_orderdate", "d"), F.lit(" '"), F.date_format("o_orderdate", "yy")))
-    ts = parse_date(typed, "m/d/yyyy")
-    return t("orders").select("o_orderkey", ts.alias("ts"), format_date(ts, "dddd d mmmm yyyy").alias("long"), format_date(ts, "m/d/yy").alias("short"))
+    read = t("orders").select("o_orderkey", parse_date(typed, "m/d/yyyy").alias("ts"))
+    return read.select("o_orderkey", "ts", format_date(F.col("ts"), "dddd d mmmm yyyy").alias("long"), format_date(F.col("ts"), "m/d/yy").alias("short"))
 
 
 @query("SELECT s_suppkey, (CASE WHEN x < 0 THEN '-' ELSE '+' END) || format('{:,.2f}', abs(x)) || ' of ' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS shown FROM (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS x FROM supplier)")
