@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.coerce import let
+
 #: Languages of month and day names (fixed values), longest pattern (fixed value), first year of two digits that is of the last century.
 LANGUAGES = ("en", "ja", "zh-hans", "zh-hant", "cs", "pt-br", "de", "es", "fr", "ru", "bg", "te", "hu", "uk", "it", "ar", "pl")
 LONGEST, CENTURY = 64, 50
@@ -98,17 +100,20 @@ def parse_iso(text: Column, pattern: str, said: Names) -> Column:
             at[kind] = (len(at) + 1, n, values)
     if set(at) != {"y", "m", "d"}:
         return F.lit(None).cast("string")
-    seen = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    fits = seen.rlike(f"^(?:{regex})$")
-    part = lambda kind: F.regexp_extract(seen, f"^(?:{regex})$", at[kind][0])
-    year = part("y").try_cast("int")
-    if at["y"][1] < 4:
-        year = F.when(year < CENTURY, year + 2000).otherwise(year + 1900)
-    values = at["m"][2]
-    month = F.array_position(F.array(*map(F.lit, values)), part("m")).cast("int") if values else part("m").try_cast("int")
-    date = part("d").try_cast("int")
-    ok = fits & month.between(1, 12) & date.between(1, 31)
-    return F.when(ok, F.format_string("%04d-%02d-%02d", year, month, date))
+
+    def read(seen: Column) -> Column:
+        fits = seen.rlike(f"^(?:{regex})$")
+        part = lambda kind: F.regexp_extract(seen, f"^(?:{regex})$", at[kind][0])
+        year = part("y").try_cast("int")
+        if at["y"][1] < 4:
+            year = let(year, lambda y: F.when(y < CENTURY, y + 2000).otherwise(y + 1900))
+        values = at["m"][2]
+        month = F.array_position(F.array(*map(F.lit, values)), part("m")).cast("int") if values else part("m").try_cast("int")
+        parts = F.struct(month.alias("month"), part("d").try_cast("int").alias("date"))
+        shown = let(parts, lambda p: F.when(p["month"].between(1, 12) & p["date"].between(1, 31), F.format_string("%04d-%02d-%02d", year, p["month"], p["date"])))
+        return F.when(fits, shown)
+
+    return let(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), read)
 
 
 def parse_day(text: Column, pattern: str, said: Names) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from paperloom.functions import days
 from paperloom.plans.register import Register
+from paperloom.sources.storage import dealt
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.oracles
@@ -24,16 +23,17 @@ _CZECH = ["ledna", "února", "března", "dubna", "května", "června", "červenc
     name="date_languages",
 )
 def _date_languages(t):
-    """Every order's date written out in every language, and read again."""
+    """Every order's date written out in every language, and read again: each day once, then joined with the orders of that day."""
     orders = t("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
     def one(lang: str):
         said = days.names(orders.sparkSession, lang)
         long, short = days.format_day(F.col("day"), LONG, said), days.format_day(F.col("day"), SHORT, said)
         shown = long if lang in ("en", "cs") else F.lit(None).cast("string")
-        return orders.select("o_orderkey", F.lit(lang).alias("lang"), days.parse_iso(long, LONG, said).alias("long_back"), days.parse_day(short, SHORT, said).cast("string").alias("short_back"), shown.alias("shown"))
+        return F.struct(F.lit(lang).alias("lang"), days.parse_iso(long, LONG, said).alias("long_back"), days.parse_day(short, SHORT, said).cast("string").alias("short_back"), shown.alias("shown"))
 
-    return reduce(lambda a, b: a.unionByName(b), map(one, days.LANGUAGES))
+    told = dealt(orders.select("day").distinct(), "day").select(F.col("day").alias("__day"), F.array(*map(one, days.LANGUAGES)).alias("said"))
+    return orders.join(told, F.col("day").eqNullSafe(F.col("__day"))).select("o_orderkey", F.explode_outer("said").alias("s")).select("o_orderkey", "s.*")
 
 
 #: Patterns and what is wrong with them.
