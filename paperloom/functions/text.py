@@ -91,11 +91,21 @@ _REGEX = {"email": EMAIL, "card": CARD, "ssn": SSN, "date": DATE, "phone": PHONE
 _CHECKS = {"card": lambda x: F.call_function("luhn_check", _digits(x)), "phone": phone_like}
 
 
-def pieces(text: Column, kind: str) -> Column:
-    """The text cut at every match of a pattern: (text, hit) in order, so that all of them joined are the text; ``hit`` is personal data."""
-    between, found = F.split(text, _REGEX[kind], -1), F.regexp_extract_all(text, F.lit(_REGEX[kind]), F.lit(0))
-    check = _CHECKS.get(kind, lambda x: F.lit(True))
-    pair = F.transform(F.arrays_zip(between.alias("b"), found.alias("f")), lambda z: F.array(F.struct(z["b"].alias("text"), F.lit(False).alias("hit")), F.struct(z["f"].alias("text"), F.coalesce(check(z["f"]), F.lit(False)).alias("hit"))))
+def candidates(text: Column, kind: str) -> Column:
+    """Every match of a kind's pattern; a text without the sign that all of its matches have is not searched."""
+    found = F.regexp_extract_all(text, F.lit(_REGEX[kind]), F.lit(0))
+    return F.when(text.contains("@") if kind == "email" else text.rlike("[0-9]"), found).otherwise(F.array().cast("array<string>"))
+
+
+def real(kind: str, candidate: Column) -> Column:
+    """Whether a match of a kind's pattern is personal data."""
+    return F.coalesce(_CHECKS.get(kind, lambda x: F.lit(True))(candidate), F.lit(False))
+
+
+def pieces(text: Column, kind: str, found: Column | None = None) -> Column:
+    """The text cut at every match of a pattern (``found``, if they are known): (text, hit) in order, so that all of them joined are the text; ``hit`` is personal data."""
+    between, found = F.split(text, _REGEX[kind], -1), candidates(text, kind) if found is None else found
+    pair = F.transform(F.arrays_zip(between.alias("b"), found.alias("f")), lambda z: F.array(F.struct(z["b"].alias("text"), F.lit(False).alias("hit")), F.struct(z["f"].alias("text"), real(kind, z["f"]).alias("hit"))))
     return F.filter(F.flatten(pair), lambda p: F.coalesce(p["text"], F.lit("")) != "")
 
 

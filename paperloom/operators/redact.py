@@ -2,36 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.coerce import UNICODE_SPACE
-from paperloom.functions.text import PATTERNS, collapsed, pieces
+from paperloom.functions.coerce import UNICODE_SPACE, let
+from paperloom.functions.text import PATTERNS, candidates, collapsed, pieces, real
 
 MARK = "█"
 
 
+_FOUND = "array<struct<kind:string,start:bigint,end:bigint,hit:string>>"
+
+
+def _placed(cut: Column, runs: Column, kind: str) -> Column:
+    """The hits among the pieces of a text with single spaces, with their places in the text as it is; ``runs`` has what each space stands for beyond one character."""
+
+    def onward(s: Column, p: Column) -> Column:
+        chars, blanks = F.length(p["text"]), F.length(p["text"]) - F.length(F.replace(p["text"], F.lit(" "), F.lit("")))
+        step = F.struct((s["at"] + chars + F.aggregate(F.slice(runs, s["k"] + 1, blanks), F.lit(0), lambda n, x: n + x)).alias("at"), (s["k"] + blanks).alias("k"))
+        hit = lambda e: F.struct(F.lit(kind).alias("kind"), s["at"].alias("start"), e["at"].alias("end"), p["text"].alias("hit"))
+        return let(step, lambda e: F.struct(e["at"].alias("at"), e["k"].alias("k"), F.when(p["hit"], F.array_append(s["out"], hit(e))).otherwise(s["out"]).alias("out")))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast(_FOUND).alias("out"))
+    return F.aggregate(cut, begin, onward, lambda s: s["out"])
+
+
 def spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), key: str = "doc_id") -> DataFrame:
     """(key, kind, start, end, hit) of personal data in (key, text) rows, in characters of the text as it is.
 
     Patterns see white space as one space, as they do in :func:`pii_hits`; places are those of the whole
-    text.  ``key`` is unique.  A null text has none.
+    text.  A null text has none.  Everything is a projection: a text is read once for each pattern, and
+    cut only where it has hits.
     """
-    seen = docs.where("text is not null").select(F.col(key), collapsed(F.col("text")).alias("__seen"), F.transform(F.regexp_extract_all("text", F.lit(f"{UNICODE_SPACE}+"), F.lit(0)), lambda x: F.length(x) - 1).alias("__runs"))
-    out = None
-    for kind in kinds:
-        cut = pieces(F.col("__seen"), kind)
-        rows = seen.select(key, "__runs", cut.alias("__cut")).where(F.exists("__cut", lambda p: p["hit"]))
-        each = rows.select(key, "__runs", F.posexplode("__cut").alias("i", "p"))
-        chars, blanks = F.length("p.text"), F.length("p.text") - F.length(F.replace("p.text", F.lit(" "), F.lit("")))
-        before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-        placed = each.withColumn("a", F.coalesce(F.sum(chars).over(before), F.lit(0))).withColumn("k", F.coalesce(F.sum(blanks).over(before), F.lit(0))).where("p.hit")
-        longer = lambda n: F.aggregate(F.slice("__runs", F.lit(1), n.cast("int")), F.lit(0), lambda s, x: s + x)
-        found = placed.select(
-            key, F.lit(kind).alias("kind"), (F.col("a") + longer(F.col("k"))).cast("long").alias("start"), (F.col("a") + chars + longer(F.col("k") + blanks)).cast("long").alias("end"), F.col("p.text").alias("hit")
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def of_kind(seen: Column, kind: str) -> Column:
+        runs = F.when(F.length(seen) < F.length("text"), F.transform(F.regexp_extract_all("text", F.lit(f"{UNICODE_SPACE}+"), F.lit(0)), lambda x: F.length(x) - 1)).otherwise(F.array().cast("array<int>"))
+        placed = lambda found: let(runs, lambda r: _placed(pieces(seen, kind, found), r, kind))
+        return let(candidates(seen, kind), lambda found: F.when(F.exists(found, lambda x: real(kind, x)), placed(found)).otherwise(F.array().cast(_FOUND)))
+
+    found = let(collapsed(F.col("text")), lambda seen: F.concat(*(of_kind(seen, kind) for kind in kinds)))
+    # An outer explode, so that no filter on what it takes searches the texts a second time.
+    each = docs.where("text is not null").select(key, F.explode_outer(found).alias("__f")).where("__f is not null")
+    return each.select(key, "__f.kind", "__f.start", "__f.end", "__f.hit")
 
 
 def marks(found: DataFrame, key: str = "doc_id") -> DataFrame:
