@@ -11,7 +11,7 @@ from paperloom.operators.compare import change_counts, dedupe, patched, word_cha
 from paperloom.operators.rules import Rule, category_counts, findings, rule_report, shown_findings, status_counts
 from paperloom.operators.text import catalog_search, phrase_counts as count_phrases, pii_hits, text_extract, text_find, text_find_limit, word_list
 from paperloom.plans.register import Register
-from paperloom.sources.storage import written
+from paperloom.sources.storage import dealt, written
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.oracles
@@ -246,9 +246,12 @@ def _word_diff(t):
 
 
 def _neighbours(t):
-    """Each document and the one before it from the same source, by id: whole texts."""
-    before = Window.partitionBy("source").orderBy("doc_id")
-    return t("documents").select(F.col("doc_id").alias("pair"), F.lag("text").over(before).alias("old"), F.col("text").alias("new"))
+    """Each document and the one before it from the same source, by id: whole texts.  Ids alone are ordered by source; texts are joined to them."""
+    docs = t("documents")
+    ids = docs.select(F.col("doc_id").alias("pair"), F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("__before"))
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    new = ids.join(texts, F.col("pair") == F.col("__id")).select("pair", "__before", F.col("__text").alias("new"))
+    return new.join(texts, F.col("__before") == F.col("__id"), "left").select("pair", F.col("__text").alias("old"), "new")
 
 
 _WORDS = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda w: w <> ''), ' ')"
@@ -257,7 +260,7 @@ _WORDS = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''),
 @query(f"SELECT doc_id AS pair, {_WORDS} AS forth, lag({_WORDS}, 1, '') OVER (PARTITION BY source ORDER BY doc_id) AS back FROM documents", name="word_diff_rebuilt")
 def _word_diff_rebuilt(t):
     """The changes between long texts make either side out of the other."""
-    pairs = _neighbours(t)
+    pairs = written(dealt(_neighbours(t), "pair"), "pairs")
     changes = written(word_changes(pairs), "changes")
     forth = patched(pairs.select("pair", F.col("old").alias("text")), changes)
     back = patched(pairs.select("pair", F.col("new").alias("text")), changes, back=True)
