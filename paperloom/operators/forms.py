@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.sources.storage import written
-
+from paperloom.functions.coerce import let
 from paperloom.functions.text import truth
+from paperloom.sources.storage import written
 
 
 def from_json(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -73,13 +73,47 @@ def tsv_text(text: Column) -> Column:
     return F.regexp_replace(text, r"[\t\r\n]", " ")
 
 
+#: Fields of a document at most that are put in order in its own row (fixed value); larger documents are peeled in rounds.
+TOGETHER = 64
+
+
 def calculation_levels(fields: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, name, level) of fields (doc, name, uses: names): those of level 0 use no field, others come after the last of theirs.
 
     A field in a cycle, or that needs one that is, has no level.  Names that are no field of the document, and a null
-    ``uses``, count for nothing.  Levels are peeled off one after the other, each written, so there are as many rounds as
-    levels and a plan holds two joins.
+    ``uses``, count for nothing.  Documents of TOGETHER rows at most are gathered once, each in a row; of larger ones
+    nothing is gathered.
     """
+    large = written(fields.groupBy(F.col(doc).alias("__doc")).agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("__doc"), "large")
+    if large.isEmpty():
+        return _levels_in_rows(fields, doc)
+    at = F.col(doc).eqNullSafe(F.col("__doc"))
+    return _levels_in_rows(fields.join(large, at, "left_anti"), doc).unionByName(_levels_in_rounds(fields.join(large, at, "left_semi"), doc))
+
+
+def _levels_in_rows(fields: DataFrame, doc: str) -> DataFrame:
+    """Levels within arrays: each step takes away the names that no use holds back."""
+    name = lambda x: F.struct(x["name"].alias("name"))
+    level = lambda x, n: F.struct(x["name"].alias("name"), n.cast("long").alias("level"))
+    uses = F.when(F.col(doc).isNotNull(), F.col("uses"))
+    field = F.struct("name", F.filter(F.coalesce(uses, F.array().cast("array<string>")), lambda u: u.isNotNull()).alias("uses"))
+    start = F.struct(F.lit(0).cast("long").alias("level"), F.array().cast(f"array<struct<name:{fields.schema['name'].dataType.simpleString()},level:bigint>>").alias("done"), F.col("rest"))
+
+    def step(s: Column, _: Column) -> Column:
+        held = let(s["rest"]["name"], lambda names: F.transform(F.filter(s["rest"], lambda x: F.arrays_overlap(x["uses"], names)), name))
+        return let(held, lambda h: F.struct(
+            (s["level"] + 1).alias("level"),
+            F.concat(s["done"], F.transform(F.filter(s["rest"], lambda x: ~F.array_contains(h, name(x))), lambda x: level(x, s["level"]))).alias("done"),
+            F.filter(s["rest"], lambda x: F.array_contains(h, name(x))).alias("rest"),
+        ))
+
+    told = F.aggregate("rest", start, step, lambda s: F.array_distinct(F.concat(s["done"], F.transform(s["rest"], lambda x: level(x, F.lit(None))))))
+    rows = fields.groupBy(doc).agg(F.collect_list(field).alias("rest")).select(doc, F.explode(told).alias("f"))
+    return rows.select(doc, "f.name", "f.level")
+
+
+def _levels_in_rounds(fields: DataFrame, doc: str) -> DataFrame:
+    """Levels are peeled off one after the other, each written, so there are as many rounds as levels and a plan holds two joins."""
     left = written(fields.select(doc, "name").distinct(), "fields")
     known = left.withColumnRenamed("name", "use")
     needs = written(fields.select(doc, "name", F.explode("uses").alias("use")).distinct().join(known, [doc, "use"]), "needs")
