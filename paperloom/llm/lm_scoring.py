@@ -29,7 +29,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.encoding import _Numbers
 from paperloom.llm.shared import arrow_map, arrow_rows, blocks, materialize, parts, stored
 from paperloom.llm.word_blocks import PAYLOAD, PAYLOAD_DDL, block_id, from_payload, pack, payload, split_words, unpack
 
@@ -171,24 +170,38 @@ def _after(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(context) + token)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def numbered_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct tokens, the number of each token of all texts among them, how many tokens a text has): :func:`tokens` of many texts at once."""
+    joined = np.frombuffer(b"".join(x + b"\n" for x in texts).lower(), np.uint8)
+    word = ~_BLANK[joined]
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1 if len(word) else np.zeros(0, np.int64)
+    edges = np.r_[0, edges] if len(word) and word[0] else edges
+    first, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    before = np.searchsorted(first, ends)
+    offsets = np.concatenate([[0], np.cumsum(np.insert(sizes, before, 0))]).astype(np.int64)
+    every = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined[word])]).dictionary_encode()
+    return every.dictionary.to_pylist(), every.indices.to_numpy().astype(np.int64), np.diff(before, prepend=0) + 1
+
+
 class Block:
     """Texts as numbers: words in order of their hash, and the places of words, pairs and triples of every token."""
 
     def __init__(self, texts: list[bytes]):
-        numbers, ats = _Numbers(), []
-        for t in texts:
-            found = tokens(t)
-            ats.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers.new), np.uint64, len(numbers))
+        distinct, at, self.lengths = numbered_tokens(texts)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
         order = np.argsort(h, kind="stable")
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
-        self.words, self.word_hashes = [numbers.new[i] for i in order.tolist()], h[order]
-        self.lengths = np.fromiter(map(len, ats), np.int64, len(ats))
+        self.words, self.word_hashes = [distinct[i] for i in order.tolist()], h[order]
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(ats)), self.lengths)
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
         self.place = np.arange(len(self.doc)) - self.starts[self.doc]
-        self.word = rank[np.concatenate(ats)] if ats else np.zeros(0, np.int64)
+        self.word = rank[at]
         token = self.word_hashes[self.word]
         one, two = (np.where(self.place >= k, np.r_[np.zeros(k, np.uint64), token[:-k]][: len(token)], _BEFORE) for k in (1, 2))
         self.pair_hashes, self.pair = np.unique(_after(one, token), return_inverse=True)
@@ -247,27 +260,28 @@ CHUNK, STEP, STEADY = 32, 0.4, 12.0
 LEVELS, GATED = 5, 4
 #: The weights that the fit starts from and is drawn to: a bit is as likely as its own rate in the text so far.
 NEUTRAL = np.tile(np.array([0.0, 0.0, 1.0, 0.0, 0.0]), (LEVELS, GATED, 1))
-#: Texts at least that the starting weights are fitted on (less than twice as many, or all there are), turns of the fit,
-#: and how many tokens the neutral weights count for.
-FITTED, TURNS, DRAWN = 400, 6, 50.0
+#: Turns of the fit, each over all training texts, and how many tokens the neutral weights count for.
+TURNS, DRAWN = 1, 50.0
 
 
 class Chances:
     """What each level gives every token of some texts: its probability of the token, and the signs for the level's bit."""
 
-    def __init__(self, block: Block, at: int, end: int, counts: tuple[np.ndarray, ...], total: int, ends: int, rates: np.ndarray, spelled: np.ndarray, first_weights: np.ndarray = NEUTRAL, left_out: bool = False):
+    def __init__(self, block: Block, at: int, end: int, counts: tuple[np.ndarray, ...], total: int, ends: int, rates: np.ndarray, spelled: np.ndarray, first_weights: np.ndarray = NEUTRAL, left_out: bool | np.ndarray = False):
         """Of the texts from ``at`` to ``end``; ``counts`` by word, pair and triple, ``spelled`` by word: 0 for words of the corpus.
 
-        ``left_out``: each text's own counts are taken off, as if it had not been learned from.
+        ``left_out``: the own counts of each text (or of those marked) are taken off, as if it had not been learned from.
         """
         self.lengths, self.starts = block.lengths[at:end], block.starts[at:end] - block.starts[at]
         here = slice(int(block.starts[at]), int(block.starts[at]) + int(self.lengths.sum()))
         doc, place, word = block.doc[here], block.place[here], block.word[here]
         first, n_tokens = place == 0, len(place)
         c0, c1, c2 = (c[x[here]].astype(float) for c, x in zip(counts, block.places(), strict=True))
-        if left_out:
-            c0, c1, c2 = (c - _uses(x[here], doc) for c, x in zip((c0, c1, c2), block.places(), strict=True))
-            ends, total = ends - 1, total - self.lengths[doc - doc[0]].astype(float)
+        fit = np.any(left_out)
+        if fit:
+            self.own = np.broadcast_to(left_out, len(self.lengths))[doc - doc[0]]
+            c0, c1, c2 = (c - _uses(x[here], doc) * self.own for c, x in zip((c0, c1, c2), block.places(), strict=True))
+            ends, total = ends - self.own, total - self.lengths[doc - doc[0]] * self.own.astype(float)
         before = lambda x: np.r_[0.0, x[:-1]]
         word_earlier, pair_earlier = (_earlier(x[here], doc).astype(float) for x in (block.word, block.pair))
         given = [
@@ -275,13 +289,13 @@ class Chances:
             (c2, np.where(first, ends, before(c1))),
             (c1, np.where(first, ends, before(c0))),
             (word_earlier, place.astype(float)),
-            (c0, total if left_out else np.full(n_tokens, float(total))),
+            (c0, total if fit else np.full(n_tokens, float(total))),
         ]
-        self.spelled = np.where(c0 > 0, 0, spelled[word]) if left_out else spelled[word]
+        self.spelled = np.where(c0 > 0, 0, spelled[word]) if fit else spelled[word]
         self.p = np.empty((LEVELS, n_tokens))
         self.known = np.empty((LEVELS, n_tokens), bool)
         self.rate, self.run, self.start = (np.empty((LEVELS, n_tokens), np.float32) for _ in range(3))
-        if left_out:
+        if fit:
             self.size, self.gate = np.empty((LEVELS, n_tokens), np.float32), np.empty((LEVELS, n_tokens), np.int8)
         starts, index = self.starts[doc - doc[0]], np.arange(n_tokens)
         for k in (1, 0, 2, 3, 4):
@@ -298,29 +312,13 @@ class Chances:
             gate = (np.log2(np.maximum(n, 1)) / 2 if k < 4 else np.log2(place + 1.0) / 3).clip(0, GATED - 1).astype(np.int64)
             one, by_size, by_rate, by_run, by_first = np.ascontiguousarray(first_weights[k].T, np.float32)
             self.start[k] = one[gate] + by_size[gate] * size + by_rate[gate] * self.rate[k] + by_run[gate] * self.run[k] + by_first[gate] * self.run[1]
-            if left_out:
+            if fit:
                 self.size[k], self.gate[k] = size, gate
 
     def signs(self, k: int) -> np.ndarray:
         """What weighs on level k's bit: one, the context's count, the rate and the run in the text, and the run of the level told first."""
         return np.stack([np.ones_like(self.size[k]), self.size[k], self.rate[k], self.run[k], self.run[1]])
 
-    def packed(self) -> list[bytes]:
-        """What the fit needs of each text, packed."""
-        ends = (self.starts + self.lengths).tolist()
-        return [pack(*(np.ascontiguousarray(x[..., a:z]).tobytes() for x in self._fit())) for a, z in zip(self.starts.tolist(), ends, strict=True)]
-
-    @classmethod
-    def of_packed(cls, blobs: list[bytes]) -> Chances:
-        out = cls.__new__(cls)
-        kinds = (np.float64, bool, np.float32, np.float32, np.float32, np.int8)
-        texts = [[np.frombuffer(x, kind).reshape(LEVELS, -1) for x, kind in zip(b[:-1], kinds, strict=True)] + [np.frombuffer(b[-1], np.float64)] for b in map(unpack, blobs)]
-        out.p, out.known, out.rate, out.run, out.size, out.gate, out.spelled = (np.concatenate(x, axis=-1) for x in zip(*texts, strict=True))
-        return out
-
-    def _fit(self) -> tuple[np.ndarray, ...]:
-        return self.p, self.known, self.rate, self.run, self.size, self.gate, self.spelled.astype(np.float64)
-
     def bits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How likely each level told the token, and how likely the chain came to it, given the levels' chances."""
         rest, bit, reached = self.spelled.astype(float), np.empty_like(s), np.empty_like(s)
@@ -335,22 +333,29 @@ class Chances:
         return bit, reached
 
 
-def fitted(chances: Chances) -> np.ndarray:
-    """Starting weights by level and gate: turns of telling the bits and a logistic step."""
-    weights = NEUTRAL.copy()
-    signs = [chances.signs(k).astype(float) for k in range(LEVELS)]
-    for _ in range(TURNS):
-        z = np.stack([(weights[k][chances.gate[k]] * signs[k].T).sum(1) for k in range(LEVELS)])
-        s = np.where(chances.known, 1 / (1 + np.exp(-z.clip(-12, 12))), 0)
-        bit, reached = chances.bits(s)
+    def sums(self) -> np.ndarray:
+        """Slope (first) and bend of the likelihood of the bits of texts that were left out, by level and gate, at the weights they start from."""
+        s = np.where(self.known, 1 / (1 + np.exp(-self.start.clip(-12, 12).astype(float))), 0)
+        bit, reached = self.bits(s)
+        out = np.zeros((LEVELS, GATED, NEUTRAL.shape[-1], NEUTRAL.shape[-1] + 1))
         for k in range(LEVELS):
+            x, r = self.signs(k), reached[k] * self.own
             for g in range(GATED):
-                here = np.flatnonzero((chances.gate[k] == g) & (reached[k] > 0))
-                x, r, p = signs[k][:, here], reached[k][here], s[k][here]
-                slope = x @ (r * (bit[k][here] - p)) - DRAWN * (weights[k, g] - NEUTRAL[k, g])
-                bend = (x * (r * p * (1 - p))) @ x.T + DRAWN * np.eye(len(x))
-                weights[k, g] += np.linalg.solve(bend, slope).clip(-1, 1)
-    return weights
+                here = np.flatnonzero((self.gate[k] == g) & (r > 0))
+                f, w, p = x[:, here].astype(float), r[here], s[k][here]
+                out[k, g, :, 0] = f @ (w * (bit[k][here] - p))
+                out[k, g, :, 1:] = (f * (w * p * (1 - p))) @ f.T
+        return out
+
+
+def stepped(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weights by level and gate after a logistic step, given :meth:`Chances.sums` of all texts at them."""
+    out, n = weights.copy(), weights.shape[-1]
+    for k in range(LEVELS):
+        for g in range(GATED):
+            slope = sums[k, g, :, 0] - DRAWN * (weights[k, g] - NEUTRAL[k, g])
+            out[k, g] += np.linalg.solve(sums[k, g, :, 1:] + DRAWN * np.eye(n), slope).clip(-1, 1)
+    return out
 
 
 def token_logs(chances: Chances) -> np.ndarray:
@@ -468,9 +473,8 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
     A null text is empty: one token, its end.  Texts whose doc_id has crc32 mod 7 = 2 are scored
     but not learned from; a null doc_id counts as the empty text there.  Repeated rows are learned
     from and scored as often as they come; extra columns are not read; an empty table gives an
-    empty one.  ``first_weights`` are those that every text starts from; without them they are fitted here, on
-    training texts among FITTED or more (by a hash of the doc_id), each seen as if it had not been learned
-    from.  ``base_score`` is the add-one unigram's log10 probability, ``score`` the model's.
+    empty one.  ``first_weights`` are those that every text starts from; without them they are fitted here, on all
+    training texts, each seen as if it had not been learned from.  ``base_score`` is the add-one unigram's log10 probability, ``score`` the model's.
     """
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", "text"))
@@ -478,10 +482,6 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc_type = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
 
-    name = F.col("doc_id").cast("string")
-    one_of = max(1, rows.count() // FITTED) if first_weights is None else 1
-    few = rows.where((F.pmod(F.xxhash64(name), F.lit(one_of)) == 0) & (F.crc32(F.coalesce(name, F.lit("")).cast("binary")) % 7 != 2))
-
     def requests(block: Block, here: int, seen: list[np.ndarray]) -> pa.RecordBatch:
         at = [cuts(h, n).tolist() for h in block.hashes()]
         out = []
@@ -500,15 +500,8 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
             learned = np.array([not held_out(i) for i in ids])[block.doc]
             yield requests(block, here, [np.bincount(p[learned], minlength=len(h)) for p, h in zip(block.places(), block.hashes(), strict=True)])
 
-    def ask_drawn(batches):
-        for ids, texts in blocks(batches, BLOCK_BYTES):  # these texts ask once more, by themselves, and add nothing to the counts
-            block = Block(texts)
-            yield requests(block, block_id([None, *ids], texts), [np.zeros(len(h), np.int64) for h in block.hashes()])
-
     request = "part int, block long, asked binary"
     asked = arrow_map(rows, ask, request)
-    if first_weights is None:
-        asked = asked.unionByName(arrow_map(few, ask_drawn, request))
     counted = materialize(asked.groupBy("part").applyInArrow(_count_part, _COUNTED_DDL), "counted")
     sums = counted.where("totals is not null").select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     totals = np.zeros(9, np.int64)
@@ -538,11 +531,6 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
         for ids, texts in blocks(batches, BLOCK_BYTES):
             yield arrow_rows(PAYLOAD, [(block_id(ids, texts), payload(ids, texts))])
 
-    def hold_drawn(batches):
-        for ids, texts in blocks(batches, BLOCK_BYTES):
-            names = [xxhash.xxh3_64_intdigest(t, xxhash.xxh32_intdigest(str(i))) - (1 << 63) for i, t in zip(ids, texts, strict=True)]
-            yield arrow_rows(PAYLOAD, [(block_id([None, *ids], texts), payload(names, texts))])
-
     def answered(held: pa.Table, answers: pa.Table) -> Iterator[tuple[list, list[bytes], Block, tuple[np.ndarray, ...]]]:
         if not held.num_rows:
             return
@@ -558,18 +546,18 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
     def gather(held: pa.Table, answers: pa.Table) -> pa.Table:
         mixer = Mixer(*tables.value)
         mixer.weights, mixer.map = weights, seen
-        rows = {}
-        for names, _, block, counts in answered(held, answers):
-            spelled = 10.0 ** mixer.log10(block.words)
-            ends = int(counts[0][block.words.index(b"")])
+        at_first, out = first_weights, np.zeros((*NEUTRAL.shape, NEUTRAL.shape[-1] + 1))
+        for ids, _, block, counts in answered(held, answers):
+            # Spelling tells the bits of words that one text alone has, and more than once; any chance does for others.
+            uses = _uses(block.word, block.doc)
+            alone = np.unique(block.word[(uses > 1) & (counts[0][block.word] == uses)])
+            spelled = np.ones(len(block.words))
+            spelled[alone] = 10.0 ** mixer.log10([block.words[i] for i in alone.tolist()])
+            ends, own = int(counts[0][block.words.index(b"")]), np.array([not held_out(i) for i in ids])
             for at, end in block.slices():
-                rows.update(zip(names[at:end], Chances(block, at, end, counts, total, ends, rates, spelled, left_out=True).packed(), strict=True))
-        return pa.table({"text": pa.array(list(rows), pa.int64()), "chances": pa.array(list(rows.values()), pa.binary())})
-
-    def fit(table: pa.Table) -> pa.Table:
-        """Of all texts that were drawn, each once, in the order of their hash."""
-        rows = dict(zip(table["text"].to_pylist(), table["chances"].to_pylist(), strict=True))
-        return pa.table({"weights": pa.array([fitted(Chances.of_packed([rows[h] for h in sorted(rows)])).ravel().tolist()], pa.list_(pa.float64()))})
+                if own[at:end].any():
+                    out += Chances(block, at, end, counts, total, ends, rates, spelled, at_first, own[at:end]).sums()
+        return pa.table({"sums": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
 
     def assemble(held: pa.Table, answers: pa.Table) -> pa.Table:
         mixer = Mixer(*tables.value)
@@ -595,10 +583,12 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
 
     answers = counted.where("answer is not null").select("part", "block", "answer")
     if first_weights is None:
-        own = materialize(arrow_map(few, hold_drawn, PAYLOAD_DDL), "drawn")
-        theirs = answers.join(own.select("block").distinct(), "block", "left_semi").select("part", "block", "answer")
-        gathered = own.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(gather, "text long, chances binary").withColumn("all", F.lit(0))
-        found = gathered.groupBy("all").applyInArrow(fit, "weights array<double>").collect()
-        first_weights = np.array(found[0]["weights"]).reshape(NEUTRAL.shape) if found else NEUTRAL
+        first_weights = NEUTRAL
+        for _ in range(TURNS):
+            found = arrow_map(rows, hold, PAYLOAD_DDL).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, "sums array<double>")
+            sums = np.zeros(NEUTRAL.size * (NEUTRAL.shape[-1] + 1))
+            for r in found.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+                sums[r["i"]] = r["x"]
+            first_weights = stepped(first_weights, sums.reshape(*NEUTRAL.shape, -1))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return arrow_map(rows, hold, PAYLOAD_DDL).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
