@@ -176,21 +176,20 @@ def line_links(packed: DataFrame, lines: DataFrame) -> DataFrame:
 
     texts = materialize(arrow_map(one, sized, "key long, norm string, n long, typical double"), "texts")
     forget(one)
-    links, apart = _elected(members, texts, None)
+    linked, apart = _elected(members, texts, None)
     forget(members)
     left = materialize(apart.select("key").distinct(), "left")
     forget(apart)
     finer = materialize(arrow_map(texts.join(left, "key", "left_semi").select("key", "norm"), again, "bucket long, key long"), "finer")
     several = finer.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    links, apart = _elected(finer.join(several, "bucket"), texts, links)
+    linked, apart = _elected(finer.join(several, "bucket"), texts, linked)
     forget(finer, left)
-    return _linked(apart.join(apart.select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "bucket").where("key < head"), texts, links)
+    return _linked(apart.join(apart.select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other")), "bucket").where("key < head"), texts, linked)
 
 
-def _elected(members: DataFrame, texts: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
-    """Links between members (bucket, key) and the elected of their buckets, with those before; and who is left in buckets that are not one component."""
-    linked = None if links is None else connected_components(links)
-    apart, done = members.join(texts.select("key", "n", "typical"), "key"), [] if linked is None else [linked]
+def _elected(members: DataFrame, texts: DataFrame, linked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) by links between members (bucket, key) and the elected of their buckets and by those before; and who is left in buckets that are not one component."""
+    apart, done = members.join(texts.select("key", "n", "typical"), "key"), []
     for turn in range(ELECTIONS + 1):
         if linked is None:
             apart = apart.withColumn("component", F.col("key"))
@@ -204,20 +203,20 @@ def _elected(members: DataFrame, texts: DataFrame, links: DataFrame | None) -> t
         forget(*done)
         if turn < ELECTIONS:
             heads = apart.where(F.col("rank") <= ELECTED).select("bucket", F.col("key").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
-            links = _linked(apart.join(heads, "bucket"), texts, links)
+            links = _linked(apart.join(heads, "bucket"), texts, linked)
+            done = [apart] if linked is None else [apart, linked]
             linked = connected_components(links)
-            done = [apart, linked]
             apart = apart.where(F.col("rank") > ELECTED).drop("component", "rank")
-    return links, apart
+    return linked, apart
 
 
-def _linked(candidates: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``links`` and those candidates (key, head) of different components that are alike."""
+def _linked(candidates: DataFrame, texts: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """(a, b): those candidates (key, head) of different components that are alike, and each node of ``linked`` with its component."""
     pairs = candidates.where("component <> other and 4 * n >= 3 * m and 4 * m >= 3 * n")
     pairs = materialize(pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
     found = materialize(_verified(pairs, texts), "links")
     forget(pairs)
-    return found if links is None else links.union(found)
+    return found if linked is None else linked.where("node <> component").toDF("a", "b").union(found)
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:

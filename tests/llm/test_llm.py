@@ -113,6 +113,27 @@ def test_components(spark):
     assert got == {n: want[n] for e in edges if e[0] is not None for n in e}
 
 
+def test_components_by_runs_and_rounds(spark, monkeypatch):
+    """Edges that one run held are written once; those of several runs give the same after rounds."""
+    r, wrote = random.Random(3), []
+    edges = [(r.randrange(1 << 40), r.randrange(1 << 40)) for _ in range(50)]
+    edges += [(i, i + 1) for i in range(400)] + [(e, r.choice(edges)[1]) for e, _ in edges[:30]] + [(7, 7), (-5, -5)]
+    nodes = sorted({n for e in edges for n in e})
+    at = {n: i for i, n in enumerate(nodes)}
+    want = {n: nodes[i] for n, i in zip(nodes, brute.union_find(len(nodes), [(at[a], at[b]) for a, b in edges]), strict=True)}
+    monkeypatch.setattr(components, "materialize", lambda d, name, f=components.materialize: wrote.append(name) or f(d, name))
+    data = spark.createDataFrame(edges, "a long, b long")
+    assert dict(map(tuple, components.connected_components(data.coalesce(1)).collect())) == want and wrote == ["components"]
+    u, v = (np.array(x) for x in zip(*edges, strict=True))
+    assert dict(zip(*(x.tolist() for x in components.stars(u, v)), strict=True)) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components.connected_components(data.repartition(7)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(want) and dict(map(tuple, got)) == want and wrote.count("edges") > 1
+
+
 def plain_shingles(line):
     return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
 
