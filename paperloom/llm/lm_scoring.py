@@ -20,8 +20,10 @@ sums are of whole numbers or in the order of parts, so scores do not depend on h
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,16 +84,13 @@ class Spelled:
 
 def counters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(places, counts) of the zeros and ones that the words leave in all counters: place 2 * slot + bit."""
-    places, counts = [], []
+    counts = np.zeros(2 * STARTS[-1] if words else 0, np.int64)
     for at in range(0, len(words), WORDS_AT_ONCE):
-        flat = np.concatenate([s * 2 + bit for _, bit, slots in Spelled(words[at : at + WORDS_AT_ONCE]).bits() for s in slots])
-        p, n = np.unique(flat, return_counts=True)
-        places.append(p)
-        counts.append(n)
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, at = np.unique(np.concatenate(places), return_inverse=True)
-    return p, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        found = [[(s - STARTS[k]) * 2 + bit for k, s in enumerate(slots)] for _, bit, slots in Spelled(words[at : at + WORDS_AT_ONCE]).bits()]
+        for k, here in enumerate(zip(*found, strict=True)):
+            counts[2 * STARTS[k] : 2 * STARTS[k + 1]] += np.bincount(np.concatenate(here), minlength=2 << TABLES[k])
+    places = np.flatnonzero(counts)
+    return places, counts[places]
 
 
 class Mixer:
@@ -170,6 +169,7 @@ def _after(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(context) + token)
 
 
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -197,7 +197,7 @@ class Block:
         order = np.argsort(h, kind="stable")
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
-        self.words, self.word_hashes = [distinct[i] for i in order.tolist()], h[order]
+        self.distinct, self.order, self.word_hashes = distinct, order, h[order]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
         self.place = np.arange(len(self.doc)) - self.starts[self.doc]
@@ -207,13 +207,12 @@ class Block:
         self.pair_hashes, self.pair = np.unique(_after(one, token), return_inverse=True)
         self.triple_hashes, self.triple = np.unique(_after(_after(two, one), token), return_inverse=True)
 
-    def slices(self, limit: int = 250_000):
-        """(from, to) of runs of texts that have about ``limit`` tokens together."""
-        at = 0
-        while at < len(self.lengths):
-            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + limit)))
-            yield at, end
-            at = end
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.spelled_out(np.arange(len(self.order)))
+
+    def spelled_out(self, places: np.ndarray) -> list[bytes]:
+        return [self.distinct[i] for i in self.order[places].tolist()]
 
     def hashes(self) -> tuple[np.ndarray, ...]:
         return self.word_hashes, self.pair_hashes, self.triple_hashes
@@ -237,22 +236,27 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
 
 
-def _earlier(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How many equal codes come before each in its text; codes are whole numbers from 0, texts come in order."""
+def _runs(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal codes come before each in its text, and how many its text has; codes are whole numbers from 0, texts come in order."""
     order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
     for shift in range(16, int(code.max(initial=0)).bit_length(), 16):
-        order = order[np.argsort(((code[order] >> shift) & 0xFFFF).astype(np.uint16), kind="stable")]
+        order = order[np.argsort(((code >> shift) & 0xFFFF).astype(np.uint16)[order], kind="stable")]
     k, d = code[order], doc[order]
     first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])][: len(k)])
-    out = np.empty(len(code), np.int64)
-    out[order] = np.arange(len(k)) - np.repeat(first, np.diff(np.r_[first, len(k)]))
-    return out
+    sizes = np.diff(np.r_[first, len(k)])
+    earlier, uses = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
+    earlier[order] = np.arange(len(k)) - np.repeat(first, sizes)
+    uses[order] = np.repeat(sizes, sizes)
+    return earlier, uses
+
+
+def _earlier(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return _runs(code, doc)[0]
 
 
 def _uses(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """How often each code is in its text."""
-    _, at, n = np.unique(doc.astype(np.int64) * (int(code.max(initial=0)) + 1) + code, return_inverse=True, return_counts=True)
-    return n[at]
+    return _runs(code, doc)[1]
 
 
 #: Tokens after which a text's weights are refined, the step, and what steadies it.
@@ -264,6 +268,48 @@ NEUTRAL = np.tile(np.array([0.0, 0.0, 1.0, 0.0, 0.0]), (LEVELS, GATED, 1))
 TURNS, DRAWN = 1, 50.0
 
 
+class Tokens:
+    """What chances are made of, for every token of some texts: its counts by word, pair and triple, how often word and pair came earlier in the text, how its word is spelled, and how often its text has word, pair and triple (if asked)."""
+
+    def __init__(self, lengths: np.ndarray, counts: tuple[np.ndarray, ...], earlier: tuple[np.ndarray, ...], spelled: np.ndarray, uses: tuple[np.ndarray, ...] = ()):
+        self.lengths, self.counts, self.earlier, self.spelled, self.uses = lengths, counts, earlier, spelled, uses
+        self.starts = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, block: Block, counts: tuple[np.ndarray, ...], uses: bool) -> Tokens:
+        """``counts`` by word, pair and triple of the block; how words are spelled is to be filled in."""
+        runs = [_runs(x, block.doc) for x in (block.word, block.pair)]
+        own = (runs[0][1], runs[1][1], _uses(block.triple, block.doc)) if uses else ()
+        return cls(block.lengths, tuple(c[x] for c, x in zip(counts, block.places(), strict=True)), (runs[0][0], runs[1][0]), np.ones(len(block.word)), own)
+
+    def part(self, at: int, end: int) -> Tokens:
+        """Those of the texts from ``at`` to ``end``."""
+        lengths, a = self.lengths[at:end], int(self.starts[at])
+        here = slice(a, a + int(lengths.sum()))
+        return Tokens(lengths, tuple(x[here] for x in self.counts), tuple(x[here] for x in self.earlier), self.spelled[here], tuple(x[here] for x in self.uses))
+
+    def slices(self, limit: int = 250_000):
+        """(from, to) of runs of texts that have about ``limit`` tokens together."""
+        at = 0
+        while at < len(self.lengths):
+            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + limit)))
+            yield at, end
+            at = end
+
+    def packed(self) -> bytes:
+        """Of words of the corpus, no spelling is kept."""
+        numbers = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (self.lengths, *self.counts, *self.earlier)]
+        return pack("".join(x.dtype.char for x in numbers).encode(), *(x.tobytes() for x in numbers), self.spelled[self.counts[0] == 0].tobytes())
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Tokens:
+        kinds, *numbers, new = unpack(blob)
+        lengths, *rest = (np.frombuffer(x, c).astype(np.int64) for c, x in zip(kinds.decode(), numbers, strict=True))
+        spelled = np.zeros(len(rest[0]))
+        spelled[rest[0] == 0] = np.frombuffer(new, float)
+        return cls(lengths, tuple(rest[:3]), tuple(rest[3:]), spelled)
+
+
 class Chances:
     """What each level gives every token of some texts: its probability of the token, and the signs for the level's bit."""
 
@@ -272,18 +318,32 @@ class Chances:
 
         ``left_out``: the own counts of each text (or of those marked) are taken off, as if it had not been learned from.
         """
-        self.lengths, self.starts = block.lengths[at:end], block.starts[at:end] - block.starts[at]
-        here = slice(int(block.starts[at]), int(block.starts[at]) + int(self.lengths.sum()))
-        doc, place, word = block.doc[here], block.place[here], block.word[here]
-        first, n_tokens = place == 0, len(place)
-        c0, c1, c2 = (c[x[here]].astype(float) for c, x in zip(counts, block.places(), strict=True))
+        tokens = Tokens.of(block, counts, bool(np.any(left_out)))
+        tokens.spelled = spelled[block.word]
+        self._told(tokens.part(at, end), total, ends, rates, first_weights, left_out)
+
+    @classmethod
+    def of(cls, tokens: Tokens, *more) -> Chances:
+        """Of some texts' tokens; ``more``: total, ends, rates, first weights and what is left out."""
+        out = cls.__new__(cls)
+        out._told(tokens, *more)
+        return out
+
+    def _told(self, tokens: Tokens, total: int, ends: int, rates: np.ndarray, first_weights: np.ndarray = NEUTRAL, left_out: bool | np.ndarray = False) -> None:
+        self.lengths, self.starts = tokens.lengths, tokens.starts
+        n_tokens = int(self.lengths.sum())
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        starts, index = self.starts[doc], np.arange(n_tokens)
+        place = index - starts
+        first = place == 0
+        c0, c1, c2 = (c.astype(float) for c in tokens.counts)
+        word_earlier, pair_earlier = (x.astype(float) for x in tokens.earlier)
         fit = np.any(left_out)
         if fit:
-            self.own = np.broadcast_to(left_out, len(self.lengths))[doc - doc[0]]
-            c0, c1, c2 = (c - _uses(x[here], doc) * self.own for c, x in zip((c0, c1, c2), block.places(), strict=True))
-            ends, total = ends - self.own, total - self.lengths[doc - doc[0]] * self.own.astype(float)
+            self.own = np.broadcast_to(left_out, len(self.lengths))[doc]
+            c0, c1, c2 = (c - u * self.own for c, u in zip((c0, c1, c2), tokens.uses, strict=True))
+            ends, total = ends - self.own, total - self.lengths[doc] * self.own.astype(float)
         before = lambda x: np.r_[0.0, x[:-1]]
-        word_earlier, pair_earlier = (_earlier(x[here], doc).astype(float) for x in (block.word, block.pair))
         given = [
             (pair_earlier, np.where(first, 0.0, before(word_earlier))),
             (c2, np.where(first, ends, before(c1))),
@@ -291,17 +351,16 @@ class Chances:
             (word_earlier, place.astype(float)),
             (c0, total if fit else np.full(n_tokens, float(total))),
         ]
-        self.spelled = np.where(c0 > 0, 0, spelled[word]) if fit else spelled[word]
+        self.spelled = np.where(c0 > 0, 0, tokens.spelled) if fit else tokens.spelled
         self.p = np.empty((LEVELS, n_tokens))
         self.known = np.empty((LEVELS, n_tokens), bool)
         self.rate, self.run, self.start = (np.empty((LEVELS, n_tokens), np.float32) for _ in range(3))
         if fit:
             self.size, self.gate = np.empty((LEVELS, n_tokens), np.float32), np.empty((LEVELS, n_tokens), np.int8)
-        starts, index = self.starts[doc - doc[0]], np.arange(n_tokens)
         for k in (1, 0, 2, 3, 4):
             c, n = given[k]
             self.known[k] = n > 0
-            self.p[k] = np.divide(c, n, out=np.zeros(n_tokens), where=self.known[k])
+            self.p[k] = np.where(self.known[k], c, 0) / np.where(self.known[k], n, 1)
             hit = c * self.known[k] > 0
             hits, tried = (np.cumsum(x, dtype=np.int64) - x for x in (hit, self.known[k]))
             rate = ((hits - hits[starts] + 3 * rates[k]) / (tried - tried[starts] + 3)).astype(np.float32)
@@ -315,9 +374,9 @@ class Chances:
             if fit:
                 self.size[k], self.gate[k] = size, gate
 
-    def signs(self, k: int) -> np.ndarray:
+    def signs(self, k: int) -> list[np.ndarray]:
         """What weighs on level k's bit: one, the context's count, the rate and the run in the text, and the run of the level told first."""
-        return np.stack([np.ones_like(self.size[k]), self.size[k], self.rate[k], self.run[k], self.run[1]])
+        return [np.ones_like(self.size[k]), self.size[k], self.rate[k], self.run[k], self.run[1]]
 
     def bits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How likely each level told the token, and how likely the chain came to it, given the levels' chances."""
@@ -325,7 +384,7 @@ class Chances:
         for k in range(LEVELS - 1, -1, -1):
             own = s[k] * self.p[k]
             rest = own + (1 - s[k]) * rest
-            bit[k] = np.divide(own, rest, out=s[k].copy(), where=rest > 0)
+            bit[k] = np.where(rest > 0, own / np.where(rest > 0, rest, 1), s[k])
         left = np.ones(s.shape[1])
         for k in range(LEVELS):
             reached[k] = left * self.known[k]
@@ -339,12 +398,16 @@ class Chances:
         bit, reached = self.bits(s)
         out = np.zeros((LEVELS, GATED, NEUTRAL.shape[-1], NEUTRAL.shape[-1] + 1))
         for k in range(LEVELS):
-            x, r = self.signs(k), reached[k] * self.own
-            for g in range(GATED):
-                here = np.flatnonzero((self.gate[k] == g) & (r > 0))
-                f, w, p = x[:, here].astype(float), r[here], s[k][here]
-                out[k, g, :, 0] = f @ (w * (bit[k][here] - p))
-                out[k, g, :, 1:] = (f * (w * p * (1 - p))) @ f.T
+            r = reached[k] * self.own
+            here = np.flatnonzero(r > 0)
+            here = here[np.argsort(self.gate[k][here], kind="stable")]
+            edges = np.searchsorted(self.gate[k][here], np.arange(GATED + 1))
+            x, r, p = np.stack([y[here] for y in self.signs(k)]).astype(float), r[here], s[k][here]
+            slope, bend = r * (bit[k][here] - p), r * p * (1 - p)
+            for g, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                f = x[:, a:b]
+                out[k, g, :, 0] = f @ slope[a:b]
+                out[k, g, :, 1:] = (f * bend[a:b]) @ f.T
         return out
 
 
@@ -377,8 +440,7 @@ def token_logs(chances: Chances) -> np.ndarray:
         for k in range(LEVELS - 1, -1, -1):
             own = s[k] * p[k]
             rest = own + (1 - s[k]) * rest
-            np.divide(own, rest, out=bit[k], where=rest > 0)
-            bit[k][rest <= 0] = s[k][rest <= 0]
+            bit[k] = np.where(rest > 0, own / np.where(rest > 0, rest, 1), s[k])
         out[token[inside]] = np.log10(np.maximum(rest[inside], 1e-300))
         reached = np.ones_like(rest)
         for k in range(LEVELS):
@@ -396,6 +458,7 @@ def token_logs(chances: Chances) -> np.ndarray:
 
 _REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("asked", pa.binary())])
 _COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("answer", pa.binary()), ("totals", pa.list_(pa.int64())), ("words", pa.binary()), ("spelling", pa.binary())])
+_GATHERED = pa.schema([("sums", pa.list_(pa.float64())), ("ends", pa.int64()), ("tokens", pa.binary())])
 _COUNTED_DDL = "part int, block long, answer binary, totals array<long>, words binary, spelling binary"
 
 
@@ -403,7 +466,7 @@ def _merged(asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     """Of (hashes, counts) by block: distinct hashes, their counts in all blocks, and the place of each asked one."""
     found, place = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
     counts = np.zeros(len(found), np.int64)
-    np.add.at(counts, place, np.concatenate([c for _, c in asked]).astype(np.int64))
+    np.add.at(counts, place, np.concatenate([c for _, c in asked]).view(np.int64))
     return found, counts, place
 
 
@@ -534,7 +597,8 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
     def answered(held: pa.Table, answers: pa.Table) -> Iterator[tuple[list, list[bytes], Block, tuple[np.ndarray, ...]]]:
         if not held.num_rows:
             return
-        got = [unpack(a) for _, a in sorted(zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True))]
+        # Blocks of the same rows asked the same and were answered the same.
+        got = [unpack(a) for _, a in sorted(dict(zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True)).items())]
         for blob in held["texts"].to_pylist():
             ids, texts = from_payload(blob)
             block = Block(texts)
@@ -543,52 +607,60 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
                 raise RuntimeError("a block was asked for and not answered in whole")
             yield ids, texts, block, counts
 
-    def gather(held: pa.Table, answers: pa.Table) -> pa.Table:
-        mixer = Mixer(*tables.value)
-        mixer.weights, mixer.map = weights, seen
-        at_first, out = first_weights, np.zeros((*NEUTRAL.shape, NEUTRAL.shape[-1] + 1))
-        for ids, _, block, counts in answered(held, answers):
-            # Spelling tells the bits of words that one text alone has, and more than once; any chance does for others.
-            uses = _uses(block.word, block.doc)
-            alone = np.unique(block.word[(uses > 1) & (counts[0][block.word] == uses)])
-            spelled = np.ones(len(block.words))
-            spelled[alone] = 10.0 ** mixer.log10([block.words[i] for i in alone.tolist()])
-            ends, own = int(counts[0][block.words.index(b"")]), np.array([not held_out(i) for i in ids])
-            for at, end in block.slices():
-                if own[at:end].any():
-                    out += Chances(block, at, end, counts, total, ends, rates, spelled, at_first, own[at:end]).sums()
-        return pa.table({"sums": pa.array([out.ravel().tolist()], pa.list_(pa.float64()))})
-
-    def assemble(held: pa.Table, answers: pa.Table) -> pa.Table:
-        mixer = Mixer(*tables.value)
-        mixer.weights, mixer.map = weights, seen
-        out = []
-        for ids, texts, block, counts in answered(held, answers):
-            new = np.flatnonzero(counts[0] == 0)
-            spelled = np.zeros(len(block.words))
-            spelled[new] = 10.0 ** mixer.log10([block.words[i] for i in new.tolist()])
-            ends = int(counts[0][block.words.index(b"")])
-            base = np.log10(counts[0] + 1.0) - np.log10(total + kinds + 1)
-            for at, end in block.slices():
-                chances = Chances(block, at, end, counts, total, ends, rates, spelled, first_weights)
-                logs = token_logs(chances)
-                here = slice(int(block.starts[at]), int(block.starts[at]) + len(logs))
-                word = block.word[here]
-                sums = [np.add.reduceat(x, chances.starts).tolist() for x in (logs, base[word], (counts[0][word] > 0).astype(np.int64))]
-                for doc, text, size, score, plain, known in zip(ids[at:end], texts[at:end], chances.lengths.tolist(), *sums, strict=True):
-                    out.append((doc, held_out(doc), size, known, total, plain, score, -score / np.log10(2) / (len(text) + 1)))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-        types = [doc_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names=names)
-
+    def gather(at_first: np.ndarray | None, keep: bool):
+        """Of each block: the sums of a fit at some weights, and its tokens packed for :func:`assemble`."""
+
+        def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+            mixer = Mixer(*tables.value)
+            mixer.weights, mixer.map = weights, seen
+            rows_out = []
+            for ids, texts, block, counts in answered(held, answers):
+                tokens, spelled = Tokens.of(block, counts, True), np.ones(len(block.words))
+                # Spelling tells the bits of new words and of words that one text alone has, and more than once; any chance does for others.
+                needed = counts[0] == 0
+                needed[block.word[(tokens.uses[0] > 1) & (tokens.counts[0] == tokens.uses[0])]] = True
+                needed = np.flatnonzero(needed)
+                spelled[needed] = 10.0 ** mixer.log10(block.spelled_out(needed))
+                tokens.spelled = spelled[block.word]
+                ends, own = int(counts[0][np.searchsorted(block.word_hashes, END)]), np.array([not held_out(i) for i in ids])
+                out = np.zeros((*NEUTRAL.shape, NEUTRAL.shape[-1] + 1))
+                for at, end in tokens.slices() if at_first is not None else ():
+                    if own[at:end].any():
+                        out += Chances.of(tokens.part(at, end), total, ends, rates, at_first, own[at:end]).sums()
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                rows_out.append((out.ravel().tolist(), ends, pack(json.dumps(ids).encode(), sizes.tobytes(), tokens.packed()) if keep else None))
+            return pa.Table.from_batches([arrow_rows(_GATHERED, rows_out)])
+
+        return arrow_map(rows, hold, PAYLOAD_DDL).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "sums array<double>, ends long, tokens binary")
+
+    def assemble(batches):
+        for batch in batches:
+            for ends, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, sizes, packed = unpack(blob)
+                ids, sizes, tokens, out = json.loads(ids), np.frombuffer(sizes, np.int64).tolist(), Tokens.unpacked(packed), []
+                for at, end in tokens.slices():
+                    part = tokens.part(at, end)
+                    chances = Chances.of(part, total, ends, rates, first_weights)
+                    base = np.log10(part.counts[0] + 1.0) - np.log10(total + kinds + 1)
+                    sums = [np.add.reduceat(x, part.starts).tolist() for x in (token_logs(chances), base, (part.counts[0] > 0).astype(np.int64))]
+                    for doc, length, size, score, plain, known in zip(ids[at:end], sizes[at:end], part.lengths.tolist(), *sums, strict=True):
+                        out.append((doc, held_out(doc), size, known, total, plain, score, -score / np.log10(2) / (length + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    types = [doc_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     answers = counted.where("answer is not null").select("part", "block", "answer")
+    held: DataFrame | None = None
     if first_weights is None:
         first_weights = NEUTRAL
-        for _ in range(TURNS):
-            found = arrow_map(rows, hold, PAYLOAD_DDL).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, "sums array<double>")
+        for turn in range(TURNS):
+            found = materialize(gather(first_weights, turn == 0), "gathered")
+            held = found if turn == 0 else held
             sums = np.zeros(NEUTRAL.size * (NEUTRAL.shape[-1] + 1))
             for r in found.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
                 sums[r["i"]] = r["x"]
             first_weights = stepped(first_weights, sums.reshape(*NEUTRAL.shape, -1))
+    if held is None:
+        held = materialize(gather(None, True), "gathered")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return arrow_map(rows, hold, PAYLOAD_DDL).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
+    return arrow_map(held.select("ends", "tokens"), assemble, schema)

@@ -496,6 +496,23 @@ def test_lm_own_counts_left_out():
         assert np.allclose(whole.spelled[here], one.spelled)
 
 
+def test_lm_tokens_are_kept_between_fit_and_scores(spark, docs):
+    """Texts are cut, counted and joined with their counts once; what is kept gives the same chances."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab cd ef gh ij".split()) for _ in range(r.randrange(40))).encode() for _ in range(30)]
+    block, rates = lm_scoring.Block(texts), np.full(5, 0.3)
+    counts = tuple(np.bincount(p, minlength=len(h)) * (1 << 34) * (np.arange(len(h)) % 3 > 0) for p, h in zip(block.places(), block.hashes(), strict=True))
+    spelled = np.where(counts[0] > 0, 0, 0.25)
+    tokens = lm_scoring.Tokens.of(block, counts, False)
+    tokens.spelled = spelled[block.word]
+    kept = lm_scoring.Tokens.unpacked(tokens.packed())
+    assert [e for _, e in kept.slices(100)][-1] == len(texts) and len(list(kept.slices(100))) > 2
+    want = np.concatenate([lm_scoring.token_logs(lm_scoring.Chances(block, a, b, counts, 1 << 40, 9, rates, spelled)) for a, b in [(0, 12), (12, 30)]])
+    got = np.concatenate([lm_scoring.token_logs(lm_scoring.Chances.of(kept.part(a, b), 1 << 40, 9, rates)) for a, b in [(0, 12), (12, 30)]])
+    assert np.array_equal(got, want)
+    assert "Exchange" not in lm_scoring.lm_scores(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lm_spelling_sums_to_one():
     """Over all continuations of every prefix the bits leave no more than one unit."""
     r = np.random.default_rng(0)
