@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import allowed_url, file_name, fold, host_display, html_escape, masked, urls
 from paperloom.operators.aggregates import body_size, f1_summary, lowest, space_audit, word_f1
-from paperloom.operators.compare import change_counts, dedupe, patched, word_changes, word_diff
+from paperloom.operators.compare import change_counts, changed, dedupe, with_changes, word_diff
 from paperloom.operators.rules import Rule, category_counts, findings, rule_report, shown_findings, status_counts
 from paperloom.operators.text import catalog_search, phrase_counts as count_phrases, pii_hits, text_extract, text_find, text_find_limit, word_list
 from paperloom.plans.register import Register
-from paperloom.sources.storage import dealt, written
+from paperloom.sources.storage import dealt
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.oracles
@@ -245,13 +245,26 @@ def _word_diff(t):
     return word_diff(_edited_pairs(t))
 
 
+#: Documents of a source that one block holds (fixed value).
+BLOCK = 64
+
+
 def _neighbours(t):
-    """Each document and the one before it from the same source, by id: whole texts.  Ids alone are ordered by source; texts are joined to them."""
+    """Each document and the one before it from the same source, by id: whole texts.
+
+    Ids alone are ordered by source and cut into blocks; a text goes to its block, the last of a block to the next one, too.
+    """
     docs = t("documents")
-    ids = docs.select(F.col("doc_id").alias("pair"), F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("__before"))
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    new = ids.join(texts, F.col("pair") == F.col("__id")).select("pair", "__before", F.col("__text").alias("new"))
-    return new.join(texts, F.col("__before") == F.col("__id"), "left").select("pair", F.col("__text").alias("old"), "new")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"))) - 1
+    # A key without nulls, by which both sides are dealt; null ids are one more id.
+    key = lambda d: d.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
+    ids = key(docs).select("key", F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.floor(place / BLOCK).alias("block"), (place % BLOCK == BLOCK - 1).alias("last"))
+    own = dealt(key(docs.select("source", "doc_id", "text")), "key", size_of=docs, each=8 << 20)
+    own = own.join(ids.hint("merge"), (own["key"] == ids["key"]) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    put = own.withColumn("shift", F.explode(F.when(F.col("last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    blocks = dealt(put.select("source", (F.col("block") + F.col("shift")).alias("block"), "doc_id", "text", "shift"), "source", "block", size_of=docs, each=8 << 20)
+    old = F.lag("text").over(Window.partitionBy("source", "block").orderBy(F.desc("shift"), F.asc_nulls_last("doc_id")))
+    return blocks.select(F.col("doc_id").alias("pair"), old.alias("old"), F.col("text").alias("new"), "shift").where("shift = 0").drop("shift")
 
 
 _WORDS = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda w: w <> ''), ' ')"
@@ -260,11 +273,8 @@ _WORDS = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''),
 @query(f"SELECT doc_id AS pair, {_WORDS} AS forth, lag({_WORDS}, 1, '') OVER (PARTITION BY source ORDER BY doc_id) AS back FROM documents", name="word_diff_rebuilt")
 def _word_diff_rebuilt(t):
     """The changes between long texts make either side out of the other."""
-    pairs = written(dealt(_neighbours(t), "pair"), "pairs")
-    changes = written(word_changes(pairs), "changes")
-    forth = patched(pairs.select("pair", F.col("old").alias("text")), changes)
-    back = patched(pairs.select("pair", F.col("new").alias("text")), changes, back=True)
-    return forth.withColumnRenamed("text", "forth").join(back.withColumnRenamed("text", "back"), "pair")
+    pairs = with_changes(_neighbours(t))
+    return changed(changed(pairs, "old", "forth"), "new", "back", back=True).select("pair", "forth", "back")
 
 
 @query(name="word_diff_pairs")
