@@ -33,13 +33,18 @@ def typeset_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return _put(_split(docs, key), key)
 
 
+def dealt_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """:func:`typeset_lines` dealt by page."""
+    # Parts by the stored size of the texts, of which a line's characters take a hundred times as much.
+    return _put(dealt(_split(docs, key), key, "page", size_of=docs), key)
+
+
 def typeset(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page, i, text, x0, y0, x1, y1): the characters of :func:`typeset_lines` but blanks, ``i`` in reading order.
 
     Lines are dealt by page before they fall apart: one shuffle of the text, none of its characters.
     """
-    # Parts by the stored size of the texts, of which a line's characters take a hundred times as much.
-    lines = _put(dealt(_split(docs, key), key, "page", size_of=docs), key)
+    lines = dealt_lines(docs, key)
     chars = lines.select(key, "page", "line", "x0", "y0", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "text"))
     x0 = F.col("x0") + F.col("k") * PITCH
     return chars.where(~F.col("text").isin(" ", "\t", "\r")).select(key, "page", (F.col("line") * WIDTH + F.col("k")).alias("i"), "text", x0.alias("x0"), "y0", (x0 + BROAD).alias("x1"), (F.col("y0") + HIGH).alias("y1"))

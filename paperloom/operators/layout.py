@@ -89,6 +89,11 @@ def logical_order(glyphs: DataFrame, *line: str) -> DataFrame:
     return runs.withColumn("at", at.cast("long")).drop("__n", "__s", "__r", "__k")
 
 
+def arrow_types(df: DataFrame, page: list[str], schema: str) -> pa.Schema:
+    """The Arrow schema of (page…, schema)."""
+    return to_arrow_schema(StructType([*(df.schema[p] for p in page), *_parse_datatype_string(schema).fields]))
+
+
 def _page_tables(df: DataFrame, page: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """(page…, schema) of ``fn`` over whole pages in order, with the places where pages begin: what it tells depends on the page's order.
 
@@ -123,7 +128,7 @@ def _page_tables(df: DataFrame, page: list[str], order: list[str], fn: Callable[
 
 def _each_page(df: DataFrame, page: list[str], order: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
     """:func:`_page_tables` of ``fn`` over the rows of one page after the other."""
-    types = to_arrow_schema(StructType([*(df.schema[p] for p in page), *_parse_datatype_string(schema).fields]))
+    types = arrow_types(df, page, schema)
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
         rows, out = table.to_pylist(), []
@@ -167,30 +172,34 @@ def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
 BACK, OFF = 4, 0.2
 
 
+def undoubled(text: np.ndarray, x0: np.ndarray, y0: np.ndarray, y1: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which glyphs stay, see :func:`without_doubles`; equal texts are equal numbers, pages begin at ``starts``."""
+    n = len(text)
+    here = np.arange(n)
+    begun = np.repeat(starts, np.diff(np.r_[starts, n]))
+    near = np.maximum(y1 - y0, 0.1) * OFF
+    pairs = []
+    for back in range(1, BACK + 1):
+        at = np.flatnonzero((text[back:] == text[:-back]) & (np.abs(x0[back:] - x0[:-back]) < near[back:]) & (np.abs(y0[back:] - y0[:-back]) < near[back:])) + back
+        at = at[here[at] - back >= begun[at]]
+        pairs.append((at, at - back))
+    at, was = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    # What stays is told from the front: each turn settles those whose doubles are settled.
+    stays = np.ones(n, bool)
+    while True:
+        now = np.ones(n, bool)
+        now[at[stays[was]]] = False
+        if (now == stays).all():
+            return stays
+        stays = now
+
+
 def without_doubles(glyphs: DataFrame, page: list[str]) -> DataFrame:
     """(page…, i, text, x0, y0, x1, y1) of the glyphs that are not drawn a second time to look bold: the same text, close to one of the last four before it that stays."""
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        here = np.arange(table.num_rows)
-        begun = np.repeat(starts, np.diff(np.r_[starts, table.num_rows]))
         text = table["text"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        x0, y0, y1 = (table[c].to_numpy() for c in ("x0", "y0", "y1"))
-        near = np.maximum(y1 - y0, 0.1) * OFF
-        pairs = []
-        for back in range(1, BACK + 1):
-            at = np.flatnonzero(here - back >= begun)
-            was = at - back
-            at = at[(text[at] == text[was]) & (np.abs(x0[at] - x0[was]) < near[at]) & (np.abs(y0[at] - y0[was]) < near[at])]
-            pairs.append((at, at - back))
-        at, was = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        # What stays is told from the front: each turn settles those whose doubles are settled.
-        stays = np.ones(table.num_rows, bool)
-        while True:
-            now = np.ones(table.num_rows, bool)
-            now[at[stays[was]]] = False
-            if (now == stays).all():
-                return table.filter(pa.array(stays))
-            stays = now
+        return table.filter(pa.array(undoubled(text, *(table[c].to_numpy() for c in ("x0", "y0", "y1")), starts)))
 
     return _page_tables(glyphs, page, ["i"], run, "i long, text string, x0 double, y0 double, x1 double, y1 double")
 
