@@ -86,9 +86,9 @@ def counters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(places, counts) of the zeros and ones that the words leave in all counters: place 2 * slot + bit."""
     counts = np.zeros(2 * STARTS[-1] if words else 0, np.int64)
     for at in range(0, len(words), WORDS_AT_ONCE):
-        found = [[(s - STARTS[k]) * 2 + bit for k, s in enumerate(slots)] for _, bit, slots in Spelled(words[at : at + WORDS_AT_ONCE]).bits()]
-        for k, here in enumerate(zip(*found, strict=True)):
-            counts[2 * STARTS[k] : 2 * STARTS[k + 1]] += np.bincount(np.concatenate(here), minlength=2 << TABLES[k])
+        for _, bit, slots in Spelled(words[at : at + WORDS_AT_ONCE]).bits():
+            for s in slots:
+                np.add.at(counts, 2 * s + bit, 1)
     places = np.flatnonzero(counts)
     return places, counts[places]
 
@@ -462,40 +462,75 @@ _GATHERED = pa.schema([("sums", pa.list_(pa.float64())), ("ends", pa.int64()), (
 _COUNTED_DDL = "part int, block long, answer binary, totals array<long>, words binary, spelling binary"
 
 
-def _merged(asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (hashes, counts) by block: distinct hashes, their counts in all blocks, and the place of each asked one."""
-    found, place = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
-    counts = np.zeros(len(found), np.int64)
-    np.add.at(counts, place, np.concatenate([c for _, c in asked]).view(np.int64))
-    return found, counts, place
+#: Hashes that are merged at a time, about (fixed value).
+MERGED_AT_ONCE = 1_000_000
+
+
+def _merged(asked: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[slice]]]:
+    """Of (sorted hashes, counts) by block, range after range of the hashes: distinct hashes, their counts in all blocks, the place of each asked one, and what was asked of each block."""
+    ends = [(int(h[0]), int(h[-1])) for h, _ in asked if len(h)]
+    if not ends:
+        return
+    low, high = min(e[0] for e in ends), max(e[1] for e in ends) + 1
+    n = -(-sum(len(h) for h, _ in asked) // MERGED_AT_ONCE)
+    edges = np.array([low + (high - low) * k // n for k in range(1, n)], np.uint64)
+    bounds = np.stack([np.r_[0, np.searchsorted(h, edges), len(h)] for h, _ in asked])
+    for k in range(n):
+        here = [slice(*b) for b in bounds[:, k : k + 2].tolist()]
+        found, place = np.unique(np.concatenate([h[x] for (h, _), x in zip(asked, here, strict=True)]), return_inverse=True)
+        counts = np.zeros(len(found), np.int64)
+        np.add.at(counts, place, np.concatenate([c[x] for (_, c), x in zip(asked, here, strict=True)]).astype(np.int64))
+        yield found, counts, place, here
 
 
 def _count_part(table: pa.Table) -> pa.Table:
-    """Answers to the blocks that asked one part, and a row of what the part has in all: totals, words, spelling counters."""
-    blocks_, words, asked = [], [], ([], [], [])
-    for block, blob in zip(table["block"].to_pylist(), table["asked"].to_pylist(), strict=True):
-        lengths, joined, seen, *rest = unpack(blob)
-        own = split_words(lengths, joined) if lengths else []
-        blocks_.append(block)
-        words += own
-        asked[0].append((np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), _from_planes(seen)))
-        for k in (0, 1):
-            asked[k + 1].append((np.cumsum(_from_planes(rest[2 * k]), dtype=np.uint64), _from_planes(rest[2 * k + 1])))
-    answers: list[list[bytes]] = [[] for _ in blocks_]
+    """Answers to the blocks that asked one part, and a row of what the part has in all: totals, words, spelling counters.
+
+    Words, pairs and triples are taken one after the other, and merged by ranges of their hashes: what is held grows with
+    the part by the hashes asked for and their counts, not by copies of these.
+    """
+    blocks_, blobs = table["block"].to_pylist(), table["asked"]
+    narrow = lambda c: c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c
+    answers: list[list[np.ndarray]] = [[] for _ in blocks_]
+    learned: list[bytes] = []
     totals = []
-    for k, items in enumerate(asked):
-        found, counts, place = _merged(items)
-        ends = np.cumsum([0, *(len(h) for h, _ in items)])
-        for i in range(len(blocks_)):
-            answers[i].append(_planes(counts[place[ends[i] : ends[i + 1]]]))
-        totals += [int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum())]
-        if k == 0:
-            first = np.full(len(found), len(place))
-            np.minimum.at(first, place, np.arange(len(place)))
-            learned = [words[i] for i in first[counts > 0].tolist()]
-    places, n = counters(learned)
+    for k in range(3):
+        asked, texts = [], []
+        for blob in blobs:
+            parts_ = unpack(blob.as_py())
+            if k == 0:
+                own = split_words(*parts_[:2]) if parts_[0] else []
+                hashes, seen = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), parts_[2]
+                texts.append((np.cumsum([0, *map(len, own)]), parts_[1]))
+            else:
+                hashes, seen = np.cumsum(_from_planes(parts_[2 * k + 1]), dtype=np.uint64), parts_[2 * k + 2]
+            asked.append((hashes, narrow(_from_planes(seen))))
+        told = [[np.zeros(0, np.uint32)] for _ in blocks_]
+        sums = np.zeros(3, np.int64)
+        for found, counts, place, here in _merged(asked):
+            sizes = np.array([x.stop - x.start for x in here])
+            ends = np.cumsum([0, *sizes])
+            each = narrow(counts)[place]
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                told[i].append(each[a:b].copy())
+            sums += [counts.sum(), (counts > 0).sum(), (counts == 1).sum()]
+            if k == 0:
+                first = np.full(len(found), len(place))
+                np.minimum.at(first, place, np.arange(len(place)))
+                first = first[counts > 0]
+                block = np.searchsorted(ends, first, side="right") - 1
+                for i, j in zip(block.tolist(), (first - ends[block]).tolist(), strict=True):
+                    at, joined = texts[i]
+                    j += here[i].start
+                    learned.append(joined[at[j] : at[j + 1]])
+        for own_answers, t in zip(answers, told, strict=True):
+            own_answers.append(np.concatenate(t))
+        totals += sums.tolist()
+    del asked, texts, told
     part = table["part"][0].as_py()
-    rows = [(part, b, pack(*a), None, None, None) for b, a in zip(blocks_, answers, strict=True)]
+    rows = [(part, b, pack(*map(_planes, a)), None, None, None) for b, a in zip(blocks_, answers, strict=True)]
+    answers.clear()
+    places, n = counters(learned)
     spelling = pack(_planes(np.diff(places, prepend=0)), _planes(n))
     rows.append((part, None, None, totals, pack(np.fromiter(map(len, learned), np.uint32, len(learned)).tobytes(), b"".join(learned)), spelling))
     return pa.Table.from_batches([arrow_rows(_COUNTED, rows)])
@@ -508,8 +543,8 @@ def _spelling(counted: DataFrame) -> np.ndarray:
 
     def deal(batches):
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                steps, n = map(_from_planes, unpack(blob))
+            for blob in batch.column(0):
+                steps, n = map(_from_planes, unpack(blob.as_py()))
                 places = np.cumsum(steps, dtype=np.uint64)
                 at = np.searchsorted(places.astype(np.int64), edges)
                 yield arrow_rows(schema, [(i, pack(_planes(np.diff(places[a:b], prepend=np.uint64(0))), _planes(n[a:b]))) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a])
@@ -517,8 +552,8 @@ def _spelling(counted: DataFrame) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         i = table["range"][0].as_py()
         total = np.zeros(int(edges[i + 1] - edges[i]), np.int64)
-        for blob in table["counters"].to_pylist():
-            steps, n = map(_from_planes, unpack(blob))
+        for blob in table["counters"]:
+            steps, n = map(_from_planes, unpack(blob.as_py()))
             total[np.cumsum(steps, dtype=np.uint64).astype(np.int64) - edges[i]] += n.astype(np.int64)
         return pa.Table.from_batches([arrow_rows(schema, [(i, pack(_planes(total)))])])
 
@@ -599,8 +634,8 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
             return
         # Blocks of the same rows asked the same and were answered the same.
         got = [unpack(a) for _, a in sorted(dict(zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True)).items())]
-        for blob in held["texts"].to_pylist():
-            ids, texts = from_payload(blob)
+        for blob in held["texts"]:
+            ids, texts = from_payload(blob.as_py())
             block = Block(texts)
             counts = tuple(np.concatenate([_from_planes(a[k]) for a in got]).view(np.int64) for k in range(3))
             if any(len(c) != len(h) for c, h in zip(counts, block.hashes(), strict=True)):
@@ -635,8 +670,8 @@ def lm_scores(docs: DataFrame, first_weights: np.ndarray | None = None) -> DataF
 
     def assemble(batches):
         for batch in batches:
-            for ends, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, sizes, packed = unpack(blob)
+            for ends, blob in zip(batch.column(0), batch.column(1), strict=True):
+                ends, (ids, sizes, packed) = ends.as_py(), unpack(blob.as_py())
                 ids, sizes, tokens, out = json.loads(ids), np.frombuffer(sizes, np.int64).tolist(), Tokens.unpacked(packed), []
                 for at, end in tokens.slices():
                     part = tokens.part(at, end)
