@@ -111,10 +111,16 @@ def _few_buckets(hashes: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np
     return buckets(hashes[np.arange(ends[-1]) + np.repeat(starts - ends + n, n)], n, 1)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of ``x`` in order: sorting takes a tenth of the time that np.unique's hash table does."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def _sets(lines: list[str]) -> np.ndarray:
     """(place of the line, shingle) of every line's distinct shingles, as one sorted number: 16 bits and 48."""
     hashes, counts = windows(*characters(lines), SHINGLE)
-    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(48) | hashes >> np.uint64(16))
+    return _distinct(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(48) | hashes >> np.uint64(16))
 
 
 def _parts(lines: list[str], step: int):
@@ -133,7 +139,7 @@ def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
     """Each line's distinct shingles, as 64-bit hashes."""
     hashes, counts = windows(*characters(lines), SHINGLE)
     ends = np.cumsum(counts).tolist()
-    return [np.unique(hashes[b - n : b].view(np.int64)) for b, n in zip(ends, counts.tolist(), strict=True)]
+    return [_distinct(hashes[b - n : b].view(np.int64)) for b, n in zip(ends, counts.tolist(), strict=True)]
 
 
 def alike(a: list[str], b: list[str]) -> np.ndarray:
